@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, language, pii, quality, secrets, sharding
+from . import bpe, chat, decontamination, jaccard, language, pii, quality, secrets, sharding
 from .common import documents, hex_sha256
 
 SHARDS = 8
@@ -82,5 +82,9 @@ def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.select("conv_id", "perspective", "part", "piece", "n_turns", "n_targets", hex_sha256(F.col("text")).alias("text_sha256"), mask.alias("mask"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_secrets, op4_quality_rules, op5_byte_bpe, op6_sharding, op7_pii, op9_chat_rotation)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_classes(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_secrets, op4_quality_rules, op5_byte_bpe, op6_sharding, op7_pii, op9_chat_rotation, op10_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
