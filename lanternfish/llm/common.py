@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Rows whose texts are Python objects at one time, in a worker.
 SLICE = 256
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole table of documents; only Spark opens the path."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, jaccard, language, pii, quality, secrets, sharding
+from . import bpe, chat, decontamination, jaccard, language, pii, quality, secrets, sharding, substrings
 from .common import documents, hex_sha256
 
 SHARDS = 8
@@ -76,6 +76,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(_count("spans", kind) for kind in pii.BASE_KINDS), hex_sha256(_joined("spans", pii.BASE_KINDS)).alias("base_sha256"), _joined("spans").alias("spans"), scores.alias("scores"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeated(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = chat.rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     mask = F.concat_ws(",", F.transform("mask", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))))
@@ -86,5 +91,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_classes(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_secrets, op4_quality_rules, op5_byte_bpe, op6_sharding, op7_pii, op9_chat_rotation, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_secrets, op4_quality_rules, op5_byte_bpe, op6_sharding, op7_pii, op8_substring_dedup, op9_chat_rotation, op10_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}

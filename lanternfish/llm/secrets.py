@@ -180,3 +180,28 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(span))], [id_col, "spans"])
 
     return df.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """The text with `<kind>` in place of each run of overlapping spans; the kind is that of its first span."""
+    out, at = [], 0
+    for kind, start, end in spans:
+        if start >= at:
+            out += (text[at:start], f"<{kind}>")
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """All rows and columns, secrets in text_col masked; a null text stays null."""
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = []
+            for raw in texts(batch.column(place)):
+                text = None if raw is None else raw.decode("utf-8")
+                out.append(masked(text, found) if text and (found := scan(text, raw)) else text)
+            yield batch.set_column(place, batch.schema.names[place], pa.array(out, batch.column(place).type))
+
+    return df.mapInArrow(run, df.schema)
