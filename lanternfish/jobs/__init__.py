@@ -1 +1 @@
-"""lanternfish.jobs"""
+"""Jobs: the registered queries, and building and serving an index."""
