@@ -85,7 +85,7 @@ def _confirmed(kind: str, match: Column) -> Column:
 
 
 def _propose(rows: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
-    """Adds a column of (start, end, place, kind, match) for each kind. Each step is a projection of its own, as what it
+    """Adds a column of (start, place, end, kind, match) for each kind. Each step is a projection of its own, as what it
     makes is used more than once in the next."""
     text = F.col("__text")
     each = lambda make: {name: column for kind in kinds for name, column in make(kind).items()}
@@ -107,7 +107,7 @@ def _propose(rows: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     # ends[i]: all sizes up to and with match i
     rows = rows.withColumns(each(lambda kind: {f"__before_{kind}": F.transform(f"__sums_{kind}", lambda _, b: _sum(F.slice(f"__sums_{kind}", F.lit(1), b)))}))
     rows = rows.withColumns(each(lambda kind: {f"__end_{kind}": F.flatten(F.zip_with(f"__part_{kind}", f"__before_{kind}", lambda part, before: F.transform(part, lambda _, i: before + _sum(F.slice(part, F.lit(1), i + 1)))))}))
-    span = lambda kind, m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), F.lit(KINDS.index(kind)).alias("place"), F.lit(kind).alias("kind"), m.alias("match"))
+    span = lambda kind, m, e: F.struct((e - F.length(m)).alias("start"), F.lit(KINDS.index(kind)).alias("place"), e.alias("end"), F.lit(kind).alias("kind"), m.alias("match"))
     return rows.withColumns(each(lambda kind: {f"__found_{kind}": F.filter(F.zip_with(f"__match_{kind}", f"__end_{kind}", lambda m, e: span(kind, m, e)), lambda x: _confirmed(kind, x["match"]))}))
 
 
