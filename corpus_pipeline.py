@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternfish.llm import bpe, decontamination, jaccard, language, secrets
-from lanternfish.llm.common import documents, hex_sha256, small_enough, stored
-from lanternfish.shipping import ship
+from lanternfish.llm.common import documents, hex_sha256, prepare, small_enough, stored
 
 
 def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -23,7 +22,7 @@ def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told go: no letters, or a narrow margin."""
-    ship(spark)
+    prepare(spark)
     model = language.fit(docs.where(~language.held_out()))
     others = tuple(c for c in docs.columns if c != "doc_id")
     return language.identify(docs, model, keep=others).where("not rejected").select(*docs.columns)
@@ -31,7 +30,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays."""
-    ship(spark)
+    prepare(spark)
     groups = stored(jaccard.link_classes(docs))
     kept = _by_id(docs, groups.where("doc_id <=> component_id"), "left_semi")
     repeated = groups.groupBy("doc_id").count().where("count > 1").limit(1).count()
@@ -40,14 +39,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    ship(spark)
+    prepare(spark)
     found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _by_id(docs, stored(found.where(F.size("hit_positions") > 0).select("doc_id")), "left_anti")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; secrets in them are masked, and n_chars is that of the new text."""
-    ship(spark)
+    prepare(spark)
     return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
@@ -55,7 +54,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of each document, and digests of them and of what they decode to."""
     import public_tokenizers
 
-    ship(spark)
+    prepare(spark)
     tokens = bpe.tokenize(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     ids_sha256 = hex_sha256(F.concat_ws(",", F.col("ids").cast("array<string>")))
     return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", ids_sha256.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -206,7 +206,7 @@ def csharp(text: str) -> Parsed:
                 if block and kind != "enum":
                     walk(block[0] + 1, block[1], [*stack, m[2]])
                 at = close + 1
-            elif stack and m[3] not in _PLAIN_WORDS:
+            elif stack and m[3] not in (*_PLAIN_WORDS, stack[-1]):  # a constructor has the name of its class
                 close = _closing(masked, m.start(4))
                 tail = re.compile(r"\s*(?:where[^{;]*)?(\{|=>|;)").match(masked, close + 1)
                 before = re.split(r"[{};]", masked[start : m.start(3)])[-1]
@@ -269,13 +269,25 @@ def javascript(text: str, typed: bool = False) -> Parsed:
         end = masked.find(";", at, limit)
         return block[1] if block else end if end >= 0 else min(limit, len(masked) - 1)
 
+    def body_end(value: re.Match, limit: int) -> int:
+        """The end of a function given as a value: its block, or for a short arrow the end of its expression."""
+        at = value.end("value")
+        if not value["value"].endswith("=>") or re.compile(r"\s*\{").match(masked, at):
+            return end_of(at, limit)
+        depth = 0
+        for m in re.compile(r"[(){}\[\],;\n]").finditer(masked, at, limit):
+            if not depth and m[0] in ",;\n)}]" and masked[at : m.start()].strip():
+                return m.start() - 1
+            depth += (m[0] in "([{") - (m[0] in ")}]")
+        return limit - 1
+
     def members(start: int, end: int, container: str) -> None:
         at = start
         while m := member.search(masked, at, end):
             name = raw[m.start("name") : m.end("name")].strip("'\"")
             if m["nested"]:
                 close = _closing(masked, m.start("nested"))
-                members(m.start("nested") + 1, close, name)
+                members(m.start("nested"), close, name)
                 at = close
             elif name in _PLAIN_WORDS:
                 at = m.end()
@@ -283,7 +295,7 @@ def javascript(text: str, typed: bool = False) -> Parsed:
                 close = _closing(masked, m.start("call")) if m["call"] else m.start("value")
                 block = scan.block(close, end)
                 if m["value"] or block and re.fullmatch(r"\)\s*(?::[^{};]*)?", masked[close : block[0]]):
-                    finish = end_of(close, end)
+                    finish = body_end(m, end) if m["value"] else block[1]
                     add("method", name, container, m.start("name"), finish)
                     at = finish + 1
                 else:
@@ -305,10 +317,10 @@ def javascript(text: str, typed: bool = False) -> Parsed:
             elif m["var"]:
                 if m["value"] == "{":
                     close = _closing(masked, m.start("value"))
-                    members(m.start("value") + 1, close, m["var"])
+                    members(m.start("value"), close, m["var"])
                     at = close + 1
                 else:
-                    finish = end_of(m.start("value"), end)
+                    finish = body_end(m, end)
                     if "=>" in m["value"]:
                         add("function", m["var"], container, m.start(), finish)
                     at = finish + 1

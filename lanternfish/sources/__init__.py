@@ -1 +1 @@
-"""lanternfish.sources"""
+"""Sources and sinks: file listings and versioned tables."""

@@ -1 +1 @@
-"""lanternfish.streaming"""
+"""Change feeds as Structured Streaming queries."""
