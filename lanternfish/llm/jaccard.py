@@ -36,7 +36,9 @@ SHINGLE, PERCENT = 5, 80
 #: Frequent shingles that are put last: at most so many, seen in so many texts of the sampled share.
 MAX_FREQUENT, SAMPLE_SHARE, SAMPLE_MIN = 200_000, 16, 8
 BITS = 1024
-TILE_ROWS = 1024
+#: Buckets are named by so many bits of a hash: two elements of one name only add candidates.
+BUCKET_MASK = (1 << 48) - 1
+TILE_ROWS, SMALL_TILE = 1024, 32
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -77,9 +79,9 @@ class Shingler:
         return np.unique(_mixed(total).view(np.int64))
 
 
-def _bitmap(hashes: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, np.uint8)
-    bits[hashes.view(np.uint64) % np.uint64(BITS)] = 1
+def _bitmap(hashes: np.ndarray, size: int) -> bytes:
+    bits = np.zeros(max(size, 8), np.uint8)
+    bits[hashes.view(np.uint64) % np.uint64(len(bits))] = 1
     return np.packbits(bits).tobytes()
 
 
@@ -108,12 +110,12 @@ def _signatures(df: DataFrame, size: int, percent: int, frequent: np.ndarray) ->
                 n = len(hashes)
                 ns.append(n)
                 keys.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
-                bitmaps.append(_bitmap(hashes))
+                bitmaps.append(_bitmap(hashes, BITS))
                 length = n - -(-percent * n // 100) + 1 if n else 0
                 if len(last) and n:
                     known = last[np.minimum(np.searchsorted(last, hashes), len(last) - 1)] == hashes
                     hashes = np.concatenate([hashes[~known], hashes[known]])
-                prefixes.append(hashes[:length])
+                prefixes.append(hashes[:length] & BUCKET_MASK)
             ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32))
             prefix = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array(bitmaps, pa.binary()), prefix], ["id", "n", "key", "bitmap", "prefix"])
@@ -121,39 +123,58 @@ def _signatures(df: DataFrame, size: int, percent: int, frequent: np.ndarray) ->
     return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, n bigint, key binary, bitmap binary, prefix array<bigint>")
 
 
-def _arrays(df: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, hashes) of classes given as (node, first_id, key): made again from the text of the first document."""
+def _again(df: DataFrame, nodes: DataFrame, size: int, wide: bool) -> DataFrame:
+    """(node, n, made) of classes given as (node, first_id, key), from the text of the first document: a wide bitmap of
+    four to eight bits an element, or the sorted hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for batch in slices(batches):
-            found = [shingler(raw).tobytes() for raw in texts(batch.column(1))]
-            keys = [hashlib.blake2b(x, digest_size=16).digest() for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(found, pa.binary())], ["first_id", "key", "hashes"])
+            nodes, counts, made = [], [], []
+            for node, key, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), texts(batch.column(0))):
+                hashes = shingler(raw)
+                if hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() == key:  # else a row that only has the same id
+                    nodes.append(node)
+                    counts.append(len(hashes))
+                    made.append(_bitmap(hashes, 4 << (len(hashes) - 1).bit_length()) if wide else hashes.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()), pa.array(made, pa.binary())], ["node", "n", "made"])
 
-    wanted = nodes.select(F.col("first_id").alias("wanted_id")).distinct()
-    rows = df.select(F.col("id").alias("first_id"), "text").join(small_enough(wanted), F.expr("first_id <=> wanted_id"), "left_semi")
-    made = rows.mapInArrow(run, f"first_id {df.schema['id'].dataType.simpleString()}, key binary, hashes binary").dropDuplicates(["key"])
-    return made.join(nodes.select("node", "key"), "key").select("node", "hashes")
+    wanted = nodes.select(F.col("first_id").alias("wanted_id"), "node", "key")
+    rows = df.join(small_enough(wanted), F.expr("id <=> wanted_id")).select("text", "node", "key")
+    return rows.mapInArrow(run, "node bigint, n bigint, made binary")
 
 
-def _linked(df: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of classes those that link, by exact intersection of sorted arrays."""
-    pairs = stored(pairs)
+def _compared(df: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int, wide: bool) -> DataFrame:
+    """Pairs (a, b) of classes that link, by exact intersection of sorted arrays; if wide, those that may, by bitmaps."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    arrays = stored(_arrays(df, classes.join(small_enough(ends), "node", "left_semi"), size))
+    made = stored(_again(df, classes.join(small_enough(ends), "node", "left_semi"), size, wide))
+
+    def fold(bitmap: np.ndarray, length: int) -> np.ndarray:
+        return np.bitwise_or.reduce(bitmap.reshape(-1, length))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            for n_x, n_y, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
+                if wide:
+                    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                    length = min(len(x), len(y))
+                    x, y = fold(x, length), fold(y, length)
+                    ones_x, ones_y, both = (int(np.bitwise_count(z).sum(dtype=np.int64)) for z in (x, y, x & y))
+                    keep.append(bool(_bounded(percent, n_x, n_y, ones_x, ones_y, both)))
+                else:
+                    both = len(np.intersect1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True))
+                    keep.append(100 * both >= percent * (n_x + n_y - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    of = lambda side: arrays.select(F.col("node").alias(side), F.col("hashes").alias(f"hashes_{side}"))
-    joined = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "hashes_a", "hashes_b")
-    return stored(joined.mapInArrow(run, f"a {pairs.schema['a'].dataType.simpleString()}, b {pairs.schema['b'].dataType.simpleString()}"))
+    of = lambda side: made.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("made").alias(f"made_{side}"))
+    joined = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "made_a", "made_b")
+    return stored(joined.mapInArrow(run, "a bigint, b bigint"))
+
+
+def _linked(df: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) of classes those that link. Wide bitmaps, a tenth of the arrays, rule out most before arrays move."""
+    close = _compared(df, stored(pairs), classes, size, percent, wide=True)
+    return _compared(df, close, classes, size, percent, wide=False)
 
 
 def _bounded(percent: int, n_a: np.ndarray, n_b: np.ndarray, bits_a: np.ndarray, bits_b: np.ndarray, both: np.ndarray) -> np.ndarray:
@@ -181,58 +202,73 @@ def _pairs_within_bound(pairs: DataFrame, classes: DataFrame, percent: int) -> D
 
 
 def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """From (h, node, label, n, bitmap): pairs (a, b) of different labels in a bucket h that the bitmaps can't rule out."""
+    """From (h, of, node, label, n, bitmap), `of` being the rows of a bucket h: pairs (a, b) of different labels in a bucket
+    that the bitmaps can't rule out. A bucket of up to TILE_ROWS is one tile. Of larger ones each size band, with the next
+    one as guest, is cut into blocks, and a tile is two blocks."""
+    columns = ["h", "band", "i", "j", "block", "node", "label", "n", "guest", "bitmap"]
+    zero = F.lit(0).cast("long")
+    small = rows.where(F.col("of") <= TILE_ROWS).select("h", zero.alias("band"), zero.alias("i"), zero.alias("j"), zero.alias("block"), "node", "label", "n", F.lit(False).alias("guest"), "bitmap")
     band = F.floor(F.log(F.col("n")) / float(np.log(100 / percent)) + 1e-9)
-    banded = rows.withColumn("own", band).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") - 1)))
-    sizes = banded.groupBy("h", "band").agg(F.ceil(F.count("*") / TILE_ROWS).alias("blocks"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("own").alias("top")).where("low <> high").drop("low", "high")
+    banded = rows.where(F.col("of") > TILE_ROWS).withColumn("own", band).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") - 1)))
+    sizes = banded.groupBy("h", "band").agg(F.ceil(F.count("*") / TILE_ROWS).alias("blocks"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").drop("low", "high")
     dealt = banded.join(sizes, ["h", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("h", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "n", (F.col("own") > F.col("band")).alias("guest"), "bitmap")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1))).select("h", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "n", (F.col("own") > F.col("band")).alias("guest"), "bitmap")
     keys = ["h", "band", "i", "j"]
 
-    def tile(part: pa.Table) -> pa.RecordBatch | None:
-        label, n, guest, node, block = (part.column(c).to_numpy() for c in ("label", "n", "guest", "node", "block"))
-        if len(n) < 2 or (label == label[0]).all() or guest.all():
-            return None
+    def search(part: pa.Table) -> pa.RecordBatch:
+        """All pairs of some whole tiles."""
+        i, j, block, node, label, n, guest = (part.column(c).to_numpy() for c in columns[2:9])
         bits = _words(part.column("bitmap"))
         ones = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-        i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
-        left, right = (np.flatnonzero(block == k) for k in (i, j))
-        found = []
-        for start in range(0, len(left), 64):
-            x = left[start : start + 64]
-            allowed = (label[x][:, None] != label[right]) & ~(guest[x][:, None] & guest[right]) & ((node[x][:, None] < node[right]) if i == j else True)
-            if allowed.any():
-                both = np.bitwise_count(bits[x][:, None, :] & bits[right][None, :, :]).sum(axis=2, dtype=np.int64)
-                p, q = np.nonzero(allowed & _bounded(percent, n[x][:, None], n[right][None, :], ones[x][:, None], ones[right][None, :], both))
-                found.append((node[x[p]], node[right[q]]))
-        if not found:
-            return None
-        a, b = (np.concatenate(side) for side in zip(*found))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        tile = _groups(part)
+        sizes = np.bincount(tile)
+        found = [np.zeros((2, 0), np.int64)]
+
+        def keep(x: np.ndarray, y: np.ndarray) -> None:
+            allowed = (label[x] != label[y]) & ~(guest[x] & guest[y]) & ((i[x] == j[x]) | (block[x] != block[y]))
+            x, y = x[allowed], y[allowed]
+            both = np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64)
+            fits = _bounded(percent, n[x], n[y], ones[x], ones[y], both)
+            found.append(np.stack([node[x[fits]], node[y[fits]]]))
+
+        # small tiles side by side: each row with the k-th after it
+        few = np.flatnonzero(sizes[tile] <= SMALL_TILE)
+        for k in range(1, int(sizes[sizes <= SMALL_TILE].max(initial=0))):
+            x, y = few[:-k], few[k:]
+            same = tile[x] == tile[y]
+            if not same.any():
+                break
+            keep(x[same], y[same])
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        for t in np.flatnonzero(sizes > SMALL_TILE):
+            inside = np.arange(starts[t], starts[t + 1])
+            if (label[inside] == label[inside[0]]).all():
+                continue
+            for at in range(len(inside)):
+                keep(np.full(len(inside) - at - 1, inside[at]), inside[at + 1 :])
+        pairs = np.concatenate(found, axis=1)
+        pairs = np.unique(np.sort(pairs, axis=0), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    def _groups(part: pa.Table) -> np.ndarray:
+        names = [part.column(c).to_numpy() for c in keys]
+        return np.concatenate([[0], np.cumsum(np.any([c[1:] != c[:-1] for c in names], axis=0))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # the tile at hand: rows come sorted by tile
-        last = None
+        held: list[pa.RecordBatch] = []  # rows of tiles that may go on: rows come sorted by tile
         for batch in batches:
-            columns = [np.asarray(batch.column(c)) for c in keys]
-            change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-            for start, end in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
-                if start == end:
-                    continue
-                name = tuple(c[start] for c in columns)
-                if name != last and held:
-                    out = tile(pa.Table.from_batches(held))
-                    if out is not None:
-                        yield out
-                    held = []
-                last = name
-                held.append(batch.slice(start, end - start))
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            part = pa.Table.from_batches(held)
+            whole = int(np.searchsorted(groups := _groups(part), groups[-1]))
+            if whole:
+                yield search(part.slice(0, whole).combine_chunks())
+                held = part.slice(whole).combine_chunks().to_batches()
         if held:
-            out = tile(pa.Table.from_batches(held))
-            if out is not None:
-                yield out
+            yield search(pa.Table.from_batches(held).combine_chunks())
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint").distinct()
+    return small.unionByName(dealt).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def link_classes(df: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,12 +279,12 @@ def link_classes(df: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_
     first = signed.join(small_enough(classes.select(F.col("node").alias("row"))), "row", "left_semi")
     nodes = stored(first.select(F.col("row").alias("node"), F.col("id").alias("first_id"), "key", "n", "bitmap"))
 
-    prefix = first.select(F.explode("prefix").alias("h"), F.col("row").alias("node"), "n")
+    prefix = first.select(F.explode("prefix").alias("h"), F.col("row").alias("node"))
     shared = prefix.groupBy("h").agg(F.count("*").alias("of")).where("of > 1")
-    buckets = stored(prefix.join(shared.select("h"), "h").select("h", "node", "n"))
+    buckets = stored(prefix.join(shared.select("h"), "h").select("h", "node"))
 
     # one comparison a class: with the class of its buckets whose own prefix is shared the most
-    weight = buckets.groupBy("node").agg((F.count("*") / F.max("n")).alias("weight"))
+    weight = buckets.groupBy("node").agg(F.count("*").alias("shared")).join(nodes, "node").select("node", (F.col("shared") / F.col("n")).alias("weight"))
     hubs = buckets.join(weight, "node").groupBy("h").agg(F.max(F.struct("weight", "node")).alias("hub")).select("h", F.col("hub.node").alias("hub"))
     best = buckets.join(hubs, "h").where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("common")).groupBy("node").agg(F.max(F.struct("common", "hub")).alias("best"))
     pairs = best.select(F.col("node").alias("a"), F.col("best.hub").alias("b"))
@@ -256,9 +292,10 @@ def link_classes(df: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_
     labels = stored(components(links))
 
     # what is left: buckets of several components
-    labelled = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h")
-    open_rows = labelled.join(mixed, "h").join(nodes.select("node", "bitmap"), "node").select("h", "node", "label", "n", "bitmap")
+    labelled = buckets.join(nodes.select("node", "n").join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label")), "node")
+    mixed = labelled.groupBy("h").agg(F.count("*").alias("of"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+    mixed = mixed.where(f"low <> high and (of > 2 or 100 * least >= {percent} * most)").select("h", "of")
+    open_rows = labelled.join(mixed, "h").join(nodes.select("node", "bitmap"), "node").select("h", "of", "node", "label", "n", "bitmap")
     more = _linked(rows, _tile_pairs(open_rows, percent), nodes, size, percent)
     final = stored(components(links.union(more)))
 
