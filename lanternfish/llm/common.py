@@ -16,9 +16,21 @@ from ..shipping import ship
 SLICE = 256
 
 
+#: Rows in a record batch between Spark and Python: texts are long, and a worker holds a batch or two.
+BATCH_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Sends the package to executors and keeps the session's record batches small."""
+    ship(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    spark.conf.set(name, BATCH_ROWS if now <= 0 else min(now, BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole table of documents; only Spark opens the path."""
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

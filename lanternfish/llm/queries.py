@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontamination, jaccard, language, pii, quality, secrets, sharding, substrings
-from .common import documents, hex_sha256
+from .common import documents, hex_sha256, prepare
+from .oracles import ORACLE_SQL as ORACLE_SQL
 
 SHARDS = 8
 
@@ -82,6 +83,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     views = chat.rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     mask = F.concat_ws(",", F.transform("mask", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))))
     return views.select("conv_id", "perspective", "part", "piece", "n_turns", "n_targets", hex_sha256(F.col("text")).alias("text_sha256"), mask.alias("mask"))
@@ -92,4 +94,3 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_secrets, op4_quality_rules, op5_byte_bpe, op6_sharding, op7_pii, op8_substring_dedup, op9_chat_rotation, op10_jaccard_join)}
-ORACLE_SQL: dict[str, str] = {}

@@ -32,7 +32,7 @@ from .common import BROADCAST_ROWS, slices, stored, texts
 LENGTH, ANCHOR = 200, 24
 GROUP_LIMIT = 4096
 #: Bytes of text that a worker ranks at a time, if a text isn't longer.
-CHUNK = 2_000_000
+CHUNK = 400_000
 
 _BYTES = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
