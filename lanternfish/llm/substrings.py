@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, slices, stored, texts
 
 LENGTH, ANCHOR = 200, 24
-GROUP_LIMIT = 4096
+#: Runs of a group that one task ranks: their bytes and ranks take some 50 MB.
+GROUP_LIMIT = 16_384
 #: Bytes of text that a worker ranks at a time, if a text isn't longer.
 CHUNK = 400_000
 
