@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from .common import slices, texts
 
 #: Entries after which a worker's memory of words or pairs starts anew; they bound memory, not results.
-KEEP_WORDS, KEEP_PAIRS = 200_000, 500_000
+KEEP_WORDS, KEEP_PAIRS = 100_000, 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -150,20 +150,6 @@ class _Words(dict):
         return found
 
 
-#: A worker process keeps what it has built, by path and pattern's names.
-_built: dict[str, tuple] = {}
-
-
-def _tools(key: str, ranks: dict[bytes, int], pattern: str) -> tuple:
-    if key not in _built:
-        import regex
-
-        _built.clear()
-        encoder = Encoder(ranks)
-        _built[key] = (regex.compile(pattern), _Words(encoder), encoder.bytes_of)
-    return _built[key]
-
-
 def tokenize(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes each text and decodes its tokens again.
 
@@ -171,11 +157,14 @@ def tokenize(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     driver, and its ranks are broadcast: their size is that of the file and doesn't grow with the data.
     """
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(path))
-    key = f"{path}\n{pattern}"
     schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, ids array<int>, decoded binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, words, bytes_of = _tools(key, ranks.value, pattern)
+        import regex
+
+        # built for each task: it takes a fraction of a second, and idle workers then hold no tables
+        encoder, split = Encoder(ranks.value), regex.compile(pattern)
+        words, bytes_of = _Words(encoder), encoder.bytes_of
         for batch in slices(batches):
             lists, decoded = [], []
             for text in texts(batch.column(1)):

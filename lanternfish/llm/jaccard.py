@@ -66,7 +66,7 @@ class Shingler:
         if not words:
             return np.zeros(0, np.int64)
         known = self.known
-        if len(known) > 300_000:
+        if len(known) > 100_000:
             known.clear()
         for word in set(words).difference(known):
             known[word] = self.digest(word)
