@@ -7,7 +7,7 @@ by one at most (law `rows`).
 
 Ranks don't take one task a source: rows fall into buckets by their random key, buckets are counted, and a row's rank is
 its place in its bucket plus the rows of the buckets before. The same holds for the places in the order of fractional
-ranks. Bucket counts follow the number of rows, so a bucket holds some thousands of rows at any size.
+ranks. Bucket counts follow the number of rows, so a bucket holds about a thousand rows at any size.
 
 Defined results: rows with a null source are a source of their own. A null text has 0 bytes, so size 1, and crc32 0.
 Repeated rows each get a place. An empty table gives no rows. Texts aren't shuffled, only their size and crc32.
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 4096
+ROWS_PER_BUCKET = 1024
 _SPAN = 1 << 40
 
 
