@@ -32,7 +32,7 @@ BASE_KINDS = KINDS[:3]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so this is every run of that length
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----).)*)-----END \1-----", re.DOTALL)
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[yw][A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{40,}|[A-Za-z0-9_-]{40,})={0,2}")
 LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{48,}")
@@ -57,6 +57,13 @@ def unbase64(text: str) -> bytes | None:
         return None
 
 
+def pem_body(block: str) -> str:
+    """What is between the marks of a PEM block without its headers, of which those of encryption may share a line."""
+    lines = re.sub(r"(?:\\[nr])+", "\n", block)  # line ends of string literals
+    lines = re.sub(r"(?:Proc-Type|DEK-Info):[ \t]*\S+", "", lines)
+    return re.sub(r"(?m)^[ \t]*[A-Za-z0-9-]+:.*$|\s", "", lines)
+
+
 def der(data: bytes, start: int, end: int, depth: int = 0) -> list[tuple[int, list | bytes]] | None:
     """(tag, content) of the values that fill a range exactly, or None if a length doesn't fit."""
     out: list = []
@@ -151,8 +158,7 @@ def scan(text: str, raw: bytes | None = None, layer: int = 0) -> list[tuple[str,
     pem: list[tuple[int, int]] = []
     if b"-----BEGIN" in raw:
         for m in PEM.finditer(text):
-            body = re.sub(r"(?m)^[A-Za-z0-9-]+: .*$|\\[nr]|\s", "", m[2])
-            data = unbase64(body)
+            data = unbase64(pem_body(m[2]))
             if data and (is_private_key(data) or "ENCRYPTED" in m[2] and len(data) >= 16):
                 found.append(("private_key", *m.span()))
                 pem.append(m.span())

@@ -117,6 +117,17 @@ def test_secrets_confirms_structure():
     assert "encoded" in kinds(f"x {inner} y")
 
 
+def test_secrets_finds_encrypted_pem_with_headers():
+    body = base64.b64encode(bytes(random.Random(1).randbytes(608))).decode()
+    lines = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF", "", *(body[k : k + 64] for k in range(0, len(body), 64))]
+    for end in ("\n", "\r\n", "\\n", "\n    ", " "):
+        block = end.join(["-----BEGIN RSA PRIVATE KEY-----", *lines, "-----END RSA PRIVATE KEY-----"])
+        text = f"a {block} b"
+        assert ("private_key", 2, 2 + len(block)) in secrets.scan(text), end
+        assert secrets.masked(text, secrets.scan(text)) == "a <private_key> b"
+    assert kinds("\n".join(["-----BEGIN RSA PRIVATE KEY-----", *lines[3:], "-----END RSA PRIVATE KEY-----"])) == []  # neither a header nor DER
+
+
 def test_secrets_masked():
     text = "a token=abcdefgh b"
     assert secrets.masked(text, secrets.scan(text)) == "a <assign> b"
