@@ -4,7 +4,7 @@ Plain patterns give the base spans: assignments of a secret, access key ids and
 base64 or hex are decoded and parsed, and reported only if what they hold has the structure of a secret:
 
 * private_key: DER of a private key whose nested lengths add up (RSA, DSA, EC, PKCS #8, plain or encrypted), or the
-  OpenSSH format; as PEM block, base64 or hex;
+  OpenSSH format; as PEM block, base64 of either alphabet (in one run, or wrapped in lines of one width) or hex;
 * signed_token: three base64url parts of which the first is a JSON object with an "alg", the second a JSON object;
 * encoded: base64 or hex of printable text that itself holds a secret (up to three layers).
 
@@ -18,6 +18,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,7 +35,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so this is every run of that length
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----).)*)-----END \1-----", re.DOTALL)
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[yw][A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{40,}|[A-Za-z0-9_-]{40,})={0,2}")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")  # whole runs; which alphabet is told when they are decoded
+ONE_ALPHABET = re.compile(r"(?:[A-Za-z0-9+/]*|[A-Za-z0-9_-]*)\Z")
+PARTS = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{40,}={0,2}")
+LINE_END, LINE = re.compile(r"[\x20\t]*(?:\r?\n|\r|(?:\\r)?\\n)[\x20\t>#]*"), re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+DER_START = re.compile(r"(?=M[A-P][A-Za-z0-9+/_-]{6})")  # 0x30 and a length
+OPENSSH_START = "b3BlbnNzaC1rZXktdj"
 LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{48,}")
 
 #: What a text must hold for a pattern to be tried: searches for fixed bytes are far quicker than patterns.
@@ -144,6 +150,108 @@ def _decoded(data: bytes | None, layer: int) -> str | None:
     return None
 
 
+def _block(text: str, first: re.Match) -> list[tuple[int, int]]:
+    """Lines of base64 from a run on: as long as the first one, then one that may be shorter or padded."""
+    lines, width = [first.span()], len(first[0])
+    while not text[lines[-1][1] - 1] == "=" and (end := LINE_END.match(text, lines[-1][1])) and (m := LINE.match(text, end.end())) and len(m[0].rstrip("=")) <= width:
+        lines.append(m.span())
+        if len(m[0]) != width:
+            break
+    return lines
+
+
+def _declared(start: str) -> int:
+    """Characters of base64 that a DER value needs by its length, told from the first eight; 0 if that is no length."""
+    data = unbase64(start) or b""
+    if len(data) < 6 or data[0] != 0x30:
+        return 0
+    head, size = 2, data[1]
+    if size & 0x80:
+        n = size & 0x7F
+        if not 1 <= n <= 4:
+            return 0
+        head, size = 2 + n, int.from_bytes(data[2 : 2 + n], "big")
+    return (4 * (head + size) + 2) // 3
+
+
+def _keys(joined: str, starts: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of DER private keys in lines put together: from the start of a line or after a sign, over as many characters
+    as the value declares, to the end of a line or before a sign."""
+    edges, done = {*starts, len(joined)}, 0
+    for m in DER_START.finditer(joined):
+        a = m.start()
+        if a < done or not (a in edges or joined[a - 1] in "+/_-"):
+            continue
+        b = a + _declared(joined[a : a + 8])
+        if a + 20 < b <= len(joined) and (b in edges or joined[b] in "+/_-") and ONE_ALPHABET.match(joined[a:b]) and (data := unbase64(joined[a:b])) and is_private_key(data):
+            yield a, b
+            done = b
+
+
+def _wrapped(text: str, lines: list[tuple[int, int]], layer: int) -> list[tuple[str, int, int]]:
+    """What lines of base64 hold together: DER keys by their declared length, an OpenSSH key from the line that starts it,
+    or text, of all lines or of those side by side that decode to text."""
+    parts = [text[a:b].rstrip("=") for a, b in lines]
+    starts = [0]
+    for part in parts:
+        starts.append(starts[-1] + len(part))
+    joined, found = "".join(parts), []
+
+    def add(kind: str, a: int, b: int) -> None:
+        """From and to a place in what is joined; padding counts to the span."""
+        i, j = bisect_right(starts, a) - 1, bisect_left(starts, b) - 1
+        end = lines[j][1] if b == starts[j + 1] else lines[j][0] + b - starts[j]
+        found.append((kind, lines[i][0] + a - starts[i], end))
+
+    for a, b in _keys(joined, starts):
+        add("private_key", a, b)
+    if len(lines) == 1 or found:
+        return found
+    for i, part in enumerate(parts):
+        if part.startswith(OPENSSH_START):
+            for b in (len(joined), starts[-2]):
+                if (data := unbase64(joined[starts[i] : b])) and is_private_key(data):
+                    add("private_key", starts[i], b)
+                    return found
+    whole = len(parts[0]) % 4 == 0  # lines decode one by one
+    plain = [whole and (data := unbase64(part)) is not None and not re.search(rb"[^\t\n\r\x20-\x7e]", data) for part in parts]
+    i = 0
+    while i < len(parts):
+        j = i + 1
+        while j < len(parts) and (plain[j] == plain[i] or not whole):
+            j += 1
+        for end in (j, j - 1) if j == len(parts) else (j,):
+            if (plain[i] or not whole) and end - i > 1 and ONE_ALPHABET.match(joined[starts[i] : starts[end]]) and (kind := _decoded(unbase64(joined[starts[i] : starts[end]]), layer)):
+                add(kind, starts[i], starts[end])
+                break
+        i = j
+    return found
+
+
+def _base64(text: str, layer: int, skip: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """Secrets in base64: in lines together, then in runs by themselves, outside the spans to skip."""
+    found: list[tuple[str, int, int]] = []
+    at = 0
+    while m := BASE64.search(text, at):
+        lines = _block(text, m)
+        at = lines[-1][0] if len(lines) > 1 and lines[-1][1] - lines[-1][0] >= 40 else lines[-1][1]
+        if lines := [(x, y) for x, y in lines if not any(a < y and x < b for a, b in skip)]:
+            found += _wrapped(text, lines, layer)
+    skip = [*skip, *((a, b) for _, a, b in found)]
+    within = lambda a, b: any(x <= a and b <= y for x, y in skip)
+    for m in BASE64.finditer(text):
+        if within(*m.span()):
+            continue
+        if ONE_ALPHABET.match(m[0].rstrip("=")) and (kind := _decoded(unbase64(m[0]), layer)):
+            found.append((kind, *m.span()))
+            continue
+        for pattern in PARTS:  # a sign of the other alphabet may only part it from what is beside it
+            for part in pattern.finditer(text, *m.span()):
+                if part.span() != m.span() and not within(*part.span()) and (kind := _decoded(unbase64(part[0]), layer)):
+                    found.append((kind, *part.span()))
+    return found
+
+
 def scan(text: str, raw: bytes | None = None, layer: int = 0) -> list[tuple[str, int, int]]:
     """(kind, start, end) of each secret, by start, then by kind."""
     raw = text.encode("utf-8") if raw is None else raw
@@ -164,9 +272,8 @@ def scan(text: str, raw: bytes | None = None, layer: int = 0) -> list[tuple[str,
                 pem.append(m.span())
     if any(start in raw for start in TOKEN_STARTS):
         found += (("signed_token", *m.span()) for m in TOKEN.finditer(text) if is_signed_token(m[1], m[2], m[3]))
-    within = lambda m: any(a <= m.start() and m.end() <= b for a, b in pem)
     if b"b" * 40 in raw.translate(_BASE64_RUN):
-        found += ((kind, *m.span()) for m in BASE64.finditer(text) if not within(m) and (kind := _decoded(unbase64(m[0]), layer)))
+        found += _base64(text, layer, pem)
     if b"h" * 48 in raw.translate(_ANY_HEX_RUN):
         found += ((kind, *m.span()) for m in LONG_HEX.finditer(text) if len(m[0]) % 2 == 0 and (kind := _decoded(bytes.fromhex(m[0]), layer)))
     return sorted(set(found), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))

@@ -128,6 +128,41 @@ def test_secrets_finds_encrypted_pem_with_headers():
     assert kinds("\n".join(["-----BEGIN RSA PRIVATE KEY-----", *lines[3:], "-----END RSA PRIVATE KEY-----"])) == []  # neither a header nor DER
 
 
+def private_der(seed, n=300):
+    """PKCS #8 of random content."""
+    return der(0x30, der(2, b"\0"), der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01"), b"\5\0"), der(4, random.Random(seed).randbytes(n)))
+
+
+def test_secrets_base64url_keys_in_whole_runs():
+    for seed in range(20):
+        key = base64.urlsafe_b64encode(private_der(seed)).decode().rstrip("=")
+        assert re.search("[-_]", key[40:])
+        for text, a in ((f"k: {key} end", 3), (f"name_{key}", 5), (f"{key}-next", 0), (f"key={key}==", 4)):
+            found = [x for x in secrets.scan(text) if x[0] == "private_key"]
+            assert [(x[1], x[2] - text[: x[2]].count("=", a)) for x in found] == [(a, a + len(key))], text
+    key = base64.b64encode(RSA).decode().rstrip("=")
+    assert kinds(f"{key}-tail") == kinds(f"x_{key}") == ["private_key"]
+
+
+@pytest.mark.parametrize("width", [64, 76])
+@pytest.mark.parametrize("encode", [base64.b64encode, base64.urlsafe_b64encode])
+def test_secrets_wrapped_base64(width, encode):
+    wrap = lambda data, end="\n": end.join(re.findall(f".{{1,{width}}}", encode(data).decode()))
+    for seed, n in enumerate([*range(280, 300), 30 * 40]):
+        for end in ("\n", "\r\n", "\n  ", "\\n"):
+            block = wrap(private_der(seed, n), end)
+            for before, after in (("key: ", ""), ("", "\nThanks all"), ("0" * width + "\n", "\n" + "ab" * 32), ("see\n", "\n-----BEGIN RSA PRIVATE KEY-----")):
+                found = [x for x in secrets.scan(before + block + after) if x[0] == "private_key"]
+                assert found == [("private_key", len(before), len(before + block))], (seed, end, before, after)
+    text = ("lorem ipsum dolor sit amet " * 3 + "the password = hunter2222 is in here ").encode()
+    block = wrap(text + b"x" * 50)
+    for before, after in (("", ""), ("\xe9 ", "\nok then"), ("0f" * (width // 2) + "\n", "")):
+        assert ("encoded", len(before), len(before + block)) in secrets.scan(before + block + after)
+    openssh = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"", b"\0" * 3)) + random.Random(2).randbytes(300)
+    assert secrets.scan(wrap(openssh)) == [("private_key", 0, len(wrap(openssh)))]
+    assert secrets.scan(wrap(random.Random(5).randbytes(400))) == []
+
+
 def test_secrets_masked():
     text = "a token=abcdefgh b"
     assert secrets.masked(text, secrets.scan(text)) == "a <assign> b"
