@@ -1,12 +1,13 @@
 """A corpus pipeline: language ID, near duplicates, decontamination, secrets, tokens.
 
 Each stage gets what the one before kept, as a table read from Parquet, and its decisions take effect. All but the last
-return the columns of documents. Rows with null ids or repeated ids pass through every stage: joins by id treat nulls as
-equal, and a repeated id stands for one document in the second stage.
+return the columns of documents. A document is a row: stages that drop some tell rows apart by file and place in it, not
+by doc_id, which may be null or repeat.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +15,22 @@ from lanternfish.llm import bpe, decontamination, jaccard, language, secrets
 from lanternfish.llm.common import documents, hex_sha256, prepare, small_enough, stored
 
 
-def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """docs whose doc_id is (left_semi) or isn't (left_anti) among ids."""
-    listed = ids.select(F.col("doc_id").alias("__listed")).distinct()
-    return docs.join(small_enough(listed), F.expr("doc_id <=> __listed"), how)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Adds __row, a number of each row that stays the same whenever the table is read: of its file and place in it."""
+    try:
+        if not docs._jdf.queryExecution().analyzed().children().isEmpty():
+            raise AnalysisException("more than a scan")
+        rows = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    except AnalysisException:  # not a table as it is in Parquet files
+        return _numbered(stored(docs))
+    files = sorted(r[0] for r in rows.select("__file").distinct().collect())
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "__number long, __file string")
+    return rows.join(F.broadcast(numbers), "__file").select(*docs.columns, F.expr("shiftleft(__number, 40) + __at").alias("__row"))
+
+
+def _by_row(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """docs whose __row is (left_semi) or isn't (left_anti) among rows, without that column."""
+    return docs.join(small_enough(rows), "__row", how).drop("__row")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,19 +42,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays."""
+    """Of each group of linked documents the one with the smallest doc_id stays, the first one if several have it. Null
+    counts as largest."""
     prepare(spark)
-    groups = stored(jaccard.link_classes(docs))
-    kept = _by_id(docs, groups.where("doc_id <=> component_id"), "left_semi")
-    repeated = groups.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    docs = _numbered(docs)
+    by_id = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row").alias("__key")
+    groups = stored(jaccard.link_classes(docs.select(by_id, "text"), id_col="__key"))
+    return _by_row(docs, groups.where("__key <=> component_id").select("__key.__row"), "left_semi")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     prepare(spark)
-    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _by_id(docs, stored(found.where(F.size("hit_positions") > 0).select("doc_id")), "left_anti")
+    docs = _numbered(docs)
+    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__row")
+    return _by_row(docs, stored(found.where(F.size("hit_positions") > 0).select("__row")), "left_anti")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

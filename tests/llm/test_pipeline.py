@@ -59,6 +59,38 @@ def test_pipeline_equals_brute_force(spark, corpus):
     assert {1, 2, 59, 104} <= set(found) and not {100, 101, 103, 105, 106, 107} & set(found) and 102 in found
 
 
+def test_pipeline_tells_rows_without_own_ids_apart(spark, corpus, tmp_path):
+    """Null and repeated ids with differing texts: unlinked clean rows stay, and contaminated ones take no other along."""
+    from collections import Counter
+
+    folder, _, items = corpus
+    text = lambda seed, lang, n=90: " ".join(prose(seed, lang, n))
+    rows = [(k, text(k, ("aa", "bb")[k % 2])) for k in range(40)]
+    rows += [(None, text(300 + k, ("aa", "bb")[k % 2])) for k in range(8)] + [(50 + k // 4, text(400 + k, ("aa", "bb")[k % 2])) for k in range(8)]
+    rows += [(None, text(500, "aa", 60) + " " + items[1][1]), (50, text(501, "aa", 60) + " " + items[3][1])]
+    rows += [(None, text(7, "bb")), (None, text(302, "aa")), (None, text(302, "aa")), (51, text(404, "aa")), (50, text(5, "bb") + " end")]
+    rows += [(None, None), (None, ""), (None, "12345")]
+    frame = spark.createDataFrame([(i, t, ("aa", "bb")[k % 2], "x", len(t or "")) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    classifier = language.Classifier(language.fit(docs.where(~language.held_out())))
+    kept = [(k, t) for k, (_, t) in enumerate(rows) if classifier.predict((t or "").encode())[1] >= language.MIN_MARGIN]
+    groups = {}
+    for k, (_, component) in jaccard_components(kept).items():
+        groups.setdefault(component, []).append(k)
+    first = {min(ks, key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k)) for ks in groups.values()}
+    kept = [(k, t) for k, t in kept if k in first]
+    hits = window_hits([t for _, t in kept], [(str(i), t) for i, t in items], split_words)
+    want = Counter((rows[k][0], hashlib.sha256(secrets.masked(t, secrets.scan(t)).encode()).hexdigest()) for (k, t), (_, hit, _) in zip(kept, hits) if not hit)
+    found = Counter((r.doc_id, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert found == want
+    assert sum(n for (i, _), n in want.items() if i is None) >= 6 and sum(n for (i, _), n in want.items() if i == 50) >= 3
+    # a table that isn't read from files as it is
+    assert corpus_pipeline.drop_near_duplicates(spark, frame, str(tmp_path)).count() == len(rows) - 5
+
+
 def test_stages_keep_the_columns(spark, corpus):
     folder, *_ = corpus
     docs = spark.read.parquet(f"{folder}/documents.parquet")
