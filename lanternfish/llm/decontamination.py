@@ -5,7 +5,8 @@ for each term the sorted list of its positions (postings). The index is stored i
 shuffled. Test items become windows of `window` words. In each segment the postings of a window's rarest term (by count
 over all documents), less its offset in the window, are candidate starts; the offset-adjusted lists of the other terms,
 rarest first, are intersected with them. What is left are exact phrase matches. With an offset that may differ by `slop`
-and up to a fifth of the terms missing, the same pass gives proximity matches.
+and up to a fifth of the terms missing, the same pass gives proximity matches. As the rarest term may be a missing one,
+these also start from the next rarest places: one more than may be missing, so each match holds one of them.
 
 Test items are taken in blocks of bounded size. If they fit in one block, only terms of theirs are indexed.
 
@@ -90,7 +91,7 @@ def build_index(df: DataFrame, vocabulary: set[bytes] | None = None, id_col: str
 
 
 class Windows:
-    """The windows of a block of items: distinct, each with the items that hold it, by their rarest term."""
+    """The windows of a block of items: distinct, each with the items that hold it, by the terms they are looked up from."""
 
     def __init__(self, items: list[tuple[str | None, list[bytes]]], counts: dict[bytes, int], window: int):
         owners: dict[tuple[bytes, ...], set] = defaultdict(set)
@@ -99,36 +100,44 @@ class Windows:
                 owners[tuple(words[at : at + window])].add(item)
         self.items = [sorted(x for x in found if x is not None) for found in owners.values()]
         self.sizes = [len(terms) for terms in owners]
-        self.by_rarest: dict[bytes, list[tuple[int, list[tuple[bytes, int]]]]] = defaultdict(list)
+        self.terms: list[list[tuple[bytes, int]]] = []  # rarest first, with their places
+        self.probes: dict[bytes, list[tuple[int, int]]] = defaultdict(list)  # (window, which of its terms)
         for k, terms in enumerate(owners):
             order = sorted(range(len(terms)), key=lambda i: (counts.get(terms[i], 0), i))
-            self.by_rarest[terms[order[0]]].append((k, [(terms[i], i) for i in order]))
+            self.terms.append([(terms[i], i) for i in order])
+            for p in range(len(terms) // 5 + 1):
+                self.probes[terms[order[p]]].append((k, p))
 
     def match(self, lists: dict[bytes, np.ndarray], slop: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(window, starts of exact matches, starts of proximity matches that aren't exact) in a segment."""
-        for term in self.by_rarest.keys() & lists.keys() if len(self.by_rarest) < len(lists) else [t for t in lists if t in self.by_rarest]:
-            for k, terms in self.by_rarest[term]:
-                starts = lists[term] - terms[0][1]
-                missing, inexact = np.zeros(len(starts), np.int32), np.zeros(len(starts), bool)
+        """(window, starts of exact matches, starts of proximity matches that aren't exact) in a segment. A window may come
+        several times, with exact matches only from its rarest term."""
+        for term in self.probes.keys() & lists.keys() if len(self.probes) < len(lists) else [t for t in lists if t in self.probes]:
+            for k, p in self.probes[term]:
+                terms = self.terms[k]
+                starts = lists[term] - terms[p][1]
+                missing = np.zeros(len(starts), np.int32)
                 spare = len(terms) // 5
-                for other, offset in terms[1:]:
+                others = terms[:p] + terms[p + 1 :]
+                for checked, (other, offset) in enumerate(others):
                     postings = lists.get(other)
                     if postings is None:
                         missing += 1
-                        inexact[:] = True
                     else:
-                        wanted = starts + offset
-                        exact = postings[np.minimum(np.searchsorted(postings, wanted), len(postings) - 1)] == wanted
-                        near = np.minimum(np.searchsorted(postings, wanted - slop), len(postings) - 1)
-                        missing += ~((postings[near] >= wanted - slop) & (postings[near] <= wanted + slop))
-                        inexact |= ~exact
-                    alive = missing <= spare
-                    if not alive.all():
-                        starts, missing, inexact = starts[alive], missing[alive], inexact[alive]
-                    if not len(starts):
-                        break
+                        low = starts + (offset - slop)
+                        # how far the first posting from there lies; a wrapped negative number if all lie before
+                        missing += (postings.take(postings.searchsorted(low), mode="clip") - low).view(np.uint32) > 2 * slop
+                    if checked >= spare:
+                        alive = missing <= spare
+                        if not alive.all():
+                            starts, missing = starts[alive], missing[alive]
+                        if not len(starts):
+                            break
+                inexact = np.zeros(len(starts), bool)
+                for other, offset in others if len(starts) else ():
+                    postings = lists.get(other)
+                    inexact |= True if postings is None else postings.take(postings.searchsorted(starts + offset), mode="clip") != starts + offset
                 if len(starts):
-                    yield k, starts[~inexact], starts[inexact]
+                    yield k, starts[:0] if p else starts[~inexact], starts[inexact]
 
 
 def search(index: DataFrame, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW, slop: int = SLOP, id_col: str = "doc_id") -> DataFrame:

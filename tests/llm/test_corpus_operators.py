@@ -83,6 +83,22 @@ def contaminated():
     return texts, items
 
 
+@pytest.mark.parametrize("block_words", [decontamination.BLOCK_WORDS, 40])
+def test_decontamination_finds_near_copies_without_rare_terms(spark, block_words):
+    """Whichever one or two of ten words are changed, also the rarest ones, or such as no document has."""
+    from itertools import combinations
+
+    item = [f"item{k}" for k in range(10)]
+    items = [("it", " ".join(item)), *((str(k), " ".join(words(k, 14, 60))) for k in range(20))]
+    change = lambda gone: " ".join(words(7, 30)) + " " + " ".join("changed" if k in gone else w for k, w in enumerate(item)) + " end"
+    gone = [set(), *(set(c) for n in (1, 2) for c in combinations(range(10), n)), {0, 1, 2}, {3, 5, 9}]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    run = lambda texts: {r.doc_id: (r["items"], r.near_items, len(r.hit_positions)) for r in decontamination.decontaminate(frame(spark, texts), benchmark, block_words=block_words).collect()}
+    found = run([change(g) for g in gone])
+    assert found == {k: ((["it"], [], 10) if not g else ([], ["it"], 0) if len(g) < 3 else ([], [], 0)) for k, g in enumerate(gone)}
+    assert run([change({4})]) == {0: ([], ["it"], 0)}  # its count is 0
+
+
 @pytest.mark.parametrize("block_words", [decontamination.BLOCK_WORDS, 40])
 def test_decontamination_equals_brute_force(spark, block_words):
     texts, items = contaminated()
