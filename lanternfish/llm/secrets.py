@@ -126,7 +126,7 @@ def is_signed_token(header: str, payload: str, signature: str) -> bool:
     try:
         head = json.loads(unbase64(header) or b"")
         body = json.loads(unbase64(payload) or b"")
-    except ValueError:
+    except (ValueError, RecursionError):  # neither is JSON nested a thousand deep a header
         return False
     if not isinstance(head, dict) or not isinstance(head.get("alg"), str) or not isinstance(body, dict):
         return False

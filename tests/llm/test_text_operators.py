@@ -163,6 +163,14 @@ def test_secrets_wrapped_base64(width, encode):
     assert secrets.scan(wrap(random.Random(5).randbytes(400))) == []
 
 
+def test_secrets_bear_deep_headers(spark):
+    deep = lambda open_, close: base64.urlsafe_b64encode((open_ * 100_000 + "1" + close * 100_000).encode()).rstrip(b"=").decode()
+    good = jwt({"alg": "HS256"}, {"sub": "1"}).split(".")
+    texts = [f'{deep('{"a":', "}")}.{good[1]}.{good[2]} end', f"{good[0]}.{deep("[", "]")}.{good[2]}", f'{deep('{"a":', "}")}.x.y {".".join(good)}']
+    rows = {r.doc_id: [s.kind for s in r.spans] for r in secrets.find_secrets(frame(spark, texts)).collect()}
+    assert rows == {0: [], 1: [], 2: ["signed_token"]}
+
+
 def test_secrets_masked():
     text = "a token=abcdefgh b"
     assert secrets.masked(text, secrets.scan(text)) == "a <assign> b"
