@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shipping import ship
 
 #: Rows whose texts are Python objects at one time, in a worker.
-SLICE = 256
-
+SLICE, SLICE_BYTES = 256, 1 << 25
 
 #: Rows in a record batch between Spark and Python: texts are long, and a worker holds a batch or two.
 BATCH_ROWS = 1000
@@ -42,10 +44,12 @@ def texts(column: pa.Array) -> Iterator[bytes | None]:
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in record batches of at most SLICE rows, so what a worker holds stays small."""
+    """The same rows in record batches of at most SLICE rows, and of SLICE_BYTES unless a row is larger, so what a worker
+    holds stays small."""
     for batch in batches:
-        for start in range(0, batch.num_rows, SLICE):
-            yield batch.slice(start, SLICE)
+        rows = max(1, min(SLICE, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
 def hex_sha256(text: Column) -> Column:
@@ -53,25 +57,89 @@ def hex_sha256(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the cluster names none (tests), one of this machine."""
+    """The folder that driver and executors share. Where the session names none, one of this machine, if all runs on it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="lanternfish-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/lanternfish-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes a table in the shared folder and reads it: cuts lineage, and lost executors can't lose it."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{_own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing will read any more; others are left as they are."""
+    for table in tables:
+        if path := getattr(table, "stored_at", None):
+            _delete(table.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this application has stored: for when the results that were made of it have been written."""
+    _delete(spark, _own_folder(spark))
+
+
+#: Bytes, by estimate, of a table that may be broadcast.
+BROADCAST_BYTES = 8 << 20
+
+
+def _width(kind: T.DataType, value: Column) -> Column:
+    """Bytes of a value in memory, by estimate: those of what varies in length, and 8 for each place."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.size(value), F.lit(0)) * (8 * len(kind.elementType) if isinstance(kind.elementType, T.StructType) else 8) + 24
+    if isinstance(kind, T.StructType):
+        return sum((_width(f.dataType, value[f.name]) for f in kind), F.lit(16))
+    return F.lit(8)
+
+
+def small_enough(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Broadcast if its size, measured, is within the limit; otherwise left for a shuffled join. Give stored tables, as it
+    reads them for that."""
+    size = df.agg(F.sum(sum((_width(f.dataType, F.col(f"`{f.name}`")) for f in df.schema), F.lit(32)))).first()[0] or 0
+    return F.broadcast(df) if size <= (BROADCAST_BYTES if limit is None else limit) else df
+
+
+ROW = "__row"
 
 
-#: Rows of a key table that may be broadcast: a long each, so tens of MB at most.
-BROADCAST_ROWS = 2_000_000
+def numbered(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns (all if none are named) and ROW, a number of each row that stays the same whenever the table is read: of
+    its file and place in it. Rows are told apart by it where their ids may be null or repeat. What isn't a table as it lies
+    in Parquet files is stored first."""
+    columns = columns or tuple(df.columns)
+    try:
+        if not df._jdf.queryExecution().analyzed().children().isEmpty():
+            raise AnalysisException("more than a scan")
+        rows = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    except AnalysisException:
+        return numbered(stored(df.select(*columns)))
+    files = sorted(r[0] for r in rows.select("__file").distinct().collect())  # the driver has listed them for the scan
+    numbers = df.sparkSession.createDataFrame(list(enumerate(files)), "__number long, __file string")
+    return rows.join(small_enough(numbers), "__file").select(*columns, F.expr("shiftleft(__number, 40) + __at").alias(ROW))
 
 
-def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast if a count shows that it's within the limit; otherwise left for a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def own_ids(df: DataFrame, id_col: str) -> bool:
+    """Whether ids are whole numbers that tell rows apart: none null, none twice."""
+    if not isinstance(df.schema[id_col].dataType, (T.IntegerType, T.LongType)):
+        return False
+    return not df.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).limit(1).count()
