@@ -19,12 +19,14 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, texts
 
-#: Bounds of the training sample, whatever the size of the corpus: languages, texts of each, characters of a text.
-MAX_LANGUAGES, SAMPLE_TEXTS, PIECE_CHARS = 512, 400, 1000
-DICTIONARY_BYTES, BLOCK_BYTES, LEVEL = 65_536, 4096, 6
+#: Bounds of the training sample, whatever the size of the corpus: texts of a language, characters of a text, bytes of a
+#: language's dictionary and of all dictionaries. Every language is learned; where they are very many, each gets less.
+SAMPLE_TEXTS, PIECE_CHARS, DICTIONARY_BYTES, ALL_BYTES = 400, 160, 65_536, 64 << 20
+BLOCK_BYTES, LEVEL = 4096, 6
 MIN_MARGIN = 0.005
 
 UNDETERMINED = "und"
@@ -49,18 +51,20 @@ def fit(df: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col
     about SAMPLE_TEXTS rows of each label and a piece of each at a place that the hash gives. Only that bounded sample comes
     to the driver."""
     rows = df.select(F.col(label_col).alias("label"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("label is not null and text is not null")
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LANGUAGES).collect()}
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").collect()}
     if not counts:
         return Model((), ())
-    share = F.create_map(*(F.lit(x) for label, n in counts.items() for x in (label, min(1.0, 1.5 * SAMPLE_TEXTS / n))))
-    chance = F.pmod(F.xxhash64(F.lit(1), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
-    place = F.pmod(F.xxhash64(F.lit(2), F.col("id")), F.greatest(F.length("text") - PIECE_CHARS, F.lit(0)) + 1) + 1
-    sample = rows.where(chance < F.coalesce(share[F.col("label")], F.lit(0.0))).select("label", chance.alias("chance"), "id", F.substr("text", place.cast("int"), F.lit(PIECE_CHARS)).alias("piece"))
+    each = min(DICTIONARY_BYTES, ALL_BYTES // len(counts))
+    n_texts = max(1, SAMPLE_TEXTS * each // DICTIONARY_BYTES)
+    shares = df.sparkSession.createDataFrame([(label, min(1.0, 1.5 * n_texts / n + 8 / n)) for label, n in counts.items()], "label string, share double")
+    chance = F.pmod(F.xxhash64(F.lit(1), F.col("id"), F.when(F.col("id").isNull(), F.col("text"))), F.lit(1 << 30)) / float(1 << 30)
+    place = F.pmod(F.xxhash64(F.lit(2), F.col("id"), F.col("text")), F.greatest(F.length("text") - PIECE_CHARS, F.lit(0)) + 1) + 1
+    sample = rows.join(F.broadcast(shares), "label").where(chance < F.col("share")).select("label", chance.alias("chance"), F.substr("text", place.cast("int"), F.lit(PIECE_CHARS)).alias("piece"))
     pieces: dict[str, list] = defaultdict(list)
-    for r in sample.limit(4 * SAMPLE_TEXTS * len(counts)).collect():
-        pieces[r["label"]].append((r["chance"], str(r["id"]), r["piece"]))
+    for r in sample.limit(4 * (n_texts + 8) * len(counts)).collect():
+        pieces[r["label"]].append((r["chance"], r["piece"]))
     learned = [label for label in counts if pieces[label]]
-    return Model(tuple(learned), tuple(b" ".join(letters(piece.encode("utf-8")) for *_, piece in sorted(pieces[label])[:SAMPLE_TEXTS])[:DICTIONARY_BYTES] for label in learned))
+    return Model(tuple(learned), tuple(b" ".join(letters(piece.encode("utf-8")) for _, piece in sorted(pieces[label])[:n_texts])[:each] for label in learned))
 
 
 class Classifier:
@@ -87,20 +91,23 @@ class Classifier:
         return self.model.languages[best], (rival - sizes[best]) / rival
 
 
-def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", min_margin: float = MIN_MARGIN, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Returns id_col, the columns of keep (of df, as they are), lang_pred, score and rejected."""
+def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", min_margin: float = MIN_MARGIN, keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
+    """Returns id_col, the columns of keep (of df, as they are), lang_pred, score and rejected; these three begin with prefix,
+    if columns of df have their names."""
     kept = [id_col, *keep]
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept) + ", lang_pred string, score double, rejected boolean"
-    inputs = [F.col(c) for c in kept]
+    names = [f"{prefix}{name}" for name in ("lang_pred", "score", "rejected")]
+    schema = T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in kept), *map(T.StructField, names, (T.StringType(), T.DoubleType(), T.BooleanType()))])
+    place = kept.index(text_col) if text_col in kept else len(kept)
+    shipped = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classifier = Classifier(model)
+        classifier = Classifier(shipped.value)
         for batch in slices(batches):
-            rows = [classifier.predict(text) for text in texts(batch.column(len(kept)))]
+            rows = [classifier.predict(text) for text in texts(batch.column(place))]
             scores = [score for _, score in rows]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array([x for x, _ in rows], pa.string()), pa.array(scores, pa.float64()), pa.array([s < min_margin for s in scores])], [*kept, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array([x for x, _ in rows], pa.string()), pa.array(scores, pa.float64()), pa.array([s < min_margin for s in scores], pa.bool_())], [*kept, *names])
 
-    return df.select(*inputs, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return df.select(*(F.col(f"`{c}`") for c in kept), *(() if place < len(kept) else (F.col(f"`{text_col}`").alias("__text"),))).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
