@@ -14,8 +14,8 @@ aren't read. A text of any length is encoded whole.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
-from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 
 from .common import slices, texts
 
-#: Entries after which a worker's memory of words or pairs starts anew; they bound memory, not results.
-KEEP_WORDS, KEEP_PAIRS = 200_000, 500_000
+#: Words after which those not seen since as many before are forgotten, and pairs after which all are. These bound a task's
+#: memory (some 180 bytes a word), not results.
+KEEP_WORDS, KEEP_PAIRS = 200_000, 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -34,33 +35,43 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder:
-    """Encodes single words (matches of the splitting pattern), given as bytes."""
+    """Encodes single words (matches of the splitting pattern), given as bytes. Made once, on the driver; what tasks get has
+    all but the trie, which each builds anew."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        import ahocorasick
-
         self.ranks = {token.decode("latin-1"): rank for token, rank in ranks.items()}
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.longest_token = max(map(len, self.ranks), default=1)
         self.pairs: dict[tuple[int, int], int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         self.known: dict[tuple[int, int], bool] = {}
-        self.trie = ahocorasick.Automaton()
-        for token, rank in self.ranks.items():
-            self.trie.add_word(token, rank)
-        unreachable = [token for token, rank in sorted(self.ranks.items(), key=lambda x: x[1]) if not self._split(token, rank)]
-        for token in unreachable:  # they stand only where they are a whole word
-            self.trie.remove_word(token)
+        # tokens that no merges lead to stand only where they are a whole word
+        self.tokens = {token: rank for token, rank in sorted(self.ranks.items(), key=lambda x: x[1]) if self._split(token, rank)}
         self.known.clear()
+        self._plant()
         self.shorter = {rank: self._longest(token[:-1]) for token, rank in self.ranks.items() if len(token) > 1}
         self.length = {rank: len(token) for token, rank in self.ranks.items()}
 
+    def _plant(self) -> None:
+        import ahocorasick
+
+        self.trie = ahocorasick.Automaton()
+        for token, rank in self.tokens.items():
+            self.trie.add_word(token, rank)
+
+    def __getstate__(self) -> dict:
+        return {name: value for name, value in self.__dict__.items() if name not in ("trie", "known")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state, known={})
+        self._plant()
+
     def _longest(self, text: str) -> int | None:
         """Rank of the longest token that text starts with."""
-        n = self.trie.longest_prefix(text)
-        while n and not self.trie.exists(text[:n]):
+        n, tokens = self.trie.longest_prefix(text), self.tokens
+        while n and (found := tokens.get(text[:n])) is None:
             n -= 1
-        return self.trie.get(text[:n]) if n else None
+        return found if n else None
 
     def _split(self, token: str, rank: int) -> bool:
         """Notes the two tokens whose merge gives this one. False if no merges lead to it."""
@@ -115,64 +126,89 @@ class Encoder:
         whole = self.ranks.get(text)
         if whole is not None:
             return [whole]
-        n, reach, out, at = len(text), self.longest_token, [], 0
-        open_end = bytearray(b"\1") * (n + 1)
-        token = self._longest(text[:reach]) if n else None
+        known, length, longest = self.known, self.length, self._longest
+        n, reach, out, at, closed = len(text), self.longest_token, [], 0, set()
+        before = token = None
         while at < n:
-            end = at + self.length[token]
-            if open_end[end] and (not out or self.compatible(out[-1], token)):
+            if token is None:
+                token = longest(text[at : at + reach])
+            end = at + length[token]
+            if end not in closed and (before is None or known.get((before, token)) or self.compatible(before, token)):
                 out.append(token)
-                at = end
-                token = self._longest(text[at : at + reach]) if at < n else None
+                at, before, token = end, token, None
                 continue
-            shorter = self.shorter.get(token)
-            if shorter is not None:
-                token = shorter
-            else:
-                open_end[at] = 0
+            token = self.shorter[token] if length[token] > 1 else None
+            if token is None:  # the token before doesn't stand
+                closed.add(at)
                 token = out.pop()
-                at -= self.length[token]
+                at -= length[token]
+                before = out[-1] if out else None
         return out
 
 
 class _Words(dict):
-    """Tokens of each word seen, by the word."""
+    """Places of the tokens of words seen in a task, by the word."""
 
     def __init__(self, encoder: Encoder):
         self.encoder = encoder
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= KEEP_WORDS:
-            self.clear()
-        found = tuple(self.encoder.encode(word.encode("utf-8")))
-        if len(word) <= 64:
-            self[word] = found
-        return found
+        self.flat, self.starts, self.sizes, self.held = array("i"), array("q"), array("i"), 0
+        self.forget()
+
+    def forget(self) -> None:
+        """Words stay for one more round, in which those that are seen again are taken over."""
+        self.older = dict(self), self.flat, self.starts
+        self.clear()
+        self.flat, self.starts, self.sizes, self.held = array("i"), array("q", [0]), array("i"), 0
+
+    def full(self) -> bool:
+        return max(len(self), self.held // 16, len(self.flat) // 16) >= KEEP_WORDS
+
+    def __missing__(self, word: str) -> int:
+        places, flat, starts = self.older
+        at = places.get(word)
+        ids = self.encoder.encode(word.encode("utf-8")) if at is None else flat[starts[at] : starts[at + 1]]
+        place = self[word] = len(self.sizes)
+        self.flat.extend(ids)
+        self.starts.append(len(self.flat))
+        self.sizes.append(len(ids))
+        self.held += len(word)
+        return place
+
+    def tokens(self, places: np.ndarray) -> np.ndarray:
+        """Ids of words one after the other."""
+        sizes = np.array(self.sizes, np.int64)[places]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(np.array(self.starts, np.int64)[places] - (ends - sizes), sizes)
+        return np.array(self.flat, np.int32)[at]
 
 
 def tokenize(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes each text and decodes its tokens again.
 
     Returns id_col, ids (array of int) and decoded (binary, from the ids). The vocabulary file is read once, on the
-    driver, and its ranks are broadcast: their size is that of the file and doesn't grow with the data.
+    driver, and what encodes with it is broadcast: its size is that of the file and doesn't grow with the data.
     """
-    ranks = df.sparkSession.sparkContext.broadcast(read_ranks(path))
+    shipped = df.sparkSession.sparkContext.broadcast(Encoder(read_ranks(path)))
     schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, ids array<int>, decoded binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        # built for each task: it takes a fraction of a second, and idle workers then hold no tables
-        encoder, split = Encoder(ranks.value), regex.compile(pattern)
-        words, bytes_of = _Words(encoder), encoder.bytes_of
+        # unpacked for each task: it takes a fraction of a second, and idle workers then hold no tables
+        words, bytes_of, split = _Words(encoder := shipped.value), encoder.bytes_of, regex.compile(pattern).findall
+        vocabulary = pa.array([bytes_of.get(rank, b"") for rank in range(max(bytes_of, default=0) + 1)], pa.binary())
         for batch in slices(batches):
-            lists, decoded = [], []
-            for text in texts(batch.column(1)):
-                ids = list(chain.from_iterable(map(words.__getitem__, split.findall((text or b"").decode("utf-8")))))
-                lists.append(np.array(ids, dtype=np.int32))
-                decoded.append(b"".join(map(bytes_of.__getitem__, ids)))
-            ends = pa.array([0, *accumulate(map(len, lists))], pa.int32())
-            ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *lists]), pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(decoded, pa.binary())], [id_col, "ids", "decoded"])
+            if words.full():
+                words.forget()
+            places = [np.fromiter(map(words.__getitem__, split((text or b"").decode("utf-8"))), np.int64) for text in texts(batch.column(1))]
+            joined = np.concatenate([np.zeros(0, np.int64), *places])
+            ids = words.tokens(joined)
+            counts = np.concatenate([[0], np.cumsum(np.array(words.sizes, np.int64)[joined])])
+            ends = counts[np.cumsum([0, *map(len, places)])].astype(np.int32)
+            # what the ids stand for lies in one buffer, which only needs the ends of texts
+            decoded = vocabulary.take(pa.array(ids))
+            at = np.frombuffer(decoded.buffers()[1], np.int32, len(ids) + 1, 4 * decoded.offset)[ends] if len(ids) else np.zeros(len(ends), np.int32)
+            whole = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(at.tobytes()), decoded.buffers()[2] if len(ids) else pa.py_buffer(b"")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), whole], [id_col, "ids", "decoded"])
 
     return df.select(id_col, text_col).mapInArrow(run, schema)
