@@ -1,21 +1,25 @@
 """Removal of repeated substrings: each byte covered by a string of `length` bytes that also starts anywhere else.
 
-Ranks of positions by their first bytes grow in rounds, as in prefix doubling, and a position leaves when its rank is
-unique or its prefix has reached `length`. What is sorted isn't one pair a byte, though:
+Equal strings get equal ranks, made by prefix doubling, and what is unique leaves early. Sorting a pair for each byte and
+round would take many times the input's size, so positions are pruned before:
 
-1. Windows (strings of `length` bytes) are ranked by an anchor of theirs: of the 24-byte strings inside, the one with the
+1. Windows (strings of `length` bytes) are grouped by an anchor of theirs: of the 24-byte strings inside, the one with the
    least hash. Equal windows have equal anchors in equal places. Neighbouring windows mostly have one anchor, and such a
-   run is one row. Spark groups the rows by anchor; where an anchor has one row, no window of it repeats.
-2. The pair of anchor and whole run is ranked. A run that occurs twice or more has only windows that repeat.
-3. What is left are runs that share an anchor with different runs. One of each is sorted by anchor, and the windows in a
-   group are ranked by doubling (25, 50, 100, 200 bytes), a rank being a 64-bit name of the pair of ranks half as
-   long, and counted with the number of copies. Groups of more than `group_limit` runs aren't taken by one
-   task: Spark groups their windows by rank.
+   run is one row. Spark counts rows by anchor; where an anchor has one row, no window of it repeats.
+2. Spark groups the rest by anchor and name of the whole run. A run that occurs twice or more has only windows that repeat.
+3. What is left are runs that share an anchor with different runs. One of each goes to a group by anchor. There its windows
+   are ranked by doubling (1, 2, 4, ... bytes up to `length`; a rank is a 64-bit name of the pair of ranks half as long),
+   in numpy, and equal ranks are counted with the number of copies. Groups of more than `group_limit` runs aren't taken by
+   one task: Spark groups their windows by rank.
+
+An anchor or run may have a great part of all rows (a licence, a group of copies). Counts are combined before they move, and
+joins by anchor or run are between stored tables, so that Spark splits a partition that is too large (adaptive execution).
 
 Matches never cross texts. Distances are in bytes of UTF-8.
 
 Defined results: a null text counts as empty; a text shorter than `length` keeps all. Repeated rows repeat each other, so
-they're removed if long enough. Texts of any length are taken whole. Other columns of the input aren't read.
+they're removed if long enough. Ids may be null or repeat. Texts of any length are taken whole. Other columns of the input
+aren't read.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, slices, stored, texts
+from .common import ROW, discard, numbered, own_ids, slices, small_enough, stored, texts
 
 LENGTH, ANCHOR = 200, 24
 #: Runs of a group that one task ranks: their bytes and ranks take some 50 MB.
@@ -124,9 +128,7 @@ def _find_runs(docs: DataFrame, length: int, full: bool) -> DataFrame:
 
 def _contents(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
     """Adds the bytes of runs: from (anchor, key, at, copies) to the same and content."""
-    of_text = runs.groupBy("key").agg(F.collect_list(F.struct("anchor", "at", "copies")).alias("runs"))
-    if runs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        of_text = F.broadcast(of_text)
+    of_text = stored(runs.groupBy("key").agg(F.collect_list(F.struct("anchor", "at", "copies")).alias("runs")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -141,7 +143,7 @@ def _contents(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
                     contents.append(raw[first : first + more + length])
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((anchors, keys, ats, copies, contents), (pa.int64(),) * 4 + (pa.binary(),))], ["anchor", "key", "at", "copies", "content"])
 
-    return docs.join(of_text, "key").select("key", "text", "runs").mapInArrow(run, "anchor bigint, key bigint, at bigint, copies bigint, content binary")
+    return docs.join(small_enough(of_text), "key").select("key", "text", "runs").mapInArrow(run, "anchor bigint, key bigint, at bigint, copies bigint, content binary")
 
 
 def _windows(part: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,7 +210,7 @@ def _by_windows(contents: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([take("anchor"), pa.array(names.view(np.int64)), take("key"), pa.array(part.column("at").to_numpy()[which] // 256 + within), take("copies")], ["anchor", "name", "key", "first", "copies"])
 
     rows = contents.mapInArrow(run, "anchor bigint, name bigint, key bigint, first bigint, copies bigint")
-    twice = rows.groupBy("anchor", "name").agg(F.sum("copies").alias("n")).where("n > 1").drop("n")
+    twice = stored(rows.groupBy("anchor", "name").agg(F.sum("copies").alias("n")).where("n > 1").drop("n"))
     return rows.where("copies = 1").join(twice, ["anchor", "name"]).select("key", "first", F.col("first").alias("last"))
 
 
@@ -235,24 +237,24 @@ def remove_repeated(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     if not ANCHOR <= length <= ANCHOR + 255:
         raise ValueError(f"length must be from {ANCHOR} to {ANCHOR + 255}")
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    unique = dict(rows.dtypes)["id"] in ("bigint", "int") and rows.agg(F.count("*") == F.count("id")).first()[0] and not rows.groupBy("id").count().where("count > 1").limit(1).count()
-    # rows whose ids don't tell them apart are told apart by id and text; equal rows have one key and equal results
-    docs = rows.select((F.col("id").cast("bigint") if unique else F.xxhash64("id", "text")).alias("key"), "id", "text")
-
-    texts_only = docs.select("key", "text").where(F.octet_length("text") >= length)
-    shared = _find_runs(texts_only, length, full=False).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    runs = stored(_find_runs(texts_only, length, full=True).join(shared, "anchor"))
+    if own_ids(rows, "id"):
+        docs = rows.select(F.col("id").cast("bigint").alias("key"), "id", "text")
+    else:
+        docs = numbered(df, id_col, text_col).select(F.col(ROW).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    long = docs.select("key", "text").where(F.octet_length("text") >= length)
+
+    shared = stored(_find_runs(long, length, full=False).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
+    runs = stored(_find_runs(long, length, full=True).join(shared, "anchor"))
+    discard(shared)
     kinds = stored(runs.groupBy("anchor", "run").agg(F.count("*").alias("copies"), F.min(F.struct("key", "at")).alias("one")))
     known = runs.join(kinds.where("copies > 1").select("anchor", "run"), ["anchor", "run"]).select("key", F.floor(F.col("at") / 256).alias("first"), (F.floor(F.col("at") / 256) + F.col("at") % 256).alias("last"))
-    groups = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("fewest")).where("kinds > 1 and fewest = 1")
-    open_runs = kinds.join(groups.select("anchor", "kinds"), "anchor").select("anchor", F.col("one.key").alias("key"), F.col("one.at").alias("at"), "copies", "kinds")
-    distinct_texts = texts_only if unique else texts_only.dropDuplicates(["key"])
-    found = known.unionByName(_in_groups(_contents(distinct_texts, open_runs.where(F.col("kinds") <= group_limit), length), length))
+    groups = stored(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("fewest")).where("kinds > 1 and fewest = 1").drop("fewest"))
+    open_runs = kinds.join(groups, "anchor").select("anchor", F.col("one.key").alias("key"), F.col("one.at").alias("at"), "copies", "kinds")
+    found = known.unionByName(_in_groups(_contents(long, open_runs.where(F.col("kinds") <= group_limit), length), length))
     if groups.where(F.col("kinds") > group_limit).limit(1).count():
-        found = found.unionByName(_by_windows(_contents(distinct_texts, open_runs.where(F.col("kinds") > group_limit), length), length))
+        found = found.unionByName(_by_windows(_contents(long, open_runs.where(F.col("kinds") > group_limit), length), length))
     spans = stored(_spans(found, length))
-    if (spans.agg(F.sum(F.size("starts") + 1)).first()[0] or 0) <= BROADCAST_ROWS:
-        spans = F.broadcast(spans)
+    discard(runs, kinds, groups)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -263,5 +265,5 @@ def remove_repeated(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
                 kept.append(b"".join(raw[a:b] for a, b in zip([0, *(ends or [])], [*(starts or []), len(raw)])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *(c if not c.null_count else pa.array([x or [] for x in c.to_pylist()], c.type) for c in (batch.column(2), batch.column(3))), pa.array(kept, pa.binary())], [id_col, "n_bytes", "starts", "ends", "kept"])
 
-    whole = docs.join(spans, "key", "left").select("id", "text", "starts", "ends")
+    whole = docs.join(small_enough(spans), "key", "left").select("id", "text", "starts", "ends")
     return whole.mapInArrow(run, f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, n_bytes bigint, starts array<bigint>, ends array<bigint>, kept binary")
