@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
-    """From (a, b): (node, label), label being the smallest node of the component. Each round is stored; the number of
-    rounds grows with the logarithm of the longest chain. Only two sums a round come to the driver."""
+    """From (a, b): (node, label), label being the smallest node of the component, stored. So is each round; their number grows
+    with the logarithm of the longest chain. Only two sums a round come to the driver."""
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
     while True:
+        before = edges
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: larger neighbours go to the least neighbour
@@ -21,8 +22,11 @@ def components(links: DataFrame) -> DataFrame:
         # small star: a node and its smaller neighbours go to the least of them
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         edges = stored(edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first())
-        if now == seen:
+        if now == seen or not now[0]:
             break
         seen = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    labels = stored(edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()))
+    discard(edges)
+    return labels

@@ -10,7 +10,8 @@
    link. In a tile bit counts bound the overlap of each pair of different components from above.
 5. Pairs that pass the bound are intersected exactly as sorted arrays. Links of both steps give the components.
 
-No pair that could join two components is left out, so components are those of all links.
+No pair that could join two components is left out, so components are those of all links. Pairs inside a component are
+skipped; link_pairs() compares and returns all.
 
 Words are runs between the ASCII white space bytes after lower-casing A-Z. Hashes of 64 bits stand for shingles.
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_enough, slices, stored, texts
+from .common import ROW, discard, numbered, slices, small_enough, stored, texts
 from .graph import components
 
 SHINGLE, PERCENT = 5, 80
@@ -39,6 +40,8 @@ BITS = 1024
 #: Buckets are named by so many bits of a hash: two elements of one name only add candidates.
 BUCKET_MASK = (1 << 48) - 1
 TILE_ROWS, SMALL_TILE = 1024, 32
+#: Classes whose arrays are compared at once, some 100 MB in all, without a look at wider bitmaps first.
+FEW_ARRAYS = 20_000
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -92,20 +95,20 @@ def _frequent(df: DataFrame, size: int) -> np.ndarray:
             found, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *map(shingler, texts(batch.column(0)))]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts)], ["h", "n"])
 
-    sample = df.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(SAMPLE_SHARE)) == 0).select("text")
+    sample = df.where(F.pmod(F.xxhash64(F.lit(3), "row"), F.lit(SAMPLE_SHARE)) == 0).select("text")
     counts = sample.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= SAMPLE_MIN)
     return np.sort(np.array([r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(MAX_FREQUENT).collect()], dtype=np.int64))
 
 
 def _signatures(df: DataFrame, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(id, n, key, bitmap, prefix): key is a digest of the whole set."""
+    """(id, row, n, key, bitmap, prefix) from (id, row, text): key is a digest of the whole set."""
     shipped = df.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, last = Shingler(size), shipped.value
         for batch in slices(batches):
             ns, keys, bitmaps, prefixes = [], [], [], []
-            for raw in texts(batch.column(1)):
+            for raw in texts(batch.column(2)):
                 hashes = shingler(raw)
                 n = len(hashes)
                 ns.append(n)
@@ -118,35 +121,29 @@ def _signatures(df: DataFrame, size: int, percent: int, frequent: np.ndarray) ->
                 prefixes.append(hashes[:length] & BUCKET_MASK)
             ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32))
             prefix = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array(bitmaps, pa.binary()), prefix], ["id", "n", "key", "bitmap", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array(bitmaps, pa.binary()), prefix], ["id", "row", "n", "key", "bitmap", "prefix"])
 
-    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, n bigint, key binary, bitmap binary, prefix array<bigint>")
+    return df.select("id", "row", "text").mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, row bigint, n bigint, key binary, bitmap binary, prefix array<bigint>")
 
 
 def _again(df: DataFrame, nodes: DataFrame, size: int, wide: bool) -> DataFrame:
-    """(node, n, made) of classes given as (node, first_id, key), from the text of the first document: a wide bitmap of
-    four to eight bits an element, or the sorted hashes."""
+    """(node, n, made) of classes, named by the row of their first document, from its text: a wide bitmap of four to eight
+    bits an element, or the sorted hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for batch in slices(batches):
-            nodes, counts, made = [], [], []
-            for node, key, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), texts(batch.column(0))):
-                hashes = shingler(raw)
-                if hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() == key:  # else a row that only has the same id
-                    nodes.append(node)
-                    counts.append(len(hashes))
-                    made.append(_bitmap(hashes, 4 << (len(hashes) - 1).bit_length()) if wide else hashes.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()), pa.array(made, pa.binary())], ["node", "n", "made"])
+            found = list(map(shingler, texts(batch.column(1))))
+            made = [_bitmap(hashes, 4 << (len(hashes) - 1).bit_length()) if wide else hashes.tobytes() for hashes in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, found), pa.int64()), pa.array(made, pa.binary())], ["node", "n", "made"])
 
-    wanted = nodes.select(F.col("first_id").alias("wanted_id"), "node", "key")
-    rows = df.join(small_enough(wanted), F.expr("id <=> wanted_id")).select("text", "node", "key")
-    return rows.mapInArrow(run, "node bigint, n bigint, made binary")
+    wanted = df.join(small_enough(nodes).select(F.col("node").alias("row")), "row", "left_semi")
+    return wanted.select(F.col("row").alias("node"), "text").mapInArrow(run, "node bigint, n bigint, made binary")
 
 
-def _compared(df: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int, wide: bool) -> DataFrame:
-    """Pairs (a, b) of classes that link, by exact intersection of sorted arrays; if wide, those that may, by bitmaps."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    made = stored(_again(df, classes.join(small_enough(ends), "node", "left_semi"), size, wide))
+def _compared(df: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int, percent: int, wide: bool) -> DataFrame:
+    """Pairs (a, b) of classes that link, by exact intersection of sorted arrays; if wide, those that may, by bitmaps. nodes
+    holds the classes in pairs."""
+    made = stored(_again(df, nodes, size, wide))
 
     def fold(bitmap: np.ndarray, length: int) -> np.ndarray:
         return np.bitwise_or.reduce(bitmap.reshape(-1, length))
@@ -168,13 +165,26 @@ def _compared(df: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, pe
 
     of = lambda side: made.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("made").alias(f"made_{side}"))
     joined = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "made_a", "made_b")
-    return stored(joined.mapInArrow(run, "a bigint, b bigint"))
+    found = stored(joined.mapInArrow(run, "a bigint, b bigint"))
+    discard(made)
+    return found
+
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
 
-def _linked(df: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of classes those that link. Wide bitmaps, a tenth of the arrays, rule out most before arrays move."""
-    close = _compared(df, stored(pairs), classes, size, percent, wide=True)
-    return _compared(df, close, classes, size, percent, wide=False)
+
+def _linked(df: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of stored pairs (a, b) of classes those that link. Wide bitmaps, a tenth of the arrays, rule out most before arrays
+    move, unless arrays are few."""
+    nodes = _ends(pairs)
+    if nodes.limit(FEW_ARRAYS + 1).count() > FEW_ARRAYS:
+        close = _compared(df, pairs, nodes, size, percent, wide=True)
+        discard(pairs, nodes)
+        pairs, nodes = close, _ends(close)
+    links = _compared(df, pairs, nodes, size, percent, wide=False)
+    discard(pairs, nodes)
+    return links
 
 
 def _bounded(percent: int, n_a: np.ndarray, n_b: np.ndarray, bits_a: np.ndarray, bits_b: np.ndarray, both: np.ndarray) -> np.ndarray:
@@ -271,36 +281,57 @@ def _tile_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return small.unionByName(dealt).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def link_classes(df: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns id_col, n_shingles and component_id (the smallest id reachable by links) for every row."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = stored(_signatures(rows, size, percent, _frequent(rows, size)).withColumn("row", F.monotonically_increasing_id()))
+def _signed(df: DataFrame, size: int, percent: int, id_col: str, text_col: str, row_col: str | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(id, row, text) of all rows; what is stored of them; classes of equal sets; their signatures; and the buckets (h, node)
+    that several classes share."""
+    rows = (df.withColumnRenamed(row_col, ROW) if row_col else numbered(df, id_col, text_col)).select(F.col(id_col).alias("id"), F.col(ROW).alias("row"), F.col(text_col).alias("text"))
+    signed = stored(_signatures(rows, size, percent, _frequent(rows, size)))
     classes = stored(signed.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("id").alias("least_id"), F.count("*").alias("copies")))
     first = signed.join(small_enough(classes.select(F.col("node").alias("row"))), "row", "left_semi")
-    nodes = stored(first.select(F.col("row").alias("node"), F.col("id").alias("first_id"), "key", "n", "bitmap"))
-
-    prefix = first.select(F.explode("prefix").alias("h"), F.col("row").alias("node"))
+    nodes = stored(first.select(F.col("row").alias("node"), "n", "bitmap", "prefix"))
+    prefix = nodes.select(F.explode("prefix").alias("h"), "node")
     shared = prefix.groupBy("h").agg(F.count("*").alias("of")).where("of > 1")
-    buckets = stored(prefix.join(shared.select("h"), "h").select("h", "node"))
+    return rows, signed, classes, nodes.drop("prefix"), stored(prefix.join(shared.select("h"), "h").select("h", "node"))
+
+
+def link_classes(df: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """Returns id_col, n_shingles and component_id (the smallest id reachable by links) for every row. row_col: a number of
+    each row that no other has and that stays the same, if df has one."""
+    rows, signed, classes, nodes, buckets = _signed(df, size, percent, id_col, text_col, row_col)
 
     # one comparison a class: with the class of its buckets whose own prefix is shared the most
     weight = buckets.groupBy("node").agg(F.count("*").alias("shared")).join(nodes, "node").select("node", (F.col("shared") / F.col("n")).alias("weight"))
     hubs = buckets.join(weight, "node").groupBy("h").agg(F.max(F.struct("weight", "node")).alias("hub")).select("h", F.col("hub.node").alias("hub"))
     best = buckets.join(hubs, "h").where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("common")).groupBy("node").agg(F.max(F.struct("common", "hub")).alias("best"))
     pairs = best.select(F.col("node").alias("a"), F.col("best.hub").alias("b"))
-    links = _linked(rows, _pairs_within_bound(pairs, nodes, percent), nodes, size, percent)
-    labels = stored(components(links))
+    links = _linked(rows, stored(_pairs_within_bound(pairs, nodes, percent)), size, percent)
+    labels = components(links)
 
     # what is left: buckets of several components
     labelled = buckets.join(nodes.select("node", "n").join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label")), "node")
     mixed = labelled.groupBy("h").agg(F.count("*").alias("of"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
     mixed = mixed.where(f"low <> high and (of > 2 or 100 * least >= {percent} * most)").select("h", "of")
     open_rows = labelled.join(mixed, "h").join(nodes.select("node", "bitmap"), "node").select("h", "of", "node", "label", "n", "bitmap")
-    more = _linked(rows, _tile_pairs(open_rows, percent), nodes, size, percent)
-    final = stored(components(links.union(more)))
+    more = _linked(rows, stored(_tile_pairs(open_rows, percent)), size, percent)
+    final = components(links.union(more)) if more.limit(1).count() else labels
+    discard(buckets, links, more, *([] if final is labels else [labels]))
 
     named = classes.join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
     of_key = named.join(least, "label").select("key", "component_id")
     out = signed.select("id", "n", "key").join(of_key, "key", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def link_pairs(df: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """All links, not only what they connect: pairs (a, b) of classes that link, a < b, and membership (id_col, class_id,
+    n_shingles), class_id being null for rows without words. Rows of one class are linked with each other and with those of
+    the classes that theirs links with. This compares all classes of a bucket, so it costs more than link_classes() where
+    very many texts differ by a little."""
+    rows, signed, classes, nodes, buckets = _signed(df, size, percent, id_col, text_col, row_col)
+    of = buckets.groupBy("h").agg(F.count("*").alias("of"))
+    tiles = buckets.join(of, "h").join(nodes, "node").select("h", "of", "node", F.col("node").alias("label"), "n", "bitmap")
+    links = _linked(rows, stored(_tile_pairs(tiles, percent)), size, percent)
+    discard(buckets)
+    members = signed.join(classes.select("key", F.col("node").alias("class_id")), "key", "left")
+    return links, members.select(F.col("id").alias(id_col), "class_id", F.col("n").alias("n_shingles"))
