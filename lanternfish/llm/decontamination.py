@@ -8,7 +8,9 @@ rarest first, are intersected with them. What is left are exact phrase matches.
 and up to a fifth of the terms missing, the same pass gives proximity matches. As the rarest term may be a missing one,
 these also start from the next rarest places: one more than may be missing, so each match holds one of them.
 
-Test items are taken in blocks of bounded size. If they fit in one block, only terms of theirs are indexed.
+Test items are taken in blocks of bounded size, long ones in pieces that overlap by a window less a word. If they fit in
+one block, only terms of theirs are indexed. Windows, terms and postings are integer arrays; all candidates of a segment
+are tested at once, a bounded number at a time.
 
 Words are runs of characters other than 0x00-0x2F, 0x3A-0x60 and 0x7B-0x7F after lower-casing A-Z.
 
@@ -19,20 +21,25 @@ one that is null isn't listed, though its words count as hit. Repeated documents
 
 from __future__ import annotations
 
+import string
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, slices, stored, texts
+from .common import SLICE, slices, small_enough, stored, texts
 
 WINDOW, SLOP = 10, 2
-#: Words of test items in a block; a block is broadcast, tens of MB at most.
-BLOCK_WORDS = 1_000_000
+#: Words of test items in a block, about; a block is broadcast: some 40 bytes a word in arrays, and its terms. Windows of a
+#: longer item that go together.
+BLOCK_WORDS, PIECE_WINDOWS = 250_000, 10_000
+#: Candidates that a task tests at a time.
+CANDIDATES = 1 << 20
 #: A segment is closed when it holds so many documents or words.
 SEGMENT_DOCS, SEGMENT_WORDS = 4 * SLICE, 1_000_000
 GAP = 64
@@ -91,120 +98,173 @@ def build_index(df: DataFrame, vocabulary: set[bytes] | None = None, id_col: str
 
 
 class Windows:
-    """The windows of a block of items: distinct, each with the items that hold it, by the terms they are looked up from."""
-
-    def __init__(self, items: list[tuple[str | None, list[bytes]]], counts: dict[bytes, int], window: int):
-        owners: dict[tuple[bytes, ...], set] = defaultdict(set)
+    """The distinct windows of a block of items as rows of term numbers, and which items hold each."""
+
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
+        self.vocabulary = sorted({word for _, words in items for word in words})
+        number = {word: i for i, word in enumerate(self.vocabulary)}
+        self.names = sorted({item for item, _ in items if item is not None})
+        name = {item: i for i, item in enumerate(self.names)}
+        rows, owners = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)]
         for item, words in items:
-            for at in range(max(1, len(words) - window + 1) if words else 0):
-                owners[tuple(words[at : at + window])].add(item)
-        self.items = [sorted(x for x in found if x is not None) for found in owners.values()]
-        self.sizes = [len(terms) for terms in owners]
-        self.terms: list[list[tuple[bytes, int]]] = []  # rarest first, with their places
-        self.probes: dict[bytes, list[tuple[int, int]]] = defaultdict(list)  # (window, which of its terms)
-        for k, terms in enumerate(owners):
-            order = sorted(range(len(terms)), key=lambda i: (counts.get(terms[i], 0), i))
-            self.terms.append([(terms[i], i) for i in order])
-            for p in range(len(terms) // 5 + 1):
-                self.probes[terms[order[p]]].append((k, p))
-
-    def match(self, lists: dict[bytes, np.ndarray], slop: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(window, starts of exact matches, starts of proximity matches that aren't exact) in a segment. A window may come
-        several times, with exact matches only from its rarest term."""
-        for term in self.probes.keys() & lists.keys() if len(self.probes) < len(lists) else [t for t in lists if t in self.probes]:
-            for k, p in self.probes[term]:
-                terms = self.terms[k]
-                starts = lists[term] - terms[p][1]
-                missing = np.zeros(len(starts), np.int32)
-                spare = len(terms) // 5
-                others = terms[:p] + terms[p + 1 :]
-                for checked, (other, offset) in enumerate(others):
-                    postings = lists.get(other)
-                    if postings is None:
-                        missing += 1
-                    else:
-                        low = starts + (offset - slop)
-                        # how far the first posting from there lies; a wrapped negative number if all lie before
-                        missing += (postings.take(postings.searchsorted(low), mode="clip") - low).view(np.uint32) > 2 * slop
-                    if checked >= spare:
-                        alive = missing <= spare
-                        if not alive.all():
-                            starts, missing = starts[alive], missing[alive]
-                        if not len(starts):
-                            break
-                inexact = np.zeros(len(starts), bool)
-                for other, offset in others if len(starts) else ():
-                    postings = lists.get(other)
-                    inexact |= True if postings is None else postings.take(postings.searchsorted(starts + offset), mode="clip") != starts + offset
-                if len(starts):
-                    yield k, starts[:0] if p else starts[~inexact], starts[inexact]
-
-
-def search(index: DataFrame, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW, slop: int = SLOP, id_col: str = "doc_id") -> DataFrame:
-    """For a block of items, all documents of an index: id_col, n_words, hit_positions (sorted places of words in exact
-    matches), items and near_items (ids of those with exact, and with only proximity matches)."""
+            codes = np.array([number[w] for w in words], np.int32)
+            if len(codes) >= window:
+                rows.append(np.lib.stride_tricks.sliding_window_view(codes, window))
+            elif len(codes):
+                rows.append(np.pad(codes, (0, window - len(codes)), constant_values=-1)[None])
+            else:
+                continue
+            owners.append(np.full(len(rows[-1]), name.get(item, -1)))
+        self.terms, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        self.sizes = (self.terms >= 0).sum(axis=1)
+        held = np.unique(np.stack([which.reshape(-1), np.concatenate(owners)]), axis=1)
+        held = held[:, held[1] >= 0]
+        self.items, self.item_ends = held[1].astype(np.int32), np.searchsorted(held[0], np.arange(len(self.terms) + 1))
+
+    def rank(self, counts: np.ndarray) -> None:
+        """Puts the terms of each window in the order of their counts, rarest first; offsets are their places in the window."""
+        key = np.where(self.terms >= 0, counts[self.terms] if len(counts) else 0, np.iinfo(np.int64).max)
+        self.offsets = np.argsort(key, axis=1, kind="stable").astype(np.int8)
+        self.terms = np.take_along_axis(self.terms, self.offsets.astype(np.int64), axis=1)
+
+    def match(self, keys: np.ndarray, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(windows, starts, whether exact) of matches in a segment, given as sorted keys (term * 2^32 + position). A match may
+        come several times, but an exact one only from the window's rarest term."""
+        if not len(keys) or not len(self.terms):
+            return
+        from_, to = (np.searchsorted(keys, np.arange(len(self.vocabulary), dtype=np.int64) + more << 32) for more in (0, 1))
+        spare = self.sizes // 5
+        for probe in range(int(spare.max()) + 1):
+            windows = np.flatnonzero((spare >= probe) & (self.terms[:, probe] >= 0))
+            windows = windows[to[self.terms[windows, probe]] > from_[self.terms[windows, probe]]]
+            many = np.cumsum(to[self.terms[windows, probe]] - from_[self.terms[windows, probe]])
+            at = 0
+            while at < len(windows):
+                until = max(at + 1, int(np.searchsorted(many, (many[at - 1] if at else 0) + CANDIDATES, "right")))
+                yield from self._test(windows[at:until], probe, keys, from_, to, spare, slop)
+                at = until
+
+    def _test(self, windows: np.ndarray, probe: int, keys: np.ndarray, from_: np.ndarray, to: np.ndarray, spare: np.ndarray, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        first = from_[self.terms[windows, probe]]
+        counts = to[self.terms[windows, probe]] - first
+        for low in range(0, int(counts.max()), CANDIDATES) if len(windows) == 1 else (0,):  # one window may have more alone
+            n = np.clip(counts - low, 0, CANDIDATES) if len(windows) == 1 else counts
+            k = np.repeat(windows, n)
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first + low, n)
+            starts = (keys[place] & 0xFFFFFFFF) - self.offsets[k, probe]
+            missing = np.zeros(len(k), np.int8)
+            last = len(keys) - 1
+            for j in (j for j in range(self.terms.shape[1]) if j != probe):
+                term = self.terms[k, j].astype(np.int64)
+                wanted = np.maximum(starts + self.offsets[k, j] - slop, 0)
+                found = keys[np.minimum(np.searchsorted(keys, (term << 32) + wanted), last)]
+                near = (found >= (term << 32) + wanted) & (found <= (term << 32) + starts + self.offsets[k, j] + slop)
+                missing += (term >= 0) & ~near
+                alive = missing <= spare[k]
+                if not alive.all():
+                    k, starts, missing = k[alive], starts[alive], missing[alive]
+            if len(k):
+                exact = missing == 0
+                for j in range(self.terms.shape[1]):
+                    term = self.terms[k, j].astype(np.int64)
+                    key = (term << 32) + starts + self.offsets[k, j]
+                    exact &= (term < 0) | (keys[np.minimum(np.searchsorted(keys, key), last)] == key)
+                take = np.full(len(k), True) if not probe else ~exact
+                yield k[take], starts[take], exact[take]
+
+    def held(self, pairs: np.ndarray) -> dict[int, list[str]]:
+        """Sorted items of each document, from (document, window) pairs."""
+        documents, windows = pairs
+        n = self.item_ends[windows + 1] - self.item_ends[windows]
+        items = self.items[np.repeat(self.item_ends[windows] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        found: dict[int, list[str]] = defaultdict(list)
+        for document, item in np.unique(np.stack([np.repeat(documents, n), items]), axis=1).T.tolist():
+            found[document].append(self.names[item])
+        return found
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, dict]]:
+    for batch in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
+        column = lambda name: batch.column(batch.schema.names.index(name))[0]  # noqa: B023, E731
+        yield column("ids").values, {"terms": column("terms").values} | {name: np.frombuffer(column(name).as_py(), np.int32) for name in ("starts", "n_words", "ends", "positions")}
+
+
+def _segment_keys(segment: dict, vocabulary: pa.Array) -> np.ndarray:
+    """Sorted (term * 2^32 + position) of the postings whose terms are in the vocabulary."""
+    terms = pc.fill_null(pc.index_in(segment["terms"], value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    each = np.repeat(terms, np.diff(segment["ends"], prepend=0))
+    return np.sort((each[each >= 0] << 32) + segment["positions"][each >= 0])
+
+
+def search(index: DataFrame, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW, slop: int = SLOP, id_col: str = "doc_id", found_only: bool = False) -> DataFrame:
+    """For a block of items, all documents of an index (or those with a match): id_col, n_words, hit_positions (sorted places
+    of words in exact matches), items and near_items (ids of those with exact, and with only proximity matches)."""
     if window + slop > GAP:
         raise ValueError(f"windows of up to {GAP - slop} words only: documents in a segment lie {GAP} places apart")
     id_type = index.schema["ids"].dataType.elementType.simpleString()
-    vocabulary = {term for _, words in items for term in words}
-    lengths = index.select("terms", "ends")
+    windows = Windows(items, window)
+    context = index.sparkSession.sparkContext
+    shipped_terms = context.broadcast(pa.array(windows.vocabulary, pa.binary()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shipped_terms.value
+        terms = shipped_terms.value
+        totals = np.zeros(len(terms), np.int64)
         for batch in batches:
-            totals: dict[bytes, int] = defaultdict(int)
-            for terms, ends in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for term, n in zip(terms, np.diff(np.frombuffer(ends, np.int32), prepend=0).tolist()):
-                    if term in wanted:
-                        totals[term] += n
-            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.binary()), pa.array(list(totals.values()), pa.int64())], ["term", "n"])
-
-    context = index.sparkSession.sparkContext
-    shipped_terms = context.broadcast(vocabulary)
-    counts = {bytes(r["term"]): r["n"] for r in lengths.mapInArrow(count, "term binary, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    shipped = context.broadcast(Windows(items, counts, window))
+            for names, ends in zip(batch.column(0), batch.column(1).to_pylist()):
+                place = pc.fill_null(pc.index_in(names.values, value_set=terms), -1).to_numpy(zero_copy_only=False)
+                np.add.at(totals, place[place >= 0], np.diff(np.frombuffer(ends, np.int32), prepend=0)[place >= 0])
+        there = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(totals[there])], ["term", "n"])
+
+    counts = np.zeros(len(windows.vocabulary), np.int64)
+    for r in index.select("terms", "ends").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        counts[r["term"]] = r["n"]
+    windows.rank(counts)
+    windows.vocabulary = shipped_terms.value
+    shipped = context.broadcast(windows)
     schema = f"`{id_col}` {id_type}, n_words bigint, hit_positions array<int>, items array<string>, near_items array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows: Windows = shipped.value
-        for batch in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
-            row = {name: batch.column(i)[0].as_py() for i, name in enumerate(batch.schema.names) if name != "ids"}
-            ids = batch.column(batch.schema.names.index("ids"))[0].values
-            starts, n_words, ends, positions = (np.frombuffer(row[c], np.int32) for c in ("starts", "n_words", "ends", "positions"))
-            lists = dict(zip(row["terms"], np.split(positions, ends[:-1]) if len(ends) else []))
-            hits: dict[int, list[np.ndarray]] = defaultdict(list)
-            exact_of, near_of = defaultdict(set), defaultdict(set)
-            for k, exact, near in windows.match(lists, slop):
-                for found, into in ((exact, exact_of), (near, near_of)):
-                    # a proximity match may begin before its document does
-                    for doc, start in zip(np.clip(np.searchsorted(starts, found + (windows.sizes[k] if found is near else 0), "right") - 1, 0, None).tolist(), found.tolist()):
-                        into[doc].update(windows.items[k])
-                        if found is exact:
-                            hits[doc].append(np.arange(start - starts[doc], start - starts[doc] + windows.sizes[k], dtype=np.int32))
-            n = len(starts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids,
-                    pa.array(n_words.astype(np.int64)),
-                    pa.array([np.unique(np.concatenate(hits[i])).tolist() if i in hits else [] for i in range(n)], pa.list_(pa.int32())),
-                    pa.array([sorted(exact_of[i]) if i in exact_of else [] for i in range(n)], pa.list_(pa.string())),
-                    pa.array([sorted(near_of[i] - exact_of.get(i, set())) if i in near_of else [] for i in range(n)], pa.list_(pa.string())),
-                ],
-                [id_col, "n_words", "hit_positions", "items", "near_items"],
-            )
+        for ids, segment in _segments(batches):
+            starts, n_words = segment["starts"], segment["n_words"]
+            n, hit = len(starts), np.zeros((int(starts[-1]) + int(n_words[-1]) + 1 if len(starts) else 0) + 1, np.int32)
+            exact_of, near_of = [np.zeros((2, 0), np.int64)], [np.zeros((2, 0), np.int64)]
+            for k, at, exact in windows.match(_segment_keys(segment, windows.vocabulary), slop):
+                np.add.at(hit, at[exact], 1)
+                np.add.at(hit, at[exact] + windows.sizes[k[exact]], -1)
+                # a proximity match may begin before its document does
+                doc = np.clip(np.searchsorted(starts, np.where(exact, at, at + windows.sizes[k]), "right") - 1, 0, None)
+                exact_of.append(np.stack([doc[exact], k[exact]]))
+                near_of.append(np.stack([doc[~exact], k[~exact]]))
+            hit = np.cumsum(hit) > 0
+            exact_items, near_items = windows.held(np.concatenate(exact_of, axis=1)), windows.held(np.concatenate(near_of, axis=1))
+            hits = [np.flatnonzero(hit[s : s + m]).astype(np.int32) for s, m in zip(starts.tolist(), n_words.tolist())]
+            near = [sorted({*near_items[i]} - {*exact_items.get(i, ())}) if i in near_items else [] for i in range(n)]
+            out = pa.RecordBatch.from_arrays([ids, pa.array(n_words.astype(np.int64)), pa.array(hits, pa.list_(pa.int32())), pa.array([exact_items.get(i, []) for i in range(n)], pa.list_(pa.string())), pa.array(near, pa.list_(pa.string()))], [id_col, "n_words", "hit_positions", "items", "near_items"])
+            yield out.filter(pa.array([bool(len(hits[i]) or near[i]) for i in range(n)], pa.bool_())) if found_only else out
 
     return index.mapInArrow(run, schema)
 
 
+def _pieces(benchmark: DataFrame, window: int, item_col: str, item_text_col: str) -> DataFrame:
+    """(item, words): items, long ones in pieces that together have the same windows."""
+    lower = F.translate(F.coalesce(F.col(item_text_col), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    words = F.filter(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), words.alias("words")).where(F.size("words") > 0)
+    begins = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)), F.lit(PIECE_WINDOWS))
+    return items.withColumn("begin", F.explode(begins)).select("item", F.slice("words", F.col("begin") + 1, F.lit(PIECE_WINDOWS + window - 1)).alias("words"))
+
+
 def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """All documents against all test items: the columns of search()."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = -(-total // (4 * block_words)) or 1  # a word has some four characters at least, with what parts it from the next
+    pieces = _pieces(benchmark, window, item_col, item_text_col)
+    total = pieces.agg(F.sum(F.size("words"))).first()[0] or 0
+    n_blocks = -(-total // block_words) or 1
 
     def block(k: int) -> list[tuple[str | None, list[bytes]]]:
-        rows = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == k)
-        return [(r["item"], words_of(r["text"].encode("utf-8"))) for r in rows.collect()]
+        rows = pieces if n_blocks == 1 else pieces.where(F.pmod(F.xxhash64("item", "words"), F.lit(n_blocks)) == k)
+        return [(r["item"], [w.encode("utf-8") for w in r["words"]]) for r in rows.collect()]
 
     if n_blocks == 1:
         only = block(0)
@@ -214,12 +274,19 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, slo
     index = stored(build_index(df.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id")).alias("__key"), F.col(text_col).alias("__text")), None, "__key", "__text"))
     found = None
     for k in range(n_blocks):
-        part = search(index, block(k), window, slop, "__key")
+        part = search(index, block(k), window, slop, "__key", found_only=True).drop("n_words")
         found = part if found is None else found.unionByName(part)
     merged = found.groupBy("__key").agg(
-        F.max("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_positions")))).alias("hit_positions"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.flatten(F.collect_list("near_items")).alias("near"),
     )
-    return merged.select(F.col("__key.id").alias(id_col), "n_words", "hit_positions", "items", F.array_sort(F.array_except("near", "items")).alias("near_items"))
+    merged = stored(merged.select(F.col("__key.row").alias("row"), "hit_positions", "items", F.array_sort(F.array_distinct(F.array_except("near", "items"))).alias("near_items")))
+
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, segment in _segments(batches):
+            yield pa.RecordBatch.from_arrays([ids, pa.array(segment["n_words"].astype(np.int64))], ["__key", "n_words"])
+
+    rows = index.mapInArrow(lengths, f"__key {index.schema['ids'].dataType.elementType.simpleString()}, n_words bigint").select(F.col("__key.row").alias("row"), F.col("__key.id").alias(id_col), "n_words")
+    none = lambda name, kind: F.coalesce(name, F.array().cast(f"array<{kind}>")).alias(name)
+    return rows.join(small_enough(merged), "row", "left").select(id_col, "n_words", none("hit_positions", "int"), none("items", "string"), none("near_items", "string"))
