@@ -7,30 +7,16 @@ by doc_id, which may be null or repeat.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternfish.llm import bpe, decontamination, jaccard, language, secrets
-from lanternfish.llm.common import documents, hex_sha256, prepare, small_enough, stored
+from lanternfish.llm.common import ROW, discard, documents, hex_sha256, numbered, prepare, small_enough, stored
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Adds __row, a number of each row that stays the same whenever the table is read: of its file and place in it."""
-    try:
-        if not docs._jdf.queryExecution().analyzed().children().isEmpty():
-            raise AnalysisException("more than a scan")
-        rows = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
-    except AnalysisException:  # not a table as it is in Parquet files
-        return _numbered(stored(docs))
-    files = sorted(r[0] for r in rows.select("__file").distinct().collect())
-    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "__number long, __file string")
-    return rows.join(F.broadcast(numbers), "__file").select(*docs.columns, F.expr("shiftleft(__number, 40) + __at").alias("__row"))
-
-
-def _by_row(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """docs whose __row is (left_semi) or isn't (left_anti) among rows, without that column."""
-    return docs.join(small_enough(rows), "__row", how).drop("__row")
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs whose ROW isn't among rows, without that column."""
+    return docs.join(small_enough(rows), ROW, "left_anti").drop(ROW)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,25 +24,25 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     prepare(spark)
     model = language.fit(docs.where(~language.held_out()))
     others = tuple(c for c in docs.columns if c != "doc_id")
-    return language.identify(docs, model, keep=others).where("not rejected").select(*docs.columns)
+    return language.identify(docs, model, keep=others, prefix="__").where("not __rejected").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays, the first one if several have it. Null
     counts as largest."""
     prepare(spark)
-    docs = _numbered(docs)
-    by_id = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row").alias("__key")
-    groups = stored(jaccard.link_classes(docs.select(by_id, "text"), id_col="__key"))
-    return _by_row(docs, groups.where("__key <=> component_id").select("__key.__row"), "left_semi")
+    docs = numbered(docs)
+    by_id = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW).alias("__key")
+    groups = jaccard.link_classes(docs.select(by_id, "text", ROW), id_col="__key", row_col=ROW)
+    return _without(docs, stored(groups.where("not (__key <=> component_id)").select(f"__key.{ROW}")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     prepare(spark)
-    docs = _numbered(docs)
-    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__row")
-    return _by_row(docs, stored(found.where(F.size("hit_positions") > 0).select("__row")), "left_anti")
+    docs = numbered(docs)
+    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW)
+    return _without(docs, stored(found.where(F.size("hit_positions") > 0).select(ROW)))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -90,5 +76,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        before, docs = docs, stored(stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
