@@ -25,16 +25,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM v"""
 
 CHAT = r"""
-WITH t AS (SELECT conv_id, coalesce(turn, -1) AS turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations WHERE conv_id IS NOT NULL),
-p AS (SELECT *, floor(turn / 64)::BIGINT AS part FROM t),
-r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, part ORDER BY turn, role, text) - 1 AS place FROM p),
-s AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
-v AS (SELECT r.conv_id, perspective, part, floor(place / 64)::BIGINT AS piece, place, r.role = perspective AS target,
-  CASE WHEN r.role = perspective THEN '<|assistant|>' WHEN r.role = 'system' THEN '<|system|>' ELSE '<|user name=' || r.role || '|>' END || chr(10) AS head, r.text || '<|end|>' || chr(10) AS body FROM r JOIN s USING (conv_id)),
-o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part, piece ORDER BY place ROWS UNBOUNDED PRECEDING) AS upto FROM v)
-SELECT conv_id, perspective, part, piece, count(*) AS n_turns, count(*) FILTER (target) AS n_targets, sha256(string_agg(head || body, '' ORDER BY place)) AS text_sha256,
+WITH t AS (SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations WHERE conv_id IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place FROM t),
+p AS (SELECT *, place // 256 AS part, min(CASE WHEN role <> 'system' THEN place END) OVER (PARTITION BY conv_id) AS speaks FROM r),
+s AS (SELECT DISTINCT conv_id, part, role AS perspective FROM p WHERE role <> 'system'),
+a AS (SELECT conv_id, part, place, role, text, false AS again FROM p UNION ALL
+  SELECT x.conv_id, s.part, place, role, text, true FROM p x JOIN (SELECT DISTINCT conv_id, part FROM s) s ON s.conv_id = x.conv_id WHERE s.part > 0 AND x.part = 0 AND place < speaks),
+v AS (SELECT conv_id, part, perspective, place, again, role = perspective AS target,
+  CASE WHEN role = perspective THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' ELSE '<|user name=' || role || '|>' END || chr(10) AS head, text || '<|end|>' || chr(10) AS body FROM a JOIN s USING (conv_id, part)),
+o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part ORDER BY place ROWS UNBOUNDED PRECEDING) AS upto FROM v)
+SELECT conv_id, perspective, part, count(*) AS n_turns, count(*) FILTER (again) AS n_repeated, count(*) FILTER (target) AS n_targets, sha256(string_agg(head || body, '' ORDER BY place)) AS text_sha256,
   coalesce(string_agg((upto - length(body))::BIGINT || ':' || (upto - 1)::BIGINT, ',' ORDER BY place) FILTER (target), '') AS mask
-FROM o GROUP BY 1, 2, 3, 4"""
+FROM o GROUP BY 1, 2, 3"""
 
 JACCARD = f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_words(_LOWER.format("text"))} AS w FROM documents),
