@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lanternfish.llm import chat, decontamination, jaccard, sharding, substrings
+from lanternfish.llm import chat, common, decontamination, jaccard, sharding, substrings
 from lanternfish.llm.graph import components
 
 from .helpers import frame, jaccard_components, odd_texts, window_hits, without_repeats, words
@@ -57,6 +57,33 @@ def test_jaccard_takes_odd_rows(spark):
     assert jaccard.link_classes(frame(spark, [])).count() == 0
 
 
+def test_jaccard_tells_rows_without_own_ids_apart(spark):
+    texts = near_copies()
+    ids = [None if k % 3 == 0 else k % 7 for k in range(len(texts))]
+    want = jaccard_components(list(enumerate(texts)))
+    least = {}
+    for k, (_, component) in want.items():
+        if ids[k] is not None:
+            least[component] = min(ids[k], least.get(component, 99))
+    found = jaccard.link_classes(frame(spark, texts, ids=ids)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == Counter((ids[k], n, least.get(c) if n else ids[k]) for k, (n, c) in want.items())
+
+
+def test_jaccard_returns_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FEW_ARRAYS", 5)
+    texts = near_copies()
+    links, members = jaccard.link_pairs(frame(spark, texts))
+    of = {r.doc_id: r.class_id for r in members.collect()}
+    found = {(r.a, r.b) for r in links.collect()}
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset() for w in ((t or "").lower().split() for t in texts)]
+    for i, x in enumerate(sets):
+        assert (of[i] is None) == (not x)
+        for j, y in enumerate(sets[:i]):
+            if x and y:
+                assert (of[i] == of[j]) == (x == y)
+                assert (tuple(sorted((of[i], of[j]))) in found) == (x != y and 100 * len(x & y) >= 80 * len(x | y))
+
+
 def test_components_of_chains(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 90), (90, 95), (200, 200)]
     found = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -135,8 +162,9 @@ def repetitive():
     return texts
 
 
-@pytest.mark.parametrize("length,group_limit", [(200, 4096), (40, 4096), (200, 1), (40, 2)])
-def test_substrings_equal_brute_force(spark, length, group_limit):
+@pytest.mark.parametrize("length,group_limit,broadcast", [(200, 4096, 1 << 23), (40, 4096, 0), (200, 1, 0), (40, 2, 1 << 23)])
+def test_substrings_equal_brute_force(spark, monkeypatch, length, group_limit, broadcast):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", broadcast)
     texts = repetitive()
     rows = substrings.remove_repeated(frame(spark, texts), length, group_limit=group_limit).collect()
     found = {r.doc_id: (r.n_bytes, r.n_bytes - len(r.kept), len(r.starts), hashlib.sha256(r.kept).hexdigest()) for r in rows}
@@ -148,6 +176,10 @@ def test_substrings_take_odd_rows(spark):
     text = " ".join(words(5, 120))
     rows = substrings.remove_repeated(frame(spark, [text, text, "x" * 10, None, text + "tail" * 60], ids=[1, 1, None, None, 2])).collect()
     assert Counter((r.doc_id, len(r.kept)) for r in rows)[(1, 0)] == 2 and len(rows) == 5
+    texts = repetitive()
+    rows = substrings.remove_repeated(frame(spark, texts, ids=[None if k % 2 else 3 for k in range(len(texts))])).collect()
+    want = Counter((None if k % 2 else 3, *x) for k, x in enumerate(without_repeats(texts, 200)))
+    assert Counter((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.starts), hashlib.sha256(r.kept).hexdigest()) for r in rows) == want
     assert substrings.remove_repeated(frame(spark, [])).count() == 0
 
 
@@ -186,6 +218,16 @@ def test_sharding_order_equals_brute_force(spark):
         assert [r.doc_id for r in sorted(rows, key=lambda r: (r.shard, r.slot))] == order
 
 
+def test_sharding_spreads_rows_of_one_id(spark):
+    """Null and repeated ids: each row has a place of its own, in buckets as small as those of others."""
+    n = 2000
+    df = frame(spark, ["same"] * n, ids=[None if k % 3 else 7 for k in range(n)])
+    rows = sharding.interleave(df, 8, rows_per_bucket=50).collect()
+    assert sorted((r.shard, r.slot) for r in rows) == [(s, k) for s in range(8) for k in range(n // 8)]
+    by_id = Counter((r.shard, r.doc_id) for r in rows)
+    assert all(50 < by_id[s, 7] < 120 for s in range(8))
+
+
 def test_sharding_takes_odd_rows(spark):
     rows = sharding.interleave(frame(spark, ["é", None, "", "é"], ids=[1, None, 1, 1]), 8).collect()
     assert sorted(r.size for r in rows) == [1, 1, 3, 3] and sorted(r.shard for r in rows) == [0, 1, 2, 3]
@@ -198,7 +240,7 @@ def test_sharding_takes_odd_rows(spark):
 def test_chat_masks_what_each_speaker_says(spark):
     turns = [(1, 0, "system", "Be kind."), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob", "héllo 🙂"), (1, 3, "cy", None), (2, 0, None, "alone"), (None, 0, "ann", "lost"), (3, 0, "system", "only rules")]
     turns += [(4, k, ("ann", "bob")[k % 2], f"m{k}") for k in range(150)]
-    rows = chat.rotate(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("part", F.lit(9))).collect()
+    rows = chat.rotate(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("part", F.lit(9)), 64).collect()
     one = {r.perspective: r for r in rows if r.conv_id == 1}
     assert set(one) == {"ann", "bob", "cy"}
     for name, said in (("ann", "hi < |end|>"), ("bob", "héllo 🙂"), ("cy", "")):
@@ -209,5 +251,42 @@ def test_chat_masks_what_each_speaker_says(spark):
     four = [r for r in rows if r.conv_id == 4]
     assert sorted((r.perspective, r.part, r.n_turns) for r in four) == sorted((p, k, n) for p in ("ann", "bob") for k, n in ((0, 64), (1, 64), (2, 22)))
     assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
-    many = chat.rotate(spark.createDataFrame([(1, 0, "ann", "same")] * 130, "conv_id long, turn long, role string, text string")).collect()
+    many = chat.rotate(spark.createDataFrame([(1, 0, "ann", "same")] * 130, "conv_id long, turn long, role string, text string"), 64).collect()
     assert sorted(r.n_turns for r in many) == [2, 64, 64]
+
+
+def plain_views(turns, part_turns):
+    """Dialogues turn by turn."""
+    dialogues, out = {}, {}
+    for conv, turn, role, text in turns:
+        if conv is not None:
+            dialogues.setdefault(conv, []).append((turn is not None, turn or 0, (role or "unknown").replace("<|", "< |"), (text or "").replace("<|", "< |")))
+    for conv, rows in dialogues.items():
+        rows.sort()
+        opening = []
+        for row in rows[:part_turns]:
+            if row[2] != "system":
+                break
+            opening.append(row)
+        for part, at in enumerate(range(0, len(rows), part_turns or len(rows))):
+            own = rows[at : at + (part_turns or len(rows))]
+            repeated = opening if part else []
+            for speaker in {r[2] for r in own} - {"system"}:
+                text, mask = "", []
+                for *_, role, said in repeated + own:
+                    text += "<|assistant|>\n" if role == speaker else "<|system|>\n" if role == "system" else f"<|user name={role}|>\n"
+                    if role == speaker:
+                        mask.append((len(text), len(text) + len(said) + 7))
+                    text += said + "<|end|>\n"
+                out[conv, speaker, part] = (len(repeated + own), len(repeated), text, mask)
+    return out
+
+
+@pytest.mark.parametrize("part_turns", [3, 4, 100, None])
+def test_chat_counts_turns_by_place(spark, part_turns):
+    r = random.Random(6)
+    turns = [(k, None if r.random() < 0.1 else r.randrange(10**9), r.choice(["ann", "bob", "cy", None, "x<|y"]), f"é{r.randrange(99)} <|end|>") for k in range(12) for _ in range(r.randrange(1, 30))]
+    turns += [(k, -k, "system", f"rule {k}") for k in range(1, 8)] + [(3, -9, "system", None), (3, -10, "system", "first")] + [(50, 5, "ann", "same")] * 9 + [(60, 0, "system", "only")] * 5 + [(None, 1, "ann", "lost")]
+    rows = chat.rotate(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3), part_turns).collect()
+    found = {(x.conv_id, x.perspective, x.part): (x.n_turns, x.n_repeated, x.text, [(m.start, m.end) for m in x["mask"]]) for x in rows}
+    assert found == plain_views(turns, part_turns) and len(found) == len(rows)
