@@ -12,8 +12,9 @@ round would take many times the input's size, so positions are pruned before:
    in numpy, and equal ranks are counted with the number of copies. Groups of more than `group_limit` runs aren't taken by
    one task: Spark groups their windows by rank.
 
-An anchor or run may have a great part of all rows (a licence, a group of copies). Counts are combined before they move, and
-joins by anchor or run are between stored tables, so that Spark splits a partition that is too large (adaptive execution).
+An anchor or run may have a great part of all rows (a licence, a group of copies). Counts are combined before they move.
+Anchors and runs with more than a thousandth of all rows are a thousand at most; this list is broadcast, and rows that have
+one of them need no other join by it, so they stay spread.
 
 Matches never cross texts. Distances are in bytes of UTF-8.
 
@@ -126,6 +127,19 @@ def _find_runs(docs: DataFrame, length: int, full: bool) -> DataFrame:
     return docs.mapInArrow(run, "anchor bigint" + ", run bigint, key bigint, at bigint" * full)
 
 
+def _often(counts: DataFrame, n: str) -> int:
+    """A count that at most a thousand of the keys counted exceed."""
+    return (counts.agg(F.sum(n)).first()[0] or 0) // 1000
+
+
+def _of_shared(runs: DataFrame, shared: DataFrame) -> DataFrame:
+    """Runs whose anchor is among the shared ones (anchor, n). Rows of the most frequent ones go anywhere."""
+    hot = shared.where(F.col("n") > _often(shared, "n")).select("anchor", F.lit(True).alias("hot"))
+    marked = runs.join(F.broadcast(hot), "anchor", "left").withColumn("place", F.when(F.col("hot"), F.xxhash64("key", "at")).otherwise(F.col("anchor")))
+    there = shared.select(F.col("anchor").alias("place"), F.lit(True).alias("there"))
+    return marked.join(there, "place", "left").where("hot or there").select(*runs.columns)
+
+
 def _contents(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
     """Adds the bytes of runs: from (anchor, key, at, copies) to the same and content."""
     of_text = stored(runs.groupBy("key").agg(F.collect_list(F.struct("anchor", "at", "copies")).alias("runs")))
@@ -243,11 +257,14 @@ def remove_repeated(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
         docs = numbered(df, id_col, text_col).select(F.col(ROW).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     long = docs.select("key", "text").where(F.octet_length("text") >= length)
 
-    shared = stored(_find_runs(long, length, full=False).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
-    runs = stored(_find_runs(long, length, full=True).join(shared, "anchor"))
+    shared = stored(_find_runs(long, length, full=False).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    runs = stored(_of_shared(_find_runs(long, length, full=True), shared))
     discard(shared)
     kinds = stored(runs.groupBy("anchor", "run").agg(F.count("*").alias("copies"), F.min(F.struct("key", "at")).alias("one")))
-    known = runs.join(kinds.where("copies > 1").select("anchor", "run"), ["anchor", "run"]).select("key", F.floor(F.col("at") / 256).alias("first"), (F.floor(F.col("at") / 256) + F.col("at") % 256).alias("last"))
+    twice = kinds.where("copies > 1")
+    hot = F.broadcast(twice.where(F.col("copies") > _often(twice, "copies")).select("anchor", "run"))
+    several = runs.join(hot, ["anchor", "run"], "left_semi").unionByName(runs.join(hot, ["anchor", "run"], "left_anti").join(twice.select("anchor", "run"), ["anchor", "run"]))
+    known = several.select("key", F.floor(F.col("at") / 256).alias("first"), (F.floor(F.col("at") / 256) + F.col("at") % 256).alias("last"))
     groups = stored(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("fewest")).where("kinds > 1 and fewest = 1").drop("fewest"))
     open_runs = kinds.join(groups, "anchor").select("anchor", F.col("one.key").alias("key"), F.col("one.at").alias("at"), "copies", "kinds")
     found = known.unionByName(_in_groups(_contents(long, open_runs.where(F.col("kinds") <= group_limit), length), length))
