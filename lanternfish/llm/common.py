@@ -97,25 +97,25 @@ def clear(spark: SparkSession) -> None:
     _delete(spark, _own_folder(spark))
 
 
-#: Bytes, by estimate, of a table that may be broadcast.
+#: Bytes of a table that may be broadcast, as Spark holds it to join with: near what Spark itself takes for small.
 BROADCAST_BYTES = 8 << 20
 
 
 def _width(kind: T.DataType, value: Column) -> Column:
-    """Bytes of a value in memory, by estimate: those of what varies in length, and 8 for each place."""
+    """Bytes of a value in Spark's rows: 8 for each place, and those of what varies in length."""
     if isinstance(kind, (T.StringType, T.BinaryType)):
         return F.coalesce(F.octet_length(value), F.lit(0)) + 16
     if isinstance(kind, T.ArrayType):
-        return F.coalesce(F.size(value), F.lit(0)) * (8 * len(kind.elementType) if isinstance(kind.elementType, T.StructType) else 8) + 24
+        return F.coalesce(F.size(value), F.lit(0)) * (16 + 8 * len(kind.elementType) if isinstance(kind.elementType, T.StructType) else 8) + 24
     if isinstance(kind, T.StructType):
         return sum((_width(f.dataType, value[f.name]) for f in kind), F.lit(16))
     return F.lit(8)
 
 
 def small_enough(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Broadcast if its size, measured, is within the limit; otherwise left for a shuffled join. Give stored tables, as it
-    reads them for that."""
-    size = df.agg(F.sum(sum((_width(f.dataType, F.col(f"`{f.name}`")) for f in df.schema), F.lit(32)))).first()[0] or 0
+    """Broadcast if its size, measured, is within the limit; otherwise left for a shuffled join. A hash table takes up to
+    twice the bytes of its rows. Give stored tables, as it reads them for that."""
+    size = df.agg(F.sum(2 * sum((_width(f.dataType, F.col(f"`{f.name}`")) for f in df.schema), F.lit(24)))).first()[0] or 0
     return F.broadcast(df) if size <= (BROADCAST_BYTES if limit is None else limit) else df
 
 

@@ -287,7 +287,7 @@ def _signed(df: DataFrame, size: int, percent: int, id_col: str, text_col: str,
     rows = (df.withColumnRenamed(row_col, ROW) if row_col else numbered(df, id_col, text_col)).select(F.col(id_col).alias("id"), F.col(ROW).alias("row"), F.col(text_col).alias("text"))
     signed = stored(_signatures(rows, size, percent, _frequent(rows, size)))
     classes = stored(signed.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("id").alias("least_id"), F.count("*").alias("copies")))
-    first = signed.join(small_enough(classes.select(F.col("node").alias("row"))), "row", "left_semi")
+    first = signed.join(classes.select(F.col("node").alias("row")), "row", "left_semi")
     nodes = stored(first.select(F.col("row").alias("node"), "n", "bitmap", "prefix"))
     prefix = nodes.select(F.explode("prefix").alias("h"), "node")
     shared = prefix.groupBy("h").agg(F.count("*").alias("of")).where("of > 1")
