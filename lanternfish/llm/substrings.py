@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, discard, numbered, own_ids, slices, small_enough, stored, texts
+from .common import ROW, discard, numbered, own_ids, slices, stored, texts
 
 LENGTH, ANCHOR = 200, 24
 #: Runs of a group that one task ranks: their bytes and ranks take some 50 MB.
@@ -157,7 +157,7 @@ def _contents(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
                     contents.append(raw[first : first + more + length])
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((anchors, keys, ats, copies, contents), (pa.int64(),) * 4 + (pa.binary(),))], ["anchor", "key", "at", "copies", "content"])
 
-    return docs.join(small_enough(of_text), "key").select("key", "text", "runs").mapInArrow(run, "anchor bigint, key bigint, at bigint, copies bigint, content binary")
+    return docs.join(of_text, "key").select("key", "text", "runs").mapInArrow(run, "anchor bigint, key bigint, at bigint, copies bigint, content binary")
 
 
 def _windows(part: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -282,5 +282,5 @@ def remove_repeated(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
                 kept.append(b"".join(raw[a:b] for a, b in zip([0, *(ends or [])], [*(starts or []), len(raw)])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *(c if not c.null_count else pa.array([x or [] for x in c.to_pylist()], c.type) for c in (batch.column(2), batch.column(3))), pa.array(kept, pa.binary())], [id_col, "n_bytes", "starts", "ends", "kept"])
 
-    whole = docs.join(small_enough(spans), "key", "left").select("id", "text", "starts", "ends")
+    whole = docs.join(spans, "key", "left").select("id", "text", "starts", "ends")
     return whole.mapInArrow(run, f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, n_bytes bigint, starts array<bigint>, ends array<bigint>, kept binary")

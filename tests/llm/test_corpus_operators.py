@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lanternfish.llm import chat, common, decontamination, jaccard, sharding, substrings
+from lanternfish.llm import chat, decontamination, jaccard, sharding, substrings
 from lanternfish.llm.graph import components
 
 from .helpers import frame, jaccard_components, odd_texts, window_hits, without_repeats, words
@@ -163,10 +163,13 @@ def repetitive():
 
 
 @pytest.mark.parametrize("length,group_limit,broadcast", [(200, 4096, 1 << 23), (40, 4096, 0), (200, 1, 0), (40, 2, 1 << 23)])
-def test_substrings_equal_brute_force(spark, monkeypatch, length, group_limit, broadcast):
-    monkeypatch.setattr(common, "BROADCAST_BYTES", broadcast)
+def test_substrings_equal_brute_force(spark, length, group_limit, broadcast):
     texts = repetitive()
-    rows = substrings.remove_repeated(frame(spark, texts), length, group_limit=group_limit).collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)  # 0 shuffles both sides of all joins but those by short lists
+    try:
+        rows = substrings.remove_repeated(frame(spark, texts), length, group_limit=group_limit).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     found = {r.doc_id: (r.n_bytes, r.n_bytes - len(r.kept), len(r.starts), hashlib.sha256(r.kept).hexdigest()) for r in rows}
     for k, want in enumerate(without_repeats(texts, length)):
         assert found[k] == want, k
