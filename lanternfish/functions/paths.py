@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,3 +107,8 @@ def project_key(path: Column) -> Column:
 
 def symbol_id(rel_path: Column, qualified: Column) -> Column:
     return F.concat(F.replace(rel_path, F.lit("\\"), F.lit("/")), F.lit("::"), qualified)
+
+
+def normalised(path: str, root: str) -> str:
+    """The absolute path that a user means: ~ expanded, relative to the root, without . and .. parts."""
+    return os.path.normpath(os.path.join(root, os.path.expanduser(path)))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..functions import progress
 from ..functions import tokens as T
 from ..functions import vectors as V
 from ..operators import changes, lookup, parsing, ranking
@@ -24,11 +25,20 @@ ORACLE_SQL: dict[str, str] = {}
 SEARCH_TEXT, QUERY_VECTOR = "the +of that, with", 0
 #: The same as terms of SQL.
 _TERMS = "('the'), ('that'), (','), ('with')"
-_TOKENS = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]')"
 _LANGUAGE = "CASE ext " + " ".join(f"WHEN '{e}' THEN '{n}'" for e, n in P.LANGUAGES.items()) + " END"
 _EXCLUDED = ", ".join(f"'{x}'" for x in P.EXCLUDED)
 
 
+def _tokens(text: str) -> str:
+    return f"regexp_extract_all(lower(coalesce({text}, '')), '{T.TOKEN}')"
+
+
+def _head(text: str) -> str:
+    """A text stripped and cut to its first tokens."""
+    stripped = f"regexp_replace({text}, '^[{T.SPACE}]+|[{T.SPACE}]+$', '', 'g')"
+    return f"array_to_string((regexp_extract_all({stripped}, '[{T.SPACE}]*(?:{T.TOKEN})'))[1:{T.MAX_TOKENS}], '')"
+
+
 def query(sql: str | None = None) -> Callable:
     def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
         QUERIES[f.__name__] = f
@@ -46,7 +56,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---- search
 
 _KEYWORDS = rf"""
-tok AS (SELECT doc_id, unnest({_TOKENS.format("text")}) AS term FROM documents),
+tok AS (SELECT doc_id, unnest({_tokens("text")}) AS term FROM documents),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE term IN (SELECT * FROM (VALUES {_TERMS}) v(t)) GROUP BY 1, 2),
 idf AS (SELECT term, ln((1 + (SELECT greatest(count(*), 1) FROM documents)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM tf GROUP BY 1),
 kw AS (SELECT doc_id, round(sum(tf * idf), 6) AS score FROM tf JOIN idf USING (term) GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 200)"""
@@ -107,8 +117,8 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    rf"""WITH w AS (SELECT item_id, unnest(string_split_regex(text, '\s+')) AS word, generate_subscripts(string_split_regex(text, '\s+'), 1) AS k FROM benchmark),
-t AS (SELECT item_id, unnest({_TOKENS.format("word")}) AS term FROM w WHERE NOT regexp_matches(word, '^[-+^"*]'))
+    f"""WITH w AS (SELECT item_id, unnest(string_split_regex(text, '[{T.SPACE}]+')) AS word FROM benchmark),
+t AS (SELECT item_id, unnest({_tokens("word")}) AS term FROM w WHERE NOT regexp_matches(word, '^[-+^"*]'))
 SELECT item_id, count(DISTINCT term) AS n_terms, md5(string_agg(DISTINCT term, ' ' ORDER BY term)) AS terms_md5 FROM t GROUP BY 1"""
 )
 def keyword_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,14 +126,14 @@ def keyword_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.select("item_id", F.size("terms").cast("long").alias("n_terms"), F.md5(F.array_join(F.array_sort("terms"), " ").cast("binary")).alias("terms_md5"))
 
 
-@query(rf"WITH tok AS (SELECT doc_id, unnest({_TOKENS.format('text')}) AS term FROM documents) SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY 1, 2")
+@query(rf"WITH tok AS (SELECT doc_id, unnest({_tokens("text")}) AS term FROM documents) SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY 1, 2")
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query(rf"WITH tok AS (SELECT DISTINCT doc_id, unnest({_TOKENS.format('text')}) AS term FROM documents) SELECT term, count(*) AS df FROM tok GROUP BY 1")
+@query(rf"WITH tok AS (SELECT DISTINCT doc_id, unnest({_tokens("text")}) AS term FROM documents) SELECT term, count(*) AS df FROM tok GROUP BY 1")
 def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.document_frequency(ranking.postings(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return ranking.document_frequency(table(spark, sf_dir, "documents"), "text")
 
 
 # ---- files and text
@@ -156,8 +166,7 @@ m AS (SELECT doc_id, line::INT AS line, match FROM l WHERE regexp_matches(match,
 
 
 def _grep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where(F.rlike("text", F.lit(GREP)))
-    return rows.select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("at", "match")).where(F.rlike("match", F.lit(GREP))).select("doc_id", (F.col("at") + 1).alias("line"), "match")
+    return lookup.grep(table(spark, sf_dir, "documents"), "text", GREP, "doc_id")
 
 
 @query(f"WITH {_LINES} SELECT * FROM m")
@@ -170,22 +179,26 @@ def grep_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top_in_group(_grep(spark, sf_dir), "doc_id", [F.col("line")], GREP_OF_FILE).drop("rank").orderBy("doc_id", "line").limit(GREP_CAP)
 
 
-@query("SELECT doc_id, concat_ws(chr(10), source || '/' || doc_id || ' [' || lang || '] > ' || source || ' > ' || doc_id, 'signature: ' || n_chars, text) AS embed_text FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+@query(
+    f"""SELECT doc_id, concat_ws(chr(10), concat_ws(' > ', concat_ws('/', source, doc_id) || ' [' || coalesce(lang, '') || ']', nullif(source, ''), doc_id), 'signature: ' || n_chars,
+  nullif({_head("text")}, '')) AS embed_text FROM documents"""
+)
 def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.format_string("%s/%d [%s] > %s > %d", "source", "doc_id", "lang", "source", "doc_id")
-    rows = table(spark, sf_dir, "documents").where("lang IS NOT NULL AND source IS NOT NULL")
-    return rows.select("doc_id", F.concat_ws("\n", head, F.concat(F.lit("signature: "), F.col("n_chars").cast("string")), "text").alias("embed_text"))
+    name = F.col("doc_id").cast("string")
+    text = T.embed_text(F.concat_ws("/", "source", name), F.col("lang"), F.col("source"), name, F.col("n_chars").cast("string"), F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("embed_text"))
 
 
-@query(rf"SELECT doc_id, array_to_string(({_TOKENS.format('text')})[1:{T.MAX_TOKENS}], ' ') AS head FROM documents")
+@query(rf"SELECT doc_id, array_to_string(({_tokens("text")})[1:{T.MAX_TOKENS}], ' ') AS head FROM documents")
 def truncate_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.tokens(T.truncate(F.col("text"))), " ").alias("head"))
 
 
-@query("SELECT doc_id, len(string_split(text, chr(10)))::INT AS n_lines, array_to_string((string_split(text, chr(10)))[2:4], chr(10)) AS body FROM documents WHERE len(string_split(text, chr(10))) >= 2")
+@query(f"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+SELECT doc_id, len(l)::INT AS n_lines, array_to_string(l[2:4], chr(10)) AS source, {_head("array_to_string(l[2:4], chr(10))")} AS body FROM l WHERE len(l) >= 2""")
 def body_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.col("text")
-    rows = table(spark, sf_dir, "documents").select("doc_id", T.line_count(text).alias("n_lines"), T.source_slice(text, F.lit(2), F.lit(4)).alias("body"))
+    text, first, last = F.col("text"), F.lit(2), F.lit(4)
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.line_count(text).alias("n_lines"), T.source_slice(text, first, last).alias("source"), T.body_slice(text, first, last).alias("body"))
     return rows.where("n_lines >= 2")
 
 
@@ -209,8 +222,8 @@ def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT (SELECT count(DISTINCT source) FROM documents) AS files, (SELECT count(*) FROM documents) AS symbols, (SELECT count(*) FROM embeddings) AS embeddings")
 def deep_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    symbols = table(spark, sf_dir, "documents").agg(F.count_distinct("source").alias("files"), F.count("*").alias("symbols"))
-    return symbols.crossJoin(table(spark, sf_dir, "embeddings").agg(F.count("*").alias("embeddings")))
+    documents, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    return lookup.totals(files=(documents, F.count_distinct("source")), symbols=(documents, F.count("*")), embeddings=(vectors, F.count("*")))
 
 
 @query("WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1) SELECT coalesce(string_agg(lang || ': ' || n, ', ' ORDER BY lang), 'none') AS summary FROM c")
@@ -223,15 +236,17 @@ def lang_summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2"""
 )
 def file_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_items"), F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("rows"))
-    named = items.select(F.col("l_orderkey").alias("o_orderkey"), "n_items", F.array_join(F.transform("rows", lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_partkey"].cast("string"))), ",").alias("items"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority").join(named, "o_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    items = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    rows = lookup.with_children(orders, items, "o_orderkey", [F.col("l_linenumber"), F.col("l_partkey")], "items")
+    text = F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_partkey"].cast("string"))), ",")
+    return rows.select("o_orderkey", "o_orderpriority", F.size("items").cast("long").alias("n_items"), text.alias("items"))
 
 
 @query("SELECT p_partkey, p_name, coalesce(n, 0) AS n_uses FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON p_partkey = l_partkey WHERE p_name = 'red widget'")
 def find_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     uses = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"))
-    found = table(spark, sf_dir, "part").where("p_name = 'red widget'").select("p_partkey", "p_name")
+    found = lookup.equal_to(table(spark, sf_dir, "part"), "p_name", "red widget").select("p_partkey", "p_name")
     return found.join(uses, "p_partkey", "left").select("p_partkey", "p_name", F.coalesce("n", F.lit(0)).alias("n_uses"))
 
 
@@ -331,6 +346,16 @@ def insert_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _one_event(spark, sf_dir, last=False)
 
 
+@query(
+    """WITH e AS (SELECT vec_id, label FROM embeddings), n AS (SELECT user_id AS vec_id, user_id % 10 AS label, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events)
+SELECT vec_id, label FROM e WHERE vec_id NOT IN (SELECT vec_id FROM n) UNION ALL SELECT vec_id, label FROM n WHERE k = 1"""
+)
+def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), F.lit(None).cast("timestamp").alias("updated_at"))
+    fresh = table(spark, sf_dir, "events").select(F.col("user_id").alias("vec_id"), (F.col("user_id") % 10).cast("long").alias("label"), "ts", "event_id")
+    return changes.upsert(rows, fresh, "vec_id", ["ts", "event_id"]).select("vec_id", "label")
+
+
 @query("SELECT doc_id, lang, CASE WHEN doc_id % 3 = 0 THEN upper(source) ELSE source END AS source FROM documents")
 def replace_changed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
@@ -360,21 +385,19 @@ def head_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.head_moves(events, "user_id", ["ts", "event_id"], "head").select("user_id", "event_id", "fired")
 
 
-#: States and where each may go, by event type standing for it.
+#: Event types that stand for states.
 STATES = {"signup": "idle", "view": "queued", "click": "running", "purchase": "completed", "error": "failed"}
-MOVES = (("idle", "queued"), ("queued", "running"), ("queued", "failed"), ("running", "completed"), ("running", "failed"), ("completed", "queued"), ("failed", "queued"))
 _STATE = "CASE event_type " + " ".join(f"WHEN '{e}' THEN '{s}'" for e, s in STATES.items()) + " END"
 
 
 @query(
     f"""WITH s AS (SELECT user_id, event_id, {_STATE} AS state, lag({_STATE}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
-SELECT before, state, before = state OR (before, state) IN ({", ".join(f"('{a}', '{b}')" for a, b in MOVES)}) AS legal, count(*) AS n FROM s WHERE before IS NOT NULL GROUP BY 1, 2, 3"""
+SELECT before, state, before = state OR (before, state) IN ({", ".join(f"('{a}', '{b}')" for a, found in progress.MOVES.items() for b in found)}) AS legal, count(*) AS n FROM s WHERE before IS NOT NULL GROUP BY 1, 2, 3"""
 )
 def state_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.expr(_STATE)
     rows = table(spark, sf_dir, "events").select(state.alias("state"), F.lag(state).over(ranking.W.partitionBy("user_id").orderBy("ts", "event_id")).alias("before")).where("before IS NOT NULL")
-    legal = (F.col("before") == F.col("state")) | F.concat_ws(">", "before", "state").isin(*(f"{a}>{b}" for a, b in MOVES))
-    return rows.groupBy("before", "state", legal.alias("legal")).agg(F.count("*").alias("n"))
+    return rows.groupBy("before", "state", progress.legal(F.col("before"), F.col("state")).alias("legal")).agg(F.count("*").alias("n"))
 
 
 # ---- batches and progress
@@ -384,25 +407,24 @@ BATCH, WAVE, WORKERS = 64, 4, 4
 
 @query(f"WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents) SELECT doc_id, floor(k / {BATCH})::BIGINT AS batch, floor(k / {BATCH * WAVE})::BIGINT AS wave FROM r")
 def batch_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ranking.place(table(spark, sf_dir, "documents").select("doc_id"), F.floor(F.col("doc_id") / 4096), [F.col("doc_id")])
+    rows = ranking.place(table(spark, sf_dir, "documents").select("doc_id"), F.struct(F.col("doc_id").isNull().alias("unnamed"), F.floor(F.col("doc_id") / 4096).alias("range")), [F.col("doc_id")])
     return rows.select("doc_id", F.floor((F.col("place") - 1) / BATCH).alias("batch"), F.floor((F.col("place") - 1) / (BATCH * WAVE)).alias("wave"))
 
 
 @query(f"SELECT doc_id, n_chars, (row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1) % {WORKERS} AS worker FROM documents")
 def size_balanced_deal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ranking.place(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), -F.col("n_chars"), [F.col("doc_id")])
+    rows = ranking.place(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), F.struct(F.col("n_chars").isNull().alias("none"), (-F.col("n_chars")).alias("size"), F.col("doc_id").isNull().alias("unnamed"), F.floor(F.col("doc_id") / 4096).alias("range")), [F.col("doc_id")])
     return rows.select("doc_id", "n_chars", ((F.col("place") - 1) % WORKERS).alias("worker"))
 
 
 @query(
-    """SELECT o_orderkey, CASE WHEN n <= 0 THEN 100.0 ELSE round(100.0 * done / n, 1) END AS percent_done, CASE WHEN done >= n THEN 0 ELSE greatest(round((n - done) / (done / greatest(o_totalprice / 1000, 0.001))), 0) END::BIGINT AS eta_seconds
-FROM (SELECT o_orderkey, o_totalprice, o_orderkey % 7 + 1 AS done, o_orderkey % 5 + 3 AS n FROM orders)"""
+    """SELECT o_orderkey, CASE WHEN n > 0 THEN round(100.0 * done / n, 1) ELSE 100.0 END AS percent_done,
+  CASE WHEN n > 0 AND done >= n THEN 0 WHEN n > 0 AND done > 0 THEN greatest(round_even((n - done) / (done / greatest(o_totalprice / 1000, 0.001)), 0), 0) END::BIGINT AS eta_seconds
+FROM (SELECT o_orderkey, o_totalprice, o_orderkey % 7 AS done, o_orderkey % 5 AS n FROM orders)"""
 )
 def progress_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done, n = F.col("o_orderkey") % 7 + 1, F.col("o_orderkey") % 5 + 3
-    percent = F.when(n <= 0, 100.0).otherwise(F.round(100.0 * done / n, 1))
-    eta = F.when(done >= n, 0).otherwise(F.greatest(F.round((n - done) / (done / F.greatest(F.col("o_totalprice") / 1000, F.lit(0.001)))), F.lit(0.0)))
-    return table(spark, sf_dir, "orders").select("o_orderkey", percent.alias("percent_done"), eta.cast("long").alias("eta_seconds"))
+    done, n = F.col("o_orderkey") % 7, F.col("o_orderkey") % 5
+    return table(spark, sf_dir, "orders").select("o_orderkey", progress.percent_done(done, n).alias("percent_done"), progress.eta_seconds(done, n, F.col("o_totalprice") / 1000).alias("eta_seconds"))
 
 
 # ---- parsing

@@ -48,6 +48,11 @@ def replace_rows(table: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     return table.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
 
 
+def upsert(table: DataFrame, rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The table with rows put in by key: of several rows of a key the last by order counts. All get one time, updated_at."""
+    return replace_rows(table, keep_one(rows, key, order, last=True).withColumn("updated_at", F.current_timestamp()).select(*table.columns), key)
+
+
 def sessions(events: DataFrame, key: str, time_col: str, gap_seconds: float) -> DataFrame:
     """Debounced runs of events: (key, first_ts, last_ts, n_events). A new run begins after a pause longer than the gap."""
     order = W.partitionBy(key).orderBy(time_col)

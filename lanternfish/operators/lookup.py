@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import tokens as T
+
 
 def last_segment(name: Column) -> Column:
     return F.element_at(F.split(name, r"\."), -1)
@@ -27,8 +29,30 @@ def first_by_tier(rows: DataFrame, keys: list[str], order: list[str]) -> DataFra
     return ranked.where("__r = 1").drop("__r")
 
 
-def symbols_with_files(symbols: DataFrame, files: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    return symbols.join(files, key, how)
+def equal_to(rows: DataFrame, column: str, value: object, order: str | None = None) -> DataFrame:
+    """Point lookup; the filter reaches the scan."""
+    found = rows.where(F.col(column) == F.lit(value))
+    return found.orderBy(order) if order else found
+
+
+def with_children(parents: DataFrame, children: DataFrame, key: str, fields: list[Column], name: str, how: str = "inner") -> DataFrame:
+    """Parents with an array of their children's fields, in the order of the fields. Children are grouped before they meet."""
+    return parents.join(children.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name)), key, how)
+
+
+def grep(rows: DataFrame, text_col: str, pattern: str, *keep: str) -> DataFrame:
+    """(keep, line, match): the lines of a text that match a pattern, numbered from 1."""
+    lines = rows.where(F.rlike(text_col, F.lit(f"(?m){pattern}"))).select(*keep, F.posexplode(T.lines(F.col(text_col))).alias("at", "match"))
+    return lines.where(F.rlike("match", F.lit(pattern))).select(*keep, (F.col("at") + 1).alias("line"), "match")
+
+
+def totals(**tables: tuple[DataFrame, Column]) -> DataFrame:
+    """One row with an aggregate of each table."""
+    out = None
+    for name, (table, count) in tables.items():
+        row = table.agg(count.alias(name))
+        out = row if out is None else out.crossJoin(row)  # one row each
+    return out
 
 
 def pending(symbols: DataFrame, vectors: DataFrame, id_col: str) -> DataFrame:

@@ -19,22 +19,27 @@ def postings(symbols: DataFrame, id_col: str, *text_cols: str) -> DataFrame:
     return symbols.select(id_col, F.explode(bag).alias("term")).groupBy("term", id_col).agg(F.count("*").alias("tf"))
 
 
-def document_frequency(table: DataFrame) -> DataFrame:
-    return table.groupBy("term").agg(F.count("*").alias("df"))
+def document_frequency(symbols: DataFrame, *text_cols: str) -> DataFrame:
+    """(term, df): rows that hold a term. Only counts by term are shuffled."""
+    bag = F.array_distinct(F.concat(*(T.tokens(F.col(c)) for c in text_cols)))
+    return symbols.select(F.explode(bag).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def keyword_scores(symbols: DataFrame, query: str, id_col: str, *text_cols: str) -> DataFrame:
     """(id_col, score) of the symbols that hold a query term: the sum over distinct terms of tf * (ln((1+N)/(1+df)) + 1).
 
-    Only the query's terms are counted, so texts shuffle no more than one row a term and symbol. The frequencies (a row a
-    term) and N (one row) join back by broadcast; a query bounds their size.
+    A symbol is a row, so term frequencies are counted in place, of the query's terms only. All that is shuffled is one row
+    of sums: N and the document frequencies, as many as the query has terms. It comes back by broadcast.
     """
     wanted = [r[0] for r in symbols.sparkSession.range(1).select(F.explode(T.query_terms(F.lit(query)))).collect()]
-    hits = symbols.select(id_col, F.explode(F.filter(F.concat(*(T.tokens(F.col(c)) for c in text_cols)), lambda t: t.isin(*wanted) if wanted else F.lit(False))).alias("term"))
-    hits = hits.groupBy("term", id_col).agg(F.count("*").alias("tf"))
-    n = symbols.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
-    idf = document_frequency(hits).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    return hits.join(F.broadcast(idf), "term").groupBy(id_col).agg(F.round(F.sum(F.col("tf") * F.col("idf")), 6).alias("score"))
+    bag = F.filter(F.concat(*(T.tokens(F.col(c)) for c in text_cols)), lambda t: t.isin(*wanted) if wanted else F.lit(False))
+    times = lambda w: F.size(F.filter("bag", lambda t: t == w))
+    tf = F.array(*map(times, wanted)) if wanted else F.array().cast("array<int>")
+    rows = symbols.select(id_col, bag.alias("bag")).select(id_col, tf.alias("tf"))
+    sums = rows.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"), F.array(*(F.count(F.when(F.get("tf", F.lit(i)) > 0, 1)) for i in range(len(wanted)))).alias("df"))
+    hits = rows.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(sums))
+    each = F.zip_with("tf", "df", lambda t, d: t * (F.log((1 + F.col("n")) / (1 + d)) + 1))
+    return hits.select(id_col, F.round(F.aggregate(each, F.lit(0.0), lambda a, x: a + x), 6).alias("score"))
 
 
 def keyword_search(symbols: DataFrame, query: str, id_col: str, *text_cols: str, limit: int = KEYWORD_CANDIDATES) -> DataFrame:
@@ -50,8 +55,8 @@ def cosine_scores(vectors: DataFrame, query: DataFrame, id_col: str, vector_col:
 
 def hybrid_scores(cosines: DataFrame, keywords: DataFrame, id_col: str) -> DataFrame:
     """(id_col, score): similarity in 0..1 and keyword score by its maximum, blended; no keyword hit counts 0."""
-    top = keywords.agg(F.max("score").alias("top"))
-    scaled = keywords.crossJoin(F.broadcast(top)).select(id_col, F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(0.0).alias("keyword"))
+    top = F.max("score").over(W.partitionBy(F.lit(0)))  # over the keyword candidates, 200 at most
+    scaled = keywords.select(id_col, F.when(top > 0, F.col("score") / top).otherwise(0.0).alias("keyword"))
     rows = cosines.join(scaled, id_col, "left")
     return rows.select(id_col, F.round(V.blend(V.to_unit_range(F.col("cosine")), F.coalesce("keyword", F.lit(0.0))), V.DIGITS).alias("score"))
 
@@ -66,9 +71,10 @@ def hybrid_search(symbols: DataFrame, vectors: DataFrame, query: DataFrame, text
     keywords = keyword_search(symbols, text, id_col, *text_cols)
     cosines = cosine_scores(vectors.withColumnRenamed(vector_id, id_col), query, id_col, vector_col)
     scored = hybrid_scores(cosines, keywords, id_col).join(symbols.select(id_col, F.col(file_col).alias("file")), id_col)
-    files = scored.groupBy("file").agg(F.max("score").alias("file_score")).orderBy(F.desc("file_score"), "file").limit(top_k)
-    best = top_in_group(scored.join(F.broadcast(files), "file"), "file", [F.desc("score"), F.col(id_col)], TOP_SYMBOLS)
-    return best.select("file", F.col("file_score").alias("score"), F.col(id_col).alias("name"), F.col("score").alias("symbol_score"), F.col("rank").cast("long").alias("rank"))
+    best = top_in_group(scored, "file", [F.desc("score"), F.col(id_col)], TOP_SYMBOLS)
+    files = best.groupBy("file").agg(F.max("score").alias("file_score"), F.collect_list(F.struct("rank", "score", id_col)).alias("found"))
+    top = files.orderBy(F.desc("file_score"), "file").limit(top_k).select("file", "file_score", F.explode("found").alias("s"))
+    return top.select("file", F.col("file_score").alias("score"), F.col("s")[id_col].alias("name"), F.col("s.score").alias("symbol_score"), F.col("s.rank").cast("long").alias("rank"))
 
 
 def place(rows: DataFrame, bucket: Column, order: list[Column], name: str = "place") -> DataFrame:
@@ -79,4 +85,5 @@ def place(rows: DataFrame, bucket: Column, order: list[Column], name: str = "pla
     counts = rows.groupBy("__bucket").agg(F.count("*").alias("__n"))
     before = counts.select("__bucket", (F.sum("__n").over(W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
     inside = rows.withColumn("__in", F.row_number().over(W.partitionBy("__bucket").orderBy(*order)))
-    return inside.join(before, "__bucket").withColumn(name, F.col("__before") + F.col("__in")).drop("__bucket", "__before", "__in")
+    before = before.withColumnRenamed("__bucket", "__of")
+    return inside.join(before, F.col("__bucket").eqNullSafe(F.col("__of"))).drop("__of").withColumn(name, F.col("__before") + F.col("__in")).drop("__bucket", "__before", "__in")
