@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..functions import progress
 from ..functions import tokens as T
 from ..operators import changes, lookup, parsing, ranking
 from ..sources.listing import list_files
@@ -18,10 +20,11 @@ from ..sources.store import Store
 
 FILES = "path string, rel_path string, language string, line_count int, mtime double, imports array<string>, exports array<string>, error string"
 SYMBOLS = "path string, language string, symbol_id string, type string, name string, parent string, line int, end_line int, signature string, body_text string"
-VECTORS = "symbol_id string, model string, vector array<double>"
+VECTORS = "symbol_id string, model string, vector array<double>, updated_at timestamp"
+LISTING = "path string, rel_path string, mtime double, size bigint, language string"
 
-#: States of a build and where each may go.
-MOVES = {"idle": {"queued"}, "queued": {"running", "failed"}, "running": {"completed", "failed"}, "completed": {"queued"}, "failed": {"queued"}}
+#: Files that are read by name instead of listing the tree anew.
+FEW_FILES = 1000
 
 Embedder = Callable[[list[str]], list[list[float]]]
 
@@ -51,88 +54,136 @@ class Index:
         return self.store.read("vectors", VECTORS)
 
     def move(self, state: str) -> None:
-        if state != self.state and state not in MOVES[self.state]:
+        if not progress.may_move(self.state, state):
             raise ValueError(f"a build can't go from {self.state} to {state}")
         self.state = state
 
-    def build(self, force: bool = False) -> dict[str, int]:
-        """Parses new and changed files, drops what is gone with its symbols and vectors, and embeds what has no vector.
-        A second build while one runs is refused."""
+    def _run(self, work: Callable[[], dict]) -> dict:
+        """A second piece of work while one runs is refused."""
         if self.state in ("queued", "running"):
             return {"already_in_progress": 1}
         self.move("queued")
         self.move("running")
         try:
-            done = self._build(force)
+            done = work()
         except Exception:
             self.move("failed")
             raise
         self.move("completed")
         return done
 
+    def build(self, force: bool = False) -> dict[str, int]:
+        """Parses new and changed files, drops what is gone with its symbols and vectors, and embeds what has no vector.
+        Returns how many files are new, changed, deleted and same, and of what was parsed files, symbols and errors."""
+        return self._run(lambda: self._build(force))
+
+    def rebuild(self, path: str) -> dict[str, int]:
+        """The same for one file: gone from the index if it's missing, binary or unsupported."""
+        path = P.normalised(path, self.root)
+        one = lambda rows: rows.where(F.col("path") == path)
+        return self._run(lambda: self._apply(one(list_files(self.spark, self.root, only=[path])), one(self.files()), force=True))
+
+    def sync(self) -> dict[str, int]:
+        """The same for the files that the index has: changed ones are parsed again, missing ones go. New ones aren't sought."""
+        known = self.files()
+        return self._run(lambda: self._apply(list_files(self.spark, self.root).join(known.select("path"), "path", "left_semi"), known))
+
     def _build(self, force: bool) -> dict[str, int]:
-        listing = list_files(self.spark, self.root)
-        old_files, old_symbols, old_vectors = self.files(), self.symbols(), self.vectors()
-        change = changes.diff(old_files, listing, "path", "mtime").persist()
+        done = self._apply(list_files(self.spark, self.root), self.files(), force)
+        self.store.set_meta(built_at=str(time.time()), project_path=self.root, project_key=hashlib.md5(self.root.encode()).hexdigest()[:12])
+        return done
+
+    def _apply(self, listing: DataFrame, known: DataFrame, force: bool = False) -> dict[str, int]:
+        """Brings the index from the files known to those listed. Listing and parsed files are stored first, so all tables
+        are of one state of the tree."""
+        self.store.write("listing", listing.select(*(x.split()[0] for x in LISTING.split(", "))))
+        listing = self.store.read("listing", LISTING)
+        change = changes.diff(known, listing, "path", "mtime")
         if force:
             change = change.withColumn("change", F.when(F.col("change") == "same", "changed").otherwise(F.col("change")))
-        counts = {r["change"]: r["n"] for r in change.groupBy("change").agg(F.count("*").alias("n")).collect()}
+        self.store.write("changes", change)
+        change = self.store.read("changes", "path string, change string")
+        counts = {r["change"]: r["n"] for r in lookup.counts_by(change, F.col("change"), "change").collect()}
         fresh = change.where(F.col("change").isin("new", "changed")).select("path")
         gone = change.where("change <> 'same'").select("path")
+        done = {name: counts.get(name, 0) for name in ("new", "changed", "deleted", "same")} | {"files": 0, "symbols": 0, "errors": 0}
         if counts.keys() - {"same"}:
-            content = list_files(self.spark, self.root, content=True).join(fresh, "path", "left_semi")
-            parsed = parsing.parse(content.select("path", "content")).join(listing.select("path", "rel_path", "mtime"), "path")
-            text = content.select("path", F.decode("content", "UTF-8").alias("text"))
-            found = parsing.symbols(parsed).join(text, "path").withColumn("body_text", T.body_slice(F.col("text"), F.col("line"), F.col("end_line")))
+            few = done["new"] + done["changed"] <= FEW_FILES
+            paths = [r["path"] for r in fresh.collect()] if few else None
+            content = list_files(self.spark, self.root, content=True, only=paths).join(fresh, "path", "left_semi")
+            self.store.write("parsed", parsing.parse(content.select("path", "rel_path", "content")))
+            parsed = self.store.read("parsed", parsing.SCHEMA)
+            done |= parsing.totals(parsed).first().asDict()
+            whole = parsed.join(listing.select("path", "rel_path", "mtime"), "path")
             columns = [x.split()[0] for x in FILES.split(", ")]
-            self.store.write("files", old_files.join(gone, "path", "left_anti").unionByName(parsed.select(*columns)))
-            self.store.write("symbols", old_symbols.join(gone, "path", "left_anti").unionByName(found.select(*old_symbols.columns)))
-        symbols = self.symbols()
+            self.store.write("files", self.files().join(gone, "path", "left_anti").unionByName(whole.select(*columns)))
+            symbols = parsing.symbols(parsed).select(*(x.split()[0] for x in SYMBOLS.split(", ")))
+            self.store.write("symbols", self.symbols().join(gone, "path", "left_anti").unionByName(symbols))
+        symbols, old_vectors = self.symbols(), self.vectors()
         # vectors of symbols that are gone or new of text go; one symbol, one vector
         stale = symbols.join(fresh, "path", "left_semi").select("symbol_id")
         kept = old_vectors.join(symbols.select("symbol_id"), "symbol_id", "left_semi").join(stale, "symbol_id", "left_anti")
         pending = lookup.pending(symbols, kept, "symbol_id").where(lookup.skip_reason(F.col("type"), F.col("line"), F.col("end_line")).isNull())
-        self.store.write("vectors", kept.unionByName(self.embed(pending)))
-        change.unpersist()
-        return {name: counts.get(name, 0) for name in ("new", "changed", "deleted", "same")}
+        vectors = self.embed(pending.join(self.files().select("path", "rel_path"), "path"))
+        self.store.write("vectors", kept.unionByName(vectors.withColumn("updated_at", F.current_timestamp())))
+        return done
 
     def embed(self, symbols: DataFrame) -> DataFrame:
-        embedder, head = self.embedder, F.concat_ws(" > ", F.format_string("%s [%s]", "path", "language"), "parent", "name")
+        embedder = self.embedder
 
         @F.pandas_udf("array<double>")
         def vector(texts: pd.Series) -> pd.Series:
             return pd.Series(embedder(texts.tolist()))
 
-        text = T.truncate(F.concat_ws("\n", head, F.concat(F.lit("signature: "), F.col("signature")), "body_text"))
+        text = T.embed_text(*map(F.col, ("rel_path", "language", "parent", "name", "signature", "body_text")))
         return symbols.select("symbol_id", F.lit(self.model).alias("model"), vector(text).alias("vector"))
 
+    def upsert_vectors(self, rows: DataFrame) -> None:
+        """Puts vectors (symbol_id, model, vector) in by symbol, all with one time."""
+        self.store.write("vectors", changes.upsert(self.vectors(), rows.select("symbol_id", "model", "vector"), "symbol_id", ["model", "vector"]))
+
+    def clear(self) -> None:
+        """An index without files, symbols and vectors."""
+        for name, schema in (("files", FILES), ("symbols", SYMBOLS), ("vectors", VECTORS)):
+            self.store.clear(name, schema=schema)
+
     # ---- queries
 
     def find_files(self, glob: str) -> DataFrame:
         return self.files().where(P.matches_glob(F.col("rel_path"), glob)).select("path")
 
+    def file(self, path: str) -> DataFrame:
+        return lookup.equal_to(self.files(), "path", P.normalised(path, self.root))
+
+    def symbol(self, symbol_id: str) -> DataFrame:
+        return lookup.equal_to(self.symbols(), "symbol_id", symbol_id)
+
+    def symbols_named(self, name: str) -> DataFrame:
+        return lookup.equal_to(self.symbols(), "name", name, order="symbol_id")
+
     def file_summary(self, path: str) -> DataFrame:
         """One row: the file with its symbols in the order of their lines."""
-        rows = self.symbols().where(F.col("path") == path).groupBy("path")
-        listed = rows.agg(F.sort_array(F.collect_list(F.struct(F.coalesce("line", F.lit(0)).alias("line"), F.coalesce("end_line", F.lit(0)).alias("end_line"), "symbol_id", "type", "name", "signature", "parent"))).alias("symbols"))
-        return self.files().where(F.col("path") == path).select("path", "language", "line_count", "imports", "exports").join(listed, "path", "left")
+        path = P.normalised(path, self.root)
+        fields = [F.coalesce("line", F.lit(0)).alias("line"), F.coalesce("end_line", F.lit(0)).alias("end_line"), *map(F.col, ("symbol_id", "type", "name", "signature", "parent"))]
+        return lookup.with_children(self.file(path).select("path", "language", "line_count", "imports", "exports"), lookup.equal_to(self.symbols(), "path", path), "path", fields, "symbols", how="left")
 
     def symbol_body(self, path: str, name: str) -> DataFrame:
         """The first symbol of the file that has the name, by tier, and its lines as the file has them now."""
-        rows = self.symbols().where(F.col("path") == path).withColumn("tier", lookup.match_tier(F.col("name"), F.col("signature"), F.lit(name)))
+        path = P.normalised(path, self.root)
+        rows = lookup.equal_to(self.symbols(), "path", path).withColumn("tier", lookup.match_tier(F.col("name"), F.col("signature"), F.lit(name)))
         found = lookup.first_by_tier(rows, ["path"], ["line", "end_line", "symbol_id"])
-        now = list_files(self.spark, self.root, content=True).where(F.col("path") == path).select("path", F.decode("content", "UTF-8").alias("text"))
+        now = list_files(self.spark, self.root, content=True, only=[path]).select("path", parsing.text_of(F.col("content")).alias("text"))
         return found.join(now, "path").select("symbol_id", "tier", T.source_slice(F.col("text"), F.col("line"), F.col("end_line")).alias("source"))
 
     def search_code(self, pattern: str, glob: str = "*", limit: int = 50, case_sensitive: bool = True) -> DataFrame:
-        rows = list_files(self.spark, self.root, content=True).where(P.matches_glob(F.col("rel_path"), glob))
-        lines = rows.select("rel_path", F.posexplode(T.lines(F.decode("content", "UTF-8"))).alias("at", "match"))
-        found = lines.where(F.rlike("match", F.lit(pattern if case_sensitive else f"(?i){pattern}"))).select(F.col("rel_path").alias("file"), (F.col("at") + 1).alias("line"), "match")
+        rows = list_files(self.spark, self.root, content=True).where(P.matches_glob(F.col("rel_path"), glob)).select(F.col("rel_path").alias("file"), parsing.text_of(F.col("content")).alias("text"))
+        found = lookup.grep(rows, "text", pattern if case_sensitive else f"(?i){pattern}", "file")
         return ranking.top_in_group(found, "file", [F.col("line")], limit).drop("rank").orderBy("file", "line").limit(limit)
 
     def semantic_search(self, text: str, top_k: int = ranking.TOP_FILES) -> DataFrame:
         query = self.spark.createDataFrame([(self.embedder([text])[0],)], "q array<double>")
         return ranking.hybrid_search(self.symbols(), self.vectors(), query, text, "symbol_id", "path", "symbol_id", "vector", "name", "parent", "signature", "body_text", "path", top_k=top_k)
 
-    def status(self) -> dict[str, int | str]:
-        return {"state": self.state, "files": self.files().count(), "symbols": self.symbols().count(), "vectors": self.vectors().count()}
+    def status(self) -> dict[str, int | str | None]:
+        counts = lookup.totals(**{name: (table, F.count("*")) for name, table in (("files", self.files()), ("symbols", self.symbols()), ("vectors", self.vectors()))})
+        return {"state": self.state} | counts.first().asDict() | {"built_at": self.store.get_meta("built_at"), "project_path": self.root}

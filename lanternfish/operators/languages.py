@@ -1,14 +1,15 @@
 """Small parsers, one a language: source text to symbols, imports and exports.
 
 A symbol is (type, name, qualified, parent, line, end_line, signature). Parsers know declarations only. Limits: Python that
-doesn't parse gives what its lines show; the languages with braces are read by a scanner that masks comments and strings,
-so a regular expression literal that holds braces or quotes can mislead it.
+doesn't parse gives what its lines show; the languages with braces are read by a scanner that masks comments, strings and
+regular expression literals (those after a sign or `return`).
 """
 
 from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from html.parser import HTMLParser
 from typing import NamedTuple
 
@@ -40,7 +41,7 @@ def python(text: str) -> Parsed:
         return _python_lines(text)
     symbols: list[Symbol] = []
     imports: list[str] = []
-    source = text.splitlines(keepends=True)
+    source = [f"{row}\n" for row in text.split("\n")]  # as the parser counts lines
 
     def parameters(node: ast.AST) -> str:
         """The raw parameter list, from its opening bracket to the closing one."""
@@ -141,12 +142,16 @@ def html(text: str) -> Parsed:
 # ---- languages with braces
 
 
-def mask(text: str, line_mark: str = "//", quotes: str = "\"'`") -> str:
-    """Text of the same length in which comments and insides of strings are blank."""
+#: A regular expression literal: after what can't end a value.
+_LITERAL = r"(?:(?<=[=(,:!&|?;{}\[\n])|(?<==>)|(?<=\breturn))[ \t]*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[A-Za-z]*"
+
+
+def mask(text: str, line_mark: str = "//", quotes: str = "\"'`", literals: bool = False) -> str:
+    """Text of the same length in which comments, insides of strings and, if asked for, regular expressions are blank."""
     comment = rf"{re.escape(line_mark)}[^\n]*" + (r"|/\*.*?(?:\*/|\Z)" if line_mark == "//" else "")
     strings = "|".join(rf"{q}(?:\\.|[^\\{q}\n])*{q}" if q != "`" else r"`(?:\\.|[^\\`])*`" for q in quotes or "\"'")
     blank = lambda m: re.sub(r"[^\n]", " ", m[0]) if m[0][:1] not in "\"'`" else m[0][0] + re.sub(r"[^\n]", " ", m[0][1:-1]) + m[0][-1]
-    return re.sub(f"(?s:{comment}|{strings})", blank, text)
+    return re.sub(f"(?s:{comment}|{strings}{'|' + _LITERAL if literals else ''})", blank, text)
 
 
 def _closing(masked: str, at: int) -> int:
@@ -160,11 +165,18 @@ def _closing(masked: str, at: int) -> int:
 
 
 class _Scan:
-    def __init__(self, text: str):
-        self.text, self.masked = text, mask(text)
+    def __init__(self, text: str, literals: bool = False):
+        self.text, self.masked = text, mask(text, literals=literals)
+        self.line_ends = [m.start() for m in re.finditer("\n", text)]
+        self.marks = [m.start() for m in re.finditer("[{};]", self.masked)]
 
     def line(self, at: int) -> int:
-        return self.text.count("\n", 0, at) + 1
+        return bisect_left(self.line_ends, at) + 1
+
+    def statement(self, start: int, at: int) -> str:
+        """What stands before a place, from the last brace or semicolon on."""
+        i = bisect_left(self.marks, at)
+        return self.masked[max(start, self.marks[i - 1] + 1 if i else 0) : at]
 
     def block(self, at: int, limit: int) -> tuple[int, int] | None:
         """The braces that follow a place before a semicolon does."""
@@ -200,7 +212,7 @@ def csharp(text: str) -> Parsed:
                 continue
             if m[1]:
                 block = scan.block(at, end)
-                close = block[1] if block else (masked.find(";", at, end) if ";" in masked[at:end] else end)
+                close = block[1] if block else (semicolon if (semicolon := masked.find(";", at, end)) >= 0 else end)
                 kind = m[1] if m[1] in ("interface", "enum") else "class"
                 symbols.append(Symbol(kind, m[2], ".".join([*stack, m[2]]), stack[-1] if stack else None, scan.line(m.start()), scan.line(close)))
                 if block and kind != "enum":
@@ -209,7 +221,7 @@ def csharp(text: str) -> Parsed:
             elif stack and m[3] not in (*_PLAIN_WORDS, stack[-1]):  # a constructor has the name of its class
                 close = _closing(masked, m.start(4))
                 tail = re.compile(r"\s*(?:where[^{;]*)?(\{|=>|;)").match(masked, close + 1)
-                before = re.split(r"[{};]", masked[start : m.start(3)])[-1]
+                before = scan.statement(start, m.start(3))
                 if tail and "=" not in before and not re.search(r"\b(?:new|return|delegate|event)\b", before):
                     finish = _closing(masked, tail.start(1)) if tail[1] == "{" else masked.find(";", tail.start(1))
                     finish = finish if finish >= 0 else end
@@ -238,13 +250,13 @@ def _parts(text: str) -> list[str]:
 
 
 #: Calls whose string argument names what their callback defines.
-REGISTRATIONS = ("module", "controller", "service", "factory", "directive", "component", "filter", "provider", "config")
+REGISTRATIONS = ("controller", "service", "factory", "directive", "component", "filter", "provider", "config", "run")
 _ALIASES = ("$scope", "vm", "self", "this")
 _FUNCTION = r"(?:async\s+)?(?:function\b|\([^()]*\)\s*=>|\w+\s*=>)"
 
 
 def javascript(text: str, typed: bool = False) -> Parsed:
-    scan = _Scan(text)
+    scan = _Scan(text, literals=True)
     masked, raw = scan.masked, scan.text
     symbols: list[Symbol] = []
     imports = [raw[m.start(1) + 1 : m.end(1) - 1] for m in re.finditer(r"(?m)^\s*import\b[^;\n]*?(['\"][^'\"\n]*['\"])", masked)]
@@ -374,7 +386,7 @@ def dart(text: str) -> Parsed:
             elif m[3] not in _PLAIN_WORDS:
                 close = _closing(masked, m.start(4))
                 tail = re.compile(r"\s*(?:async\*?|sync\*)?\s*(\{|=>|;)").match(masked, close + 1)
-                if tail and "=" not in re.split(r"[{};]", masked[start : m.start(3)])[-1]:
+                if tail and "=" not in scan.statement(start, m.start(3)):
                     name = f"{container}.{m[3]}" if container else m[3]
                     last = close if container else _closing(masked, tail.start(1)) if tail[1] == "{" else max(masked.find(";", close), close)
                     symbols.append(Symbol("method" if container else "function", name, name, container, scan.line(m.start(3)), scan.line(last), name + raw[m.start(4) : close + 1]))

@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..functions import tokens as T
 from . import languages
 
 SYMBOL = "struct<type:string,name:string,symbol_id:string,parent:string,line:int,end_line:int,signature:string>"
-SCHEMA = f"path string, language string, line_count int, imports array<string>, exports array<string>, symbols array<{SYMBOL}>, error string"
+SCHEMA = f"path string, language string, line_count int, imports array<string>, exports array<string>, symbols array<{SYMBOL}>, error string, text string"
 
 #: Characters at the start in which a NUL means that a file is binary.
 SNIFFED = 8000
@@ -24,34 +25,52 @@ def decode(content: object) -> str:
     return text.replace("\r\n", "\n").replace("\r", "\n")
 
 
-def parse_file(path: str, language: str, content: object) -> dict:
-    row = {"path": path, "language": language, "line_count": 0, "imports": [], "exports": [], "symbols": [], "error": None}
+def text_of(content: Column) -> Column:
+    """decode() of a column: what parsers see, so lines of a slice are those that they number."""
+
+    @F.pandas_udf("string")
+    def decoded(column: pd.Series) -> pd.Series:
+        return column.map(lambda x: None if x is None else decode(x))
+
+    return decoded(content)
+
+
+def parse_file(path: str, rel_path: str, language: str, content: object) -> dict:
     text = decode(content)
+    row = {"path": path, "language": language, "line_count": 0, "imports": [], "exports": [], "symbols": [], "error": None, "text": None}
     if "\0" in text:
         return row | {"error": "binary file"}
     try:
         found = languages.PARSERS[language](text)
     except Exception as why:  # a file that can't be parsed is a row with its error, not a failed job
         return row | {"error": f"{type(why).__name__}: {why}"}
-    rel = path.replace("\\", "/")
+    rel = rel_path.replace("\\", "/")
     symbols = [{"type": s.type, "name": s.name, "symbol_id": f"{rel}::{s.qualified}", "parent": s.parent, "line": s.line, "end_line": s.end_line, "signature": s.signature} for s in found.symbols]
-    return row | {"line_count": text.count("\n") + 1, "imports": found.imports, "exports": found.exports, "symbols": symbols}
+    return row | {"line_count": text.count("\n") + 1, "imports": found.imports, "exports": found.exports, "symbols": symbols, "text": text}
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """From (path, content) of any files: those in a known language that aren't binary from the start."""
+    """From (path, content[, rel_path]) of any files: those in a known language that aren't binary from the start. Ids of
+    symbols begin with rel_path, or with path. text is what was parsed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [parse_file(*row) for row in batch[["path", "language", "content"]].itertuples(index=False)]
-            yield pd.DataFrame(rows, columns=["path", "language", "line_count", "imports", "exports", "symbols", "error"])
+            rows = [parse_file(*row) for row in batch[["path", "rel_path", "language", "content"]].itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=["path", "language", "line_count", "imports", "exports", "symbols", "error", "text"])
 
-    known = files.select("path", P.language(F.col("path")).alias("language"), "content").where("language is not null and content is not null")
+    rel_path = F.col("rel_path" if "rel_path" in files.columns else "path")
+    known = files.select("path", rel_path.alias("rel_path"), P.language(F.col("path")).alias("language"), "content").where("language is not null and content is not null")
     text = F.col("content") if dict(files.dtypes)["content"] == "string" else F.decode(F.substring("content", 1, SNIFFED), "ISO-8859-1")
     return known.where(F.instr(F.substring(text, 1, SNIFFED), "\0") == 0).mapInPandas(run, SCHEMA)
 
 
+def totals(parsed: DataFrame) -> DataFrame:
+    """One row: files, symbols and errors. A file with an error counts as both."""
+    return parsed.agg(F.count("*").alias("files"), F.coalesce(F.sum(F.size("symbols")), F.lit(0)).alias("symbols"), F.count("error").alias("errors"))
+
+
 def symbols(parsed: DataFrame) -> DataFrame:
-    """A row a symbol; of equal ids in a file the last stays."""
-    rows = parsed.select("path", "language", F.posexplode("symbols").alias("at", "s")).select("path", "language", "at", "s.*")
-    return rows.groupBy("path", "language", "symbol_id").agg(F.max_by(F.struct("type", "name", "parent", "line", "end_line", "signature"), "at").alias("s")).select("path", "language", "symbol_id", "s.*")
+    """A row a symbol, with its body; of equal ids in a file the last stays."""
+    rows = parsed.select("path", "language", "text", F.posexplode("symbols").alias("at", "s")).select("path", "language", "text", "at", "s.*")
+    rows = rows.withColumn("body_text", T.body_slice(F.col("text"), F.col("line"), F.col("end_line")))
+    return rows.groupBy("path", "language", "symbol_id").agg(F.max_by(F.struct("type", "name", "parent", "line", "end_line", "signature", "body_text"), "at").alias("s")).select("path", "language", "symbol_id", "s.*")

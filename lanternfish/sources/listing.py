@@ -2,19 +2,36 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 
 
-def list_files(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """(path, rel_path, mtime, language, size[, content]) of the supported files under a root that no pruned directory holds.
+def _entries(spark: SparkSession, root: str) -> list[str]:
+    """What lies in the root but excluded and hidden directories, so that Spark never lists those, the largest as a rule."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    entries = [(x.getPath().getName(), x.getPath().toString(), x.isDirectory()) for x in found]
+    if any(set(place) & set("{}[]*?\\") for _, place, _ in entries):
+        return [root]  # Spark would read these as patterns
+    return [place for name, place, folder in entries if not (folder and (name in P.EXCLUDED or name.startswith(".")))]
+
+
+def list_files(spark: SparkSession, root: str, content: bool = False, only: list[str] | None = None) -> DataFrame:
+    """(path, rel_path, mtime, language, size[, content]) of the supported files under a root that no pruned directory holds;
+    only: of some paths alone, those that are there.
 
     Without content Spark reads no file: the binary source fills only the columns asked for.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/") + "/"
+    files, base = spark.read.format("binaryFile").option("recursiveFileLookup", "true"), root.rstrip("/") + "/"
+    try:
+        files = files.load(_entries(spark, root) if only is None else only)
+    except AnalysisException as none:
+        if "PATH_NOT_FOUND" not in str(none) and "path" not in str(none).lower():
+            raise
+        files = spark.createDataFrame([], "path string, modificationTime timestamp, length bigint, content binary")
     path = F.regexp_replace("path", "^file:/+", "/")
     rows = files.select(path.alias("path"), F.substring_index(path, base, -1).alias("rel_path"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"), F.col("length").alias("size"), *(["content"] if content else []))
     rows = rows.where(P.supported(F.col("path")) & ~P.pruned_in_scan(F.col("rel_path")))

@@ -18,6 +18,21 @@ def test_tokens(spark):
     assert one(spark, T.query_terms(F.lit(""))) == []
 
 
+def test_tokens_are_those_of_unicode(spark):
+    import re
+
+    text = "a\u00a0b\u3000c\u2028d\x1ce\x85f\x0bg _1\u0663\u00bd \u2003x-\u20ac"
+    assert one(spark, T.tokens(F.lit(text))) == re.findall(r"\w+|[^\w\s]", text.lower())
+    assert one(spark, T.query_terms(F.lit("x\u3000-no\u00a0y"))) == ["x", "y"]
+    assert one(spark, T.truncate(F.lit("\u3000a\u00a0b c"), 2)) == "\u3000a\u00a0b"
+
+
+def test_embed_text(spark):
+    some = lambda *parts: one(spark, T.embed_text(*(F.lit(x).cast("string") for x in parts), 3))
+    assert some("p/a.cs", "csharp", "K", "M", "K.M(int)", "  one two three four ") == "p/a.cs [csharp] > K > M\nsignature: K.M(int)\none two three"
+    assert some("a.py", None, "", "f", None, " ") == "a.py [] > f"
+
+
 def test_truncate_and_slices(spark):
     text = " ".join(f"t{k}" for k in range(700))
     assert len(one(spark, T.truncate(F.lit(text))).split()) == 510

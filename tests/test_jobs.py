@@ -1,4 +1,12 @@
+import html
+import json
+import os
+import re
+import shutil
+import subprocess
+import sys
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,10 +29,11 @@ def test_index_follows_files(spark, tmp_path):
     (root / "pkg" / "auth.py").write_text("class Auth:\n    def login(self):\n        a = 1\n        b = 2\n        return a + b\n")
     (root / "web.ts").write_text("export class Web { go(): number { return 1; } }\n")
     index = Index(spark, str(root), str(store))
-    assert index.build() == {"new": 2, "changed": 0, "deleted": 0, "same": 0}
-    status = index.status()
-    assert status == {"state": "completed", "files": 2, "symbols": 4, "vectors": 3}  # the one-line method gets no vector
-    assert index.build()["same"] == 2 and index.status() == status
+    assert index.build() == {"new": 2, "changed": 0, "deleted": 0, "same": 0, "files": 2, "symbols": 4, "errors": 0}
+    status = {k: v for k, v in index.status().items() if k != "built_at"}
+    assert status == {"state": "completed", "files": 2, "symbols": 4, "vectors": 3, "project_path": str(root)}  # the one-line method gets no vector
+    assert index.build()["same"] == 2 and index.status() | status == index.status()
+    assert index.symbols_named("Auth").first().symbol_id == "pkg/auth.py::Auth" == index.symbol("pkg/auth.py::Auth").first().symbol_id
     assert [r.path.rsplit("/", 1)[1] for r in index.find_files("*.ts").collect()] == ["web.ts"]
     body = index.symbol_body(str(root / "pkg" / "auth.py"), "login").first()
     assert body.tier == 3 and body.source.startswith("    def login")
@@ -41,6 +50,67 @@ def test_index_follows_files(spark, tmp_path):
     assert [r.name for r in index.symbols().collect()] == ["other"] and index.vectors().count() == 1
 
 
+def test_index_keeps_itself(spark, tmp_path):
+    """Files that aren't UTF-8, CRLF, single files, syncing, clearing, vectors put in."""
+    root = tmp_path / "src"
+    (root / ".git").mkdir(parents=True)
+    (root / ".git" / "hook.py").write_text("x = 1")
+    (root / "latin.py").write_bytes("# caf\xe9\r\ndef first():\r\n    a = 'na\xefve'\r\n    b = 2\r\n    return a\r\n".encode("latin-1"))
+    (root / "feed.py").write_text("def one():\n    return 1\n\f\ndef two():\n    s = '\u2028'\n    return 2\n")
+    index = Index(spark, str(root), str(tmp_path / "store"))
+    assert index.build() | {"files": 2, "symbols": 3, "errors": 0} == index.build() | {"new": 2, "same": 0, "files": 2, "symbols": 3}
+    assert index.symbol_body("latin.py", "first").first().source == "def first():\n    a = 'nave'\n    b = 2\n    return a"
+    assert [(r.file, r.line) for r in index.search_code("return").collect()] == [("feed.py", 2), ("feed.py", 6), ("latin.py", 5)]
+    assert {(r.name, r.line, r.end_line) for r in index.symbols().collect()} == {("first", 2, 5), ("one", 1, 2), ("two", 4, 6)}
+    (root / "new.py").write_text("def three():\n    a = 1\n    b = 2\n    return 3\n")
+    (root / "feed.py").unlink()
+    assert index.sync()["deleted"] == 1 and index.file("new.py").count() == 0 and index.file("feed.py").count() == 0
+    assert index.rebuild("./new.py")["new"] == 1 and index.symbol("new.py::three").count() == 1 and index.files().count() == 2
+    (root / "latin.py").unlink()
+    assert index.rebuild("latin.py")["deleted"] == 1 and [r.symbol_id for r in index.vectors().collect()] == ["new.py::three"]
+    index.upsert_vectors(spark.createDataFrame([("new.py::three", "m", [1.0]), ("x::y", "m", [2.0])], "symbol_id string, model string, vector array<double>"))
+    rows = {r.symbol_id: (r.vector, r.updated_at) for r in index.vectors().collect()}
+    assert rows["new.py::three"][0] == [1.0] and len(rows) == 2 and len({at for _, at in rows.values()}) == 1
+    index.store.set_meta(a="1", b="2")
+    index.store.set_meta(b="3")
+    assert (index.store.get_meta("a"), index.store.get_meta("b"), index.store.get_meta("c")) == ("1", "3", None)
+    index.clear()
+    assert index.status()["files"] == index.status()["symbols"] == index.status()["vectors"] == 0
+
+
+def test_entry_without_the_corpus_side(tmp_path):
+    """The rest works in a copy without the corpus package, its tests and the pipeline, or with an empty folder left."""
+    home = Path(__file__).resolve().parent.parent
+    shutil.copytree(home / "lanternfish", tmp_path / "lanternfish", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(home / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = set(e.queries()); assert set(e.oracle_sql()) < q and 'hybrid_search' in q; print(len([n for n in q if n.startswith('op') or n == 'pipeline']))"
+    run = lambda: subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert run().stdout.strip() == "0"
+    (tmp_path / "lanternfish" / "llm").mkdir()
+    assert run().stdout.strip() == "0"
+    shutil.copy(home / "corpus_pipeline.py", tmp_path) if (home / "corpus_pipeline.py").exists() else None
+    assert run().stdout.strip() == "0"
+
+
+def test_html_symbols_equal_plain_patterns(spark):
+    """Start tags by a pattern, attributes by another: the pages have no markup inside comments or scripts."""
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").collect()
+    found = {r.path: json.loads(r.symbols) for r in catalogue.html_symbols(spark, SMALL).collect()}
+    assert len(found) == len(pages)
+    for page in pages:
+        text, want = page.html.replace("\r\n", "\n"), []
+        bare = re.sub(r"(?s)<!--.*?-->|(?<=>)[^<]*(?=</(?:script|style)>)", lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+        for m in re.finditer(r"<([a-zA-Z][^\s/>]*)((?:\s+[^\s=>/]+(?:=(?:\"[^\"]*\"|'[^']*'|[^\s>]*))?)*)\s*(/?)>", bare):
+            if not m[3]:
+                a = {k.lower(): html.unescape(v.strip("\"'")) for k, v in re.findall(r"([^\s=>/]+)=(\"[^\"]*\"|'[^']*'|[^\s>]*)", m[2])}
+                tag, line = m[1].lower(), text.count("\n", 0, m.start()) + 1
+                want += [("element_id", a["id"], line)] if a.get("id") else []
+                want += [("script_ref", a["src"], line)] if tag == "script" and a.get("src") else []
+                want += [("style_ref", a["href"], line)] if tag == "link" and a.get("href") else []
+                want += [("form_field", a.get("name") or a.get("id"), line)] if tag in ("input", "select", "textarea") and (a.get("name") or a.get("id")) else []
+        assert [(s["type"], s["name"], s["line"]) for s in found[f"pages/{page.page_id}.html"]] == want
+
+
 def test_states():
     index = Index.__new__(Index)
     index.state = "idle"

@@ -101,6 +101,32 @@ app.controller('Main', function ($scope) { $scope.save = function () {}; });
     assert parsed.imports == ["lib"] and parsed.exports == ["K", "top"]
 
 
+def test_javascript_registrations_and_literals():
+    text = """app.run(function () {});
+angular.module('m', []).run('Start', function () { function go() {} });
+app.module('No', function () { const f = () => 1; });
+app.controller('Main', ['$scope', function ($scope) { $scope.save = function () {}; }]);
+const r = /["'{]/g.test(x), s = a / b / c;
+function after() { return /[/}]/.test(y); }
+function last() {}
+"""
+    assert found(languages.javascript(text)) == [("function", "go", "Start"), ("function", "f", None), ("method", "save", "$scope"), ("function", "after", None), ("function", "last", None)]
+
+
+@pytest.mark.parametrize("language", ["csharp", "dart"])
+def test_scanners_are_linear(language):
+    import time
+
+    def seconds(n):
+        text = "class A {\n" + "".join(f"  int m{k}(int x) {{\n    return x;\n  }}\n" for k in range(n)) + "}\n"
+        began = time.process_time()
+        assert len(languages.PARSERS[language](text).symbols) == n + 1
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(8000) < 10 * seconds(2000)
+
+
 def test_typescript():
     text = "import x from './x';\nexport interface Shape { area(): number }\nexport type Id = string | number;\nenum Color { Red }\nexport class Sq implements Shape { area(): number { return 1; } }\n"
     parsed = languages.typescript(text)
