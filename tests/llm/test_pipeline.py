@@ -91,6 +91,21 @@ def test_pipeline_tells_rows_without_own_ids_apart(spark, corpus, tmp_path):
     assert corpus_pipeline.drop_near_duplicates(spark, frame, str(tmp_path)).count() == len(rows) - 5
 
 
+def test_pipeline_bears_columns_named_like_its_own(spark, corpus, tmp_path):
+    from pyspark.sql import functions as F
+
+    folder, *_ = corpus
+    names = ("score", "rejected", "lang_pred", "hit_positions", "items", "component_id", "row", "key", "n", "id", "spans", "decoded", "ids", "n_tokens")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs.withColumns({c: F.lit("own") for c in names}).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    wide = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, wide, folder).columns == wide.columns
+    plain, found = ({(r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, where).collect()} for where in (folder, str(tmp_path)))
+    assert found == plain and found
+
+
 def test_stages_keep_the_columns(spark, corpus):
     folder, *_ = corpus
     docs = spark.read.parquet(f"{folder}/documents.parquet")

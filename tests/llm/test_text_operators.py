@@ -243,10 +243,10 @@ def test_pii_equals_plain_patterns(spark):
     r = random.Random(9)
     pieces = ["a@b.co", "x.y%z@q-w.e.f", "1.2.3.4", "999.1.1.1", "0001.02.3.4", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "79927398713", "+1 (202) 555-0143", "+49 30 1234", "@", "é", "🙂", ".", "-", " ", "+", "7", "12", "a", "a@b.c%d@e.f"]
     texts = ["".join(r.choice(pieces) for _ in range(r.randrange(25))) for _ in range(300)]
-    texts += [*odd_texts(), "1" * 60_000, "a@b.co " * 700, "a." * 20_000 + "@", "1 " * 20_000, "card 4111 1111 1111 1111 ok"]
+    texts += [*odd_texts(), "1" * 60_000, "a@b.co " * 700, "a." * 2_000 + "@", "1 " * 20_000, "card 4111 1111 1111 1111 ok"]
     found = {x.doc_id: [(s.kind, s.start, s.end) for s in x.spans if s.kind in pii.BASE_KINDS] for x in pii.find_personal_data(frame(spark, texts)).collect()}
     for k, text in enumerate(texts):
-        assert found[k] == plain_spans(text if len(text or "") < 45_000 else None) or len(text or "") >= 45_000, text
+        assert found[k] == plain_spans(text), (text or "")[:99]
 
 
 def test_pii_checksums_and_context(spark):
