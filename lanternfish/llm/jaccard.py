@@ -40,8 +40,8 @@ BITS = 1024
 #: Buckets are named by so many bits of a hash: two elements of one name only add candidates.
 BUCKET_MASK = (1 << 48) - 1
 TILE_ROWS, SMALL_TILE = 1024, 32
-#: Classes whose arrays are compared at once, some 100 MB in all, without a look at wider bitmaps first.
-FEW_ARRAYS = 20_000
+#: Classes whose arrays are compared at once, some 10 MB in all, without a look at wider bitmaps first.
+FEW_ARRAYS = 2_000
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -287,7 +287,9 @@ def _signed(df: DataFrame, size: int, percent: int, id_col: str, text_col: str,
     rows = (df.withColumnRenamed(row_col, ROW) if row_col else numbered(df, id_col, text_col)).select(F.col(id_col).alias("id"), F.col(ROW).alias("row"), F.col(text_col).alias("text"))
     signed = stored(_signatures(rows, size, percent, _frequent(rows, size)))
     classes = stored(signed.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("id").alias("least_id"), F.count("*").alias("copies")))
-    first = signed.join(classes.select(F.col("node").alias("row")), "row", "left_semi")
+    # copies are told by narrow rows and are the fewer, as a rule; what is left is wide and had better stay where it is
+    copies = stored(signed.where("n > 0").select("row", "key").join(classes.where("copies > 1").select("key", "node"), "key").where("row <> node").select("row"))
+    first = signed.where("n > 0").join(small_enough(copies), "row", "left_anti")
     nodes = stored(first.select(F.col("row").alias("node"), "n", "bitmap", "prefix"))
     prefix = nodes.select(F.explode("prefix").alias("h"), "node")
     shared = prefix.groupBy("h").agg(F.count("*").alias("of")).where("of > 1")
