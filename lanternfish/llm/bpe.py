@@ -25,7 +25,7 @@ from .common import slices, texts
 
 #: Words after which those not seen since as many before are forgotten, and pairs after which all are. These bound a task's
 #: memory (some 180 bytes a word), not results.
-KEEP_WORDS, KEEP_PAIRS = 200_000, 250_000
+KEEP_WORDS, KEEP_PAIRS = 200_000, 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -176,10 +176,14 @@ class _Words(dict):
 
     def tokens(self, places: np.ndarray) -> np.ndarray:
         """Ids of words one after the other."""
-        sizes = np.array(self.sizes, np.int64)[places]
+        sizes = self.counts(places)
         ends = np.cumsum(sizes)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(np.array(self.starts, np.int64)[places] - (ends - sizes), sizes)
-        return np.array(self.flat, np.int32)[at]
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(np.frombuffer(self.starts, np.int64)[places] - (ends - sizes), sizes)
+        return np.frombuffer(self.flat, np.int32)[at]
+
+    def counts(self, places: np.ndarray) -> np.ndarray:
+        """Numbers of tokens of words."""
+        return np.frombuffer(self.sizes, np.int32)[places].astype(np.int64)
 
 
 def tokenize(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,7 +207,7 @@ def tokenize(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             places = [np.fromiter(map(words.__getitem__, split((text or b"").decode("utf-8"))), np.int64) for text in texts(batch.column(1))]
             joined = np.concatenate([np.zeros(0, np.int64), *places])
             ids = words.tokens(joined)
-            counts = np.concatenate([[0], np.cumsum(np.array(words.sizes, np.int64)[joined])])
+            counts = np.concatenate([[0], np.cumsum(words.counts(joined))])
             ends = counts[np.cumsum([0, *map(len, places)])].astype(np.int32)
             # what the ids stand for lies in one buffer, which only needs the ends of texts
             decoded = vocabulary.take(pa.array(ids))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -18,6 +19,9 @@ from ..shipping import ship
 #: Rows whose texts are Python objects at one time, in a worker.
 SLICE, SLICE_BYTES = 256, 1 << 25
 
+#: Bytes of input after which a worker returns freed memory to the system.
+GIVE_BACK_BYTES = 1 << 24
+
 #: Rows in a record batch between Spark and Python: texts are long, and a worker holds a batch or two.
 BATCH_ROWS = 1000
 
@@ -43,13 +47,26 @@ def texts(column: pa.Array) -> Iterator[bytes | None]:
         yield from raw.slice(start, SLICE).to_pylist()
 
 
+def give_back() -> None:
+    """Returns what a worker has freed to the system: workers live on between tasks and stages, beside those of others."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows in record batches of at most SLICE rows, and of SLICE_BYTES unless a row is larger, so what a worker
     holds stays small."""
+    read = GIVE_BACK_BYTES
     for batch in batches:
+        read += batch.nbytes
+        if read >= GIVE_BACK_BYTES:
+            give_back()
+            read = 0
         rows = max(1, min(SLICE, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    give_back()
 
 
 def hex_sha256(text: Column) -> Column:
