@@ -25,7 +25,7 @@ from .common import slices, texts
 
 #: Words after which those not seen since as many before are forgotten, and pairs after which all are. These bound a task's
 #: memory (some 180 bytes a word), not results.
-KEEP_WORDS, KEEP_PAIRS = 200_000, 100_000
+KEEP_WORDS, KEEP_PAIRS = 100_000, 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

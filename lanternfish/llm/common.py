@@ -22,16 +22,17 @@ SLICE, SLICE_BYTES = 256, 1 << 25
 #: Bytes of input after which a worker returns freed memory to the system.
 GIVE_BACK_BYTES = 1 << 24
 
-#: Rows in a record batch between Spark and Python: texts are long, and a worker holds a batch or two.
-BATCH_ROWS = 1000
+#: Rows in a record batch between Spark and Python, and in a batch of Spark's Parquet reader: texts are long, and batches of
+#: them lie whole in a worker's or an executor's memory.
+BATCH_ROWS = 500
 
 
 def prepare(spark: SparkSession) -> None:
-    """Sends the package to executors and keeps the session's record batches small."""
+    """Sends the package to executors and keeps the session's batches of rows small."""
     ship(spark)
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    spark.conf.set(name, BATCH_ROWS if now <= 0 else min(now, BATCH_ROWS))
+    for name in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        now = int(spark.conf.get(name))
+        spark.conf.set(name, BATCH_ROWS if now <= 0 else min(now, BATCH_ROWS))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
