@@ -48,8 +48,32 @@ reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY 1) USING (doc_id)"""
 
+
+
+def _clusters(clusters: int = 8, rounds: int = 10) -> str:
+    """Each round is a pair of tables: where vectors belong, and the centroids after that."""
+    ctes = [
+        "v AS MATERIALIZED (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64)",
+        "x AS MATERIALIZED (SELECT vec_id, unnest(range(64)) AS k, floor(1024 * unnest(embedding)::DOUBLE)::BIGINT AS x FROM v)",
+        f"s AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS cluster, vec_id FROM v ORDER BY 1 LIMIT {clusters})",
+        "c0 AS MATERIALIZED (SELECT cluster, k, x AS c FROM s JOIN x USING (vec_id))",
+    ]
+    for r in range(rounds + 1):
+        distances = f"SELECT vec_id, cluster, sum((x - c) * (x - c))::BIGINT AS d FROM x JOIN c{r} USING (k) GROUP BY 1, 2"
+        ctes.append(f"a{r} AS MATERIALIZED (SELECT vec_id, min((d, cluster)) AS best FROM ({distances}) GROUP BY 1)")
+        if r < rounds:
+            sums = f"SELECT best[2] AS cluster, k, sum(x)::BIGINT AS t, count(*) AS n FROM a{r} JOIN x USING (vec_id) GROUP BY 1, 2"
+            ctes.append(f"c{r + 1} AS MATERIALIZED (SELECT cluster, k, (t - ((t % n) + n) % n) // n AS c FROM ({sums}) UNION ALL SELECT cluster, k, c FROM c{r} WHERE cluster NOT IN (SELECT best[2] FROM a{r}))")
+    digests = f"SELECT cluster, sha256(string_agg(c, ',' ORDER BY k)) AS centroid_sha256 FROM c{rounds} GROUP BY 1"
+    return f"""WITH {(","+chr(10)).join(ctes)},
+r AS (SELECT vec_id, best[2]::INT AS cluster, best[1]::BIGINT AS distance FROM a{rounds})
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM r JOIN ({digests}) USING (cluster)"""
+
+
 ORACLE_SQL = {
     "op4_quality_rules": QUALITY,
     "op9_chat_rotation": CHAT,
     "op10_jaccard_join": JACCARD,
+    "op13_centroid_clustering": _clusters(),
 }
