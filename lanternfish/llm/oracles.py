@@ -38,16 +38,19 @@ SELECT conv_id, perspective, part, count(*) AS n_turns, count(*) FILTER (again)
   coalesce(string_agg((upto - length(body))::BIGINT || ':' || (upto - 1)::BIGINT, ',' ORDER BY place) FILTER (target), '') AS mask
 FROM o GROUP BY 1, 2, 3"""
 
-JACCARD = f"""
+_LINKED = f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_words(_LOWER.format("text"))} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 both_have AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-links AS (SELECT a, b FROM both_have JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+links AS (SELECT a, b FROM both_have JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {{percent}} * (x.n + y.n - c)),
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY 1) USING (doc_id)"""
 
+JACCARD = _LINKED.format(percent=80)
+
+MINHASH = f"SELECT *, doc_id = component_id AS kept FROM ({_LINKED.format(percent=85)})"
 
 
 def _clusters(clusters: int = 8, rounds: int = 10) -> str:
@@ -71,9 +74,24 @@ SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::B
 FROM r JOIN ({digests}) USING (cluster)"""
 
 
+PHRASES = rf"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM t),
+f AS (SELECT lang, m, p, count(*) AS f FROM (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS p FROM w, range(1, 5) r(m)) GROUP BY 1, 2, 3),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY 1),
+c AS MATERIALIZED (SELECT lang, m, p, string_split(p, ' ') AS w, f AS a FROM f WHERE m > 1 AND f >= 30),
+k AS (SELECT lang, p, a, k, array_to_string(w[:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+s AS (SELECT k.lang, k.p, k.a, min((2000000 * k.a::HUGEINT // (x.f + y.f), k.k, x.f, y.f)) AS best FROM k JOIN f x ON x.lang = k.lang AND x.p = k.x JOIN f y ON y.lang = k.lang AND y.p = k.y GROUP BY 1, 2, 3),
+h AS (SELECT lang, array_to_string(w[i:j], ' ') AS p, max(a) AS longest FROM c, range(1, 5) u(i), range(1, 5) v(j) WHERE i < j AND j <= m AND j - i + 1 < m GROUP BY 1, 2),
+r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY best[1] DESC, a DESC, p) AS rank, p AS phrase, a, best[3]::BIGINT AS l, best[4]::BIGINT AS r, n::BIGINT AS n, best[1]::BIGINT AS score
+  FROM s JOIN n USING (lang) LEFT JOIN h USING (lang, p) WHERE longest IS NULL OR 100 * longest::HUGEINT < 80 * a)
+SELECT * FROM r WHERE rank <= 2000"""
+
 ORACLE_SQL = {
     "op4_quality_rules": QUALITY,
     "op9_chat_rotation": CHAT,
     "op10_jaccard_join": JACCARD,
+    "op11_minhash": MINHASH,
+    "op12_phrase_mining": PHRASES,
     "op13_centroid_clustering": _clusters(),
 }

@@ -30,17 +30,22 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, discard, prepare, slices, stored
+from .common import BROADCAST_BYTES, prepare, slices, stored
 
 LEAST, DEEPEST, TOP = 30, 4, 2000
 #: A candidate goes if a longer one that holds it has so many hundredths of its count.
 INSIDE_PERCENT = 80
 #: Bits of a bitmap.
-BITS = 8 * BROADCAST_BYTES
-#: Suffixes a route gets on average, and the least number of routes.
-ROUTE_SUFFIXES, ROUTES = 1 << 18, 256
+BITS, HOT_BITS = 8 * BROADCAST_BYTES, BROADCAST_BYTES
+#: Bytes of the pieces that Spark makes bitmaps in.
+PIECE_BYTES = 4096
+#: Suffixes a route gets on average at most, and the least number of routes.
+ROUTE_SUFFIXES, ROUTES = 1 << 18, 1024
+#: Pairs with more suffixes than so many are dealt, or than so many times the average of a route where that is more.
+DEALT_FROM, DEALT_TIMES = 1 << 14, 4
 #: Words, and pairs or suffixes, that a task counts before it sends them on.
 HELD_WORDS, HELD_ROWS = 200_000, 1 << 20
 #: Words whose hashes a task keeps.
@@ -52,10 +57,8 @@ _ENDS = b".,;:!?\n\x0b\x0c\r"
 _PIECES = bytes.maketrans(_ENDS, b"." * len(_ENDS))
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
-WORD_LISTS = Iterator[tuple[str, list[bytes]]]
 
-
-def _words(batches: Iterator[pa.RecordBatch]) -> WORD_LISTS:
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
     """(language, words) of each language in each slice of rows (lang, text); a piece ends with the word `.`."""
     for batch in slices(batches):
         texts: dict[str, list[bytes]] = {}
@@ -99,28 +102,24 @@ def _key(*words: np.ndarray) -> np.ndarray:
 
 
 class Bitmap:
-    """A set of 64-bit hashes that may hold more than was put in, in a fixed number of bits."""
+    """A set of 64-bit hashes that may hold more than was put in, in a fixed number of bits, a power of two."""
 
     def __init__(self, raw: bytearray):
         self.bits = np.frombuffer(bytes(raw), np.uint8)
 
-    def __contains__(self, _: object) -> bool:
-        raise TypeError("use has()")
-
     def has(self, h: np.ndarray) -> np.ndarray:
-        at = (h % np.uint64(8 * len(self.bits))).astype(np.int64)
+        at = (h & np.uint64(8 * len(self.bits) - 1)).astype(np.int64)
         return (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _bitmap(hashes: DataFrame, h: Column) -> Bitmap:
-    """Made by Spark in pieces of 4 KB; all of them are BITS bits."""
-    at = F.expr(f"pmod(cast(cast(if(h < 0, cast(h as decimal(20,0)) + 18446744073709551616, cast(h as decimal(20,0))) as decimal(20,0)) % {BITS} as bigint), {BITS}) + 1")
-    rows = hashes.select(h.alias("h")).select(at.alias("at"))
+def _bitmap(hashes: DataFrame, bits: int = BITS) -> Bitmap:
+    """Of the column h, made by Spark in pieces of 4 KB."""
+    rows = hashes.select((F.col("h").bitwiseAND(bits - 1) + 1).alias("at"))
     pieces = rows.groupBy(F.bitmap_bucket_number("at").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    raw = bytearray(BITS // 8)
-    for r in pieces.toLocalIterator():
-        start = (r["piece"] - 1) * 4096
-        raw[start : start + 4096] = r["bits"]
+    raw = bytearray(bits // 8)
+    for r in pieces.collect():  # all of them are the bitmap
+        start = (r["piece"] - 1) * PIECE_BYTES
+        raw[start : start + PIECE_BYTES] = r["bits"]
     return Bitmap(raw)
 
 
@@ -131,10 +130,8 @@ def _count_words(rows: DataFrame) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             for lang, counts in held.items():
-                ends = counts.pop(b".", 0)
-                del ends
-                words = [*counts, None]
-                numbers = [*counts.values(), sum(counts.values())]
+                del counts[b"."]  # a Counter doesn't mind if it isn't there
+                words, numbers = [*counts, None], [*counts.values(), counts.total()]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), pa.array(words, pa.binary()).cast(pa.string()), pa.array(numbers, pa.int64())], ["lang", "word", "n"])
             held.clear()
 
@@ -244,29 +241,25 @@ def _suffixes(rows: DataFrame, routing: _Routing, deepest: int) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(["route int", "dealt boolean", *(f"{c} bigint" for c in names[2:])]))
 
 
-def quicksorted(words: np.ndarray, n: np.ndarray, least: int, complete: int) -> list[tuple[int, int, int]]:
+def quicksorted(words: np.ndarray, n: np.ndarray, least: int, dealt: bool = False) -> list[tuple[int, int, int]]:
     """(depth, pointer to one suffix, count) of phrases of three words and more among suffixes words[depth, pointer] that
     occur n times each, by multikey three-way quicksort of the pointers. Word 0 ends a suffix. Runs that hold less than
-    `least` are abandoned where they are complete: from so many equal words on."""
+    `least` are abandoned; of dealt suffixes, only those that share all words but the last, as others go on elsewhere."""
     found: list[tuple[int, int, int]] = []
-    runs = [(np.arange(len(n)), 0)]
+    runs = [(np.arange(len(n)), 0)] if len(n) else []
     while runs:
         at, depth = runs.pop()
         column = words[depth, at]
-        middle = column[[0, len(at) // 2, -1]]
-        pivot = np.sort(middle)[1]
-        less, greater = at[column < pivot], at[column > pivot]
-        equal = at[column == pivot]
-        for part, deeper in ((less, 0), (greater, 0), (equal, 1)):
-            if not len(part) or (deeper and pivot == 0):
+        pivot = np.sort(column[[0, len(at) // 2, -1]])[1]
+        for part, reached in ((at[column < pivot], depth), (at[column > pivot], depth), (at[column == pivot], depth + 1)):
+            if not len(part) or (reached > depth and pivot == 0):
                 continue
-            reached = depth + deeper  # words that all of the part share
             size = int(n[part].sum())
-            if size < least and (reached >= complete or not deeper and depth >= complete):
+            if size < least and (not dealt or depth == len(words) - 1):
                 continue
-            if deeper and reached >= 3:
+            if reached > depth and reached >= 3:
                 found.append((reached, int(part[0]), size))
-            if reached < len(words) and (len(part) > 1 or reached >= 2 or deeper):
+            if reached < len(words):
                 runs.append((part, reached))
     return found
 
@@ -278,7 +271,7 @@ def _count_phrases(suffixes: DataFrame, least: int, deepest: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         words = np.stack([table.column(c).to_numpy().view(np.uint64) for c in names])
         n, dealt = table.column("n").to_numpy(), table.column("dealt")[0].as_py()
-        found = quicksorted(words, n, least, deepest if dealt else 0)
+        found = quicksorted(words, n, least, dealt)
         phrases = [words[:depth, at].view(np.int64) for depth, at, _ in found]
         ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in phrases])]).astype(np.int32))
         return pa.table([pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *phrases]))), pa.array([x for *_, x in found], pa.int64())], names=["p", "n"])
@@ -287,6 +280,11 @@ def _count_phrases(suffixes: DataFrame, least: int, deepest: int) -> DataFrame:
     return counts.groupBy("p").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
+def _slices(m: int) -> Column:
+    """All slices of m words of a phrase p."""
+    return F.transform(F.sequence(F.lit(1), F.size("p") - m + 1), lambda i: F.slice("p", i, m))
+
+
 def _scored(counts: DataFrame, deepest: int, inside_percent: int) -> DataFrame:
     """(p, a, l, r, score) of candidates that stay, from counts (p, n) of all frequent phrases, single words included."""
     candidates = counts.where(F.size("p") > 1)
@@ -298,8 +296,8 @@ def _scored(counts: DataFrame, deepest: int, inside_percent: int) -> DataFrame:
     best = cuts.select("p", "a", "k", "l", "r", score.alias("score")).groupBy("p", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("c")).select("p", "a", "c.l", "c.r", "c.score")
 
     longer = candidates.where(F.size("p") > 2)
-    inner = [F.transform(F.sequence(F.lit(1), F.size("p") - m + 1), lambda i, m=m: F.slice("p", i, m)) for m in range(2, deepest)]
-    held = F.flatten(F.array(*(F.when(F.size("p") > m, x).otherwise(F.array().cast("array<array<bigint>>")) for m, x in zip(range(2, deepest), inner))))
+    none = F.array().cast("array<array<bigint>>")
+    held = F.flatten(F.array(*(F.when(F.size("p") > m, _slices(m)).otherwise(none) for m in range(2, deepest))))
     longer = longer.select("n", F.explode(F.array_distinct(held)).alias("p")).groupBy("p").agg(F.max("n").alias("longest"))
     kept = best.join(longer, "p", "left").where(F.expr(f"longest is null or cast(100 as decimal(3,0)) * cast(longest as decimal(19,0)) < cast({inside_percent} as decimal(3,0)) * cast(a as decimal(19,0))"))
     return kept.drop("longest")
@@ -308,19 +306,20 @@ def _scored(counts: DataFrame, deepest: int, inside_percent: int) -> DataFrame:
 def collocations(df: DataFrame, least: int = LEAST, deepest: int = DEEPEST, top: int | None = TOP, inside_percent: int = INSIDE_PERCENT, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first `top` phrases of each language (None: all) of two words and more
     that occur at least `least` times, by score, count and phrase. a: how often it occurs, l and r: its parts at the cut of
-    the lowest score, n: words of the language."""
+    the lowest score, n: words of the language. deepest: words of the longest phrases, three or more."""
     prepare(df.sparkSession)
     rows = df.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     words = stored(_count_words(rows).where((F.col("n") >= least) | F.col("word").isNull()))
     totals = words.where("word is null").select("lang", F.col("n").alias("n"))
     words = words.where("word is not null").withColumn("h", F.xxhash64("lang", "word"))
-    leading = _bitmap(words, F.col("h"))
+    leading = _bitmap(words)
 
     pairs = stored(_count_pairs(rows, leading).where(F.col("n") >= least))
     suffixes = pairs.agg(F.sum("n")).first()[0] or 0
     routes = max(ROUTES, -(-suffixes // ROUTE_SUFFIXES))
-    named = pairs.mapInArrow(_pair_keys, "h bigint, n bigint")
-    routing = _Routing(leading, _bitmap(named, F.col("h")), _bitmap(named.where(F.col("n") * routes * 2 > suffixes), F.col("h")), routes)
+    keyed = pairs.mapInArrow(_pair_keys, "h bigint, n bigint")
+    dealt = keyed.where(F.col("n") > max(DEALT_FROM, DEALT_TIMES * suffixes // routes))
+    routing = _Routing(leading, _bitmap(keyed), _bitmap(dealt, HOT_BITS), routes)
     deeper = stored(_count_phrases(_suffixes(rows, routing, deepest), least, deepest))
 
     single = words.select(F.array("h").alias("p"), "n")
@@ -330,8 +329,6 @@ def collocations(df: DataFrame, least: int = LEAST, deepest: int = DEEPEST, top:
     scored = stored(scored.join(of.select(F.col("h").alias("first"), "lang"), F.get("p", F.lit(0)) == F.col("first")).drop("first"))
     ranked = scored
     if top is not None:  # words are looked up for what may be among the first alone; equal ones all stay for now
-        from pyspark.sql import Window as W
-
         ranked = scored.withColumn("at", F.rank().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))).where(F.col("at") <= top).drop("at")
     spelled = ranked.select("p", F.posexplode("p").alias("at", "h")).join(of.select("h", "word"), "h").groupBy("p").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     out = ranked.join(spelled, "p").join(totals, "lang")
@@ -339,8 +336,6 @@ def collocations(df: DataFrame, least: int = LEAST, deepest: int = DEEPEST, top:
 
 
 def _ranked(rows: DataFrame, top: int | None) -> DataFrame:
-    from pyspark.sql import Window as W
-
     place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     ranked = rows.withColumn("rank", place)
     return (ranked if top is None else ranked.where(F.col("rank") <= top)).withColumn("rank", F.col("rank").cast("long"))

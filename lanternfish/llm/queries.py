@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, clustering, decontamination, jaccard, language, pii, quality, secrets, sharding, substrings
+from . import bpe, chat, clustering, decontamination, jaccard, language, minhash, phrases, pii, quality, secrets, sharding, substrings
 from .common import documents, hex_sha256, prepare
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -93,8 +93,16 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_classes(documents(spark, sf_dir))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.described(clustering.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_secrets, op4_quality_rules, op5_byte_bpe, op6_sharding, op7_pii, op8_substring_dedup, op9_chat_rotation, op10_jaccard_join, op13_centroid_clustering)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_secrets, op4_quality_rules, op5_byte_bpe, op6_sharding, op7_pii, op8_substring_dedup, op9_chat_rotation, op10_jaccard_join, op11_minhash, op12_phrase_mining, op13_centroid_clustering)}

@@ -137,7 +137,7 @@ def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     small = "/root/testdata/sf0.001"
     connection = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "embeddings"):
         connection.execute(f"create view {table} as select * from '{small}/{table}.parquet'")
     rows = queries.QUERIES[name](spark, small)
     result = connection.execute(queries.ORACLE_SQL[name])
