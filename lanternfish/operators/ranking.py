@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,6 +21,31 @@ def postings(symbols: DataFrame, id_col: str, *text_cols: str) -> DataFrame:
     return symbols.select(id_col, F.explode(bag).alias("term")).groupBy("term", id_col).agg(F.count("*").alias("tf"))
 
 
+def posting_deltas(old: DataFrame, new: DataFrame, id_col: str, *text_cols: str) -> DataFrame:
+    """(term, id_col, tf): by how much each term's occurrences in a symbol change from the old rows to the new, below 0 where
+    they get fewer. What stays the same has no row."""
+    bag = F.concat(*(T.tokens(F.col(c)) for c in text_cols))
+    signed = [rows.select(id_col, F.explode(bag).alias("term"), F.lit(sign).alias("by")) for rows, sign in ((old, -1), (new, 1))]
+    return merged_postings(signed[0].unionByName(signed[1]).withColumnRenamed("by", "tf"), id_col)
+
+
+def merged_postings(deltas: DataFrame, id_col: str) -> DataFrame:
+    """Deltas of several changes in one row a term and symbol; those that make up for each other go."""
+    return deltas.groupBy("term", id_col).agg(F.sum("tf").alias("tf")).where("tf <> 0")
+
+
+def indexed_keyword_scores(deltas: DataFrame, terms: list[str], symbols: int, id_col: str) -> DataFrame:
+    """keyword_scores() from stored deltas: only rows of the terms are read. symbols: how many there are."""
+    hits = merged_postings(deltas.where(F.col("term").isin(*terms) if terms else F.lit(False)), id_col).where("tf > 0")
+    df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))  # a row a term of the query
+    weighted = hits.join(df, "term").select(id_col, (F.col("tf") * (F.log((1 + F.lit(max(symbols, 1))) / (1 + F.col("df"))) + 1)).alias("score"))
+    return weighted.groupBy(id_col).agg(F.round(F.sum("score"), 6).alias("score"))
+
+
+def terms_of(spark: SparkSession, query: str) -> list[str]:
+    return [r[0] for r in spark.range(1).select(F.explode(T.query_terms(F.lit(query)))).collect()]
+
+
 def document_frequency(symbols: DataFrame, *text_cols: str) -> DataFrame:
     """(term, df): rows that hold a term. Only counts by term are shuffled."""
     bag = F.array_distinct(F.concat(*(T.tokens(F.col(c)) for c in text_cols)))
@@ -31,7 +58,7 @@ def keyword_scores(symbols: DataFrame, query: str, id_col: str, *text_cols: str)
     A symbol is a row, so term frequencies are counted in place, of the query's terms only. All that is shuffled is one row
     of sums: N and the document frequencies, as many as the query has terms. It comes back by broadcast.
     """
-    wanted = [r[0] for r in symbols.sparkSession.range(1).select(F.explode(T.query_terms(F.lit(query)))).collect()]
+    wanted = terms_of(symbols.sparkSession, query)
     bag = F.filter(F.concat(*(T.tokens(F.col(c)) for c in text_cols)), lambda t: t.isin(*wanted) if wanted else F.lit(False))
     times = lambda w: F.size(F.filter("bag", lambda t: t == w))
     tf = F.array(*map(times, wanted)) if wanted else F.array().cast("array<int>")
@@ -66,9 +93,10 @@ def top_in_group(rows: DataFrame, group: str, order: list[Column], n: int) -> Da
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("rank") <= n)
 
 
-def hybrid_search(symbols: DataFrame, vectors: DataFrame, query: DataFrame, text: str, id_col: str, file_col: str, vector_id: str, vector_col: str, *text_cols: str, top_k: int = TOP_FILES) -> DataFrame:
-    """(file, score, name, symbol_score, rank): the best files by their best symbol, with up to five symbols each."""
-    keywords = keyword_search(symbols, text, id_col, *text_cols)
+def hybrid_search(symbols: DataFrame, vectors: DataFrame, query: DataFrame, text: str, id_col: str, file_col: str, vector_id: str, vector_col: str, *text_cols: str, top_k: int = TOP_FILES, keywords: DataFrame | None = None) -> DataFrame:
+    """(file, score, name, symbol_score, rank): the best files by their best symbol, with up to five symbols each. keywords:
+    the candidates by keyword, if an index has them."""
+    keywords = keyword_search(symbols, text, id_col, *text_cols) if keywords is None else keywords
     cosines = cosine_scores(vectors.withColumnRenamed(vector_id, id_col), query, id_col, vector_col)
     scored = hybrid_scores(cosines, keywords, id_col).join(symbols.select(id_col, F.col(file_col).alias("file")), id_col)
     best = top_in_group(scored, "file", [F.desc("score"), F.col(id_col)], TOP_SYMBOLS)
@@ -87,3 +115,14 @@ def place(rows: DataFrame, bucket: Column, order: list[Column], name: str = "pla
     inside = rows.withColumn("__in", F.row_number().over(W.partitionBy("__bucket").orderBy(*order)))
     before = before.withColumnRenamed("__bucket", "__of")
     return inside.join(before, F.col("__bucket").eqNullSafe(F.col("__of"))).drop("__of").withColumn(name, F.col("__before") + F.col("__in")).drop("__bucket", "__before", "__in")
+
+
+def place_sorted(rows: DataFrame, order: list[Column], keep: Callable[[DataFrame], DataFrame], name: str = "place") -> DataFrame:
+    """place() without buckets: rows are sorted in ranges and kept (written and read again), so that their places within
+    ranges stay as they are; the running sum is over the ranges."""
+    at = F.monotonically_increasing_id()  # range and place in it, 33 bits
+    kept = keep(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", at)).withColumn("__range", F.shiftright("__at", 33))
+    counts = kept.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = counts.select("__range", (F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
+    placed = kept.join(F.broadcast(before), "__range")  # a row a range: no more than shuffle partitions
+    return placed.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).drop("__range", "__at", "__before")
