@@ -136,6 +136,37 @@ def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.document_frequency(table(spark, sf_dir, "documents"), "text")
 
 
+_BEFORE = "SELECT doc_id, text FROM documents WHERE doc_id % 7 <> 0"
+_AFTER = "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN concat_ws(' ', text, source) ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0"
+
+
+def _changed_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents before and after a change of some, and of both those that have changed, by their times."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    before, after = rows.where("doc_id % 7 <> 0").select("doc_id", "text"), rows.where("doc_id % 11 <> 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.concat_ws(" ", "text", "source")).otherwise(F.col("text")).alias("text"))
+    change = changes.diff(*_versions(spark, sf_dir), "doc_id", "mtime").where("change <> 'same'").select("doc_id")
+    return before, after, before.join(change, "doc_id", "left_semi"), after.join(change, "doc_id", "left_semi")
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, unnest({_tokens("text")}) AS term, -1 AS n FROM ({_BEFORE}) UNION ALL SELECT doc_id, unnest({_tokens("text")}) AS term, 1 AS n FROM ({_AFTER}))
+SELECT term, doc_id, sum(n)::BIGINT AS tf FROM t GROUP BY 1, 2 HAVING sum(n) <> 0"""
+)
+def posting_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a change of some documents adds to a stored keyword index."""
+    *_, old, new = _changed_texts(spark, sf_dir)
+    return ranking.posting_deltas(old, new, "doc_id", "text")
+
+
+@query(f"WITH {_KEYWORDS.replace('FROM documents', f'FROM ({_AFTER})')} SELECT doc_id, score FROM kw")
+def keyword_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword search over the postings of the documents before a change and the deltas of it."""
+    before, after, old, new = _changed_texts(spark, sf_dir)
+    index = ranking.postings(before, "doc_id", "text").unionByName(ranking.posting_deltas(old, new, "doc_id", "text"))
+    scores = ranking.indexed_keyword_scores(index, ranking.terms_of(spark, SEARCH_TEXT), after.count(), "doc_id")
+    return scores.orderBy(F.desc("score"), "doc_id").limit(ranking.KEYWORD_CANDIDATES)
+
+
 # ---- files and text
 
 GREP, GREP_CAP, GREP_OF_FILE = r"(tion|ment)[ .,]", 50, 3
