@@ -427,7 +427,7 @@ SELECT before, state, before = state OR (before, state) IN ({", ".join(f"('{a}',
 )
 def state_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.expr(_STATE)
-    rows = table(spark, sf_dir, "events").select(state.alias("state"), F.lag(state).over(ranking.W.partitionBy("user_id").orderBy("ts", "event_id")).alias("before")).where("before IS NOT NULL")
+    rows = changes.previous(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", state.alias("state")), "user_id", ["ts", "event_id"], {"state": "before"}).where("before IS NOT NULL")
     return rows.groupBy("before", "state", progress.legal(F.col("before"), F.col("state")).alias("legal")).agg(F.count("*").alias("n"))
 
 

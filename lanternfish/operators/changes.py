@@ -53,16 +53,67 @@ def upsert(table: DataFrame, rows: DataFrame, key: str, order: list[str]) -> Dat
     return replace_rows(table, keep_one(rows, key, order, last=True).withColumn("updated_at", F.current_timestamp()).select(*table.columns), key)
 
 
-def sessions(events: DataFrame, key: str, time_col: str, gap_seconds: float) -> DataFrame:
-    """Debounced runs of events: (key, first_ts, last_ts, n_events). A new run begins after a pause longer than the gap."""
-    order = W.partitionBy(key).orderBy(time_col)
-    pause = F.unix_micros(F.col(time_col)) - F.unix_micros(F.lag(time_col).over(order))
-    numbered = events.withColumn("__new", F.when(pause.isNull() | (pause > int(gap_seconds * 1_000_000)), 1).otherwise(0))
+#: Ranges of time that a scan over the rows of a key is cut into.
+SEGMENTS = 64
+
+
+def segmented(rows: DataFrame, time_col: str, segments: int = SEGMENTS) -> DataFrame:
+    """Adds __segment, a number that grows with the time (null: the first): ranges of about as many rows each, by the quantiles
+    of all rows, so that a key that holds most rows is dealt over many tasks. Rows of one time lie in one segment; where the
+    cuts are doesn't change what scans return. The cuts are a bounded list."""
+    at = F.unix_micros(F.col(time_col).cast("timestamp"))
+    cuts = rows.agg(F.percentile_approx(at, [k / segments for k in range(1, segments)], 10_000)).first()[0] or []
+    before = sum((at > F.lit(cut)).cast("int") for cut in sorted(set(cuts))) if cuts else F.lit(0)
+    return rows.withColumn("__segment", F.coalesce(before, F.lit(0)))
+
+
+def _carried(parts: DataFrame, key: str, value: Column) -> Column:
+    """The value of the segment of a key before this one that has any rows: a row a key and segment, so a window bears it."""
+    return F.lag(value).over(W.partitionBy(key).orderBy("__segment"))
+
+
+def previous(rows: DataFrame, key: str, order: list[str], columns: dict[str, str], segments: int = SEGMENTS) -> DataFrame:
+    """lag() over the rows of a key in order, the first of which is a time, for keys that may hold most rows: within segments
+    by a window, and from the last row of the segment before for each first one. columns: what to take, and its new name;
+    __first says that there is no row before."""
+    cut = segmented(rows, order[0], segments)
+    within = W.partitionBy(key, "__segment").orderBy(*order)
+    taken = F.struct(*(F.col(c).alias(f"v{i}") for i, c in enumerate(columns)))
+    cut = cut.withColumn("__before", F.lag(taken).over(within)).withColumn("__at", F.row_number().over(within))
+    ordered = F.struct(*(x for c in order for x in (F.col(c).isNotNull(), F.col(c))))  # nulls come first, as in a window
+    ends = cut.groupBy(key, "__segment").agg(F.max_by(taken, ordered).alias("last"))
+    ends = ends.select(F.col(key).alias("__key"), F.col("__segment").alias("__of"), _carried(ends, key, F.col("last")).alias("__carried"))
+    # only the first rows of segments look for what is carried
+    first = cut.where("__at = 1").drop("__before").join(ends, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__segment") == F.col("__of"))).withColumn("__before", F.col("__carried")).select(*cut.columns)
+    both = cut.where("__at > 1").unionByName(first)
+    return both.select(*rows.columns, "__segment", F.col("__before").isNull().alias("__first"), *(F.col("__before")[f"v{i}"].alias(name) for i, name in enumerate(columns.values())))
+
+
+def sessions(events: DataFrame, key: str, time_col: str, gap_seconds: float, segments: int = SEGMENTS) -> DataFrame:
+    """Debounced runs of events: (key, first_ts, last_ts, n_events). A new run begins after a pause longer than the gap. Events
+    of one time are counted first, so those without one are one run; runs are made within segments, and those that meet at a
+    cut joined."""
+    gap = int(gap_seconds * 1_000_000)
+    times = events.groupBy(key, time_col).agg(F.count("*").alias("__n"))
+    cut = segmented(times, time_col, segments)
+    order = W.partitionBy(key, "__segment").orderBy(time_col)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    pause = micros(time_col) - F.unix_micros(F.lag(time_col).over(order).cast("timestamp"))
+    numbered = cut.withColumn("__new", F.when(pause.isNull() | (pause > gap), 1).otherwise(0))
     numbered = numbered.withColumn("__run", F.sum("__new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy(key, "__run").agg(F.min(time_col).alias("first_ts"), F.max(time_col).alias("last_ts"), F.count("*").alias("n_events")).drop("__run")
+    runs = numbered.groupBy(key, "__segment", "__run").agg(F.min(time_col).alias("first_ts"), F.max(time_col).alias("last_ts"), F.sum("__n").alias("n_events"), F.count("*").alias("__times"))
+    # a segment's first and last run may go on over the cuts; all between are whole. Of segments with one run it is both.
+    ends = numbered.groupBy(key, "__segment").agg(F.max("__run").alias("__runs"), F.min(time_col).alias("__from"), F.max(time_col).alias("__to"))
+    by_segment = W.partitionBy(key).orderBy("__segment")
+    joins = F.coalesce(micros("__from") - F.unix_micros(F.lag("__to").over(by_segment).cast("timestamp")) <= gap, F.lit(False))
+    begun = F.col("__runs") - F.when(joins, 1).otherwise(0)  # runs that begin in the segment
+    ends = ends.withColumn("__begun", begun).withColumn("__offset", F.sum("__begun").over(by_segment.rowsBetween(W.unboundedPreceding, 0)) - F.col("__runs"))
+    ends = ends.select(F.col(key).alias("__key"), F.col("__segment").alias("__of"), "__offset")
+    named = runs.join(ends, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__segment") == F.col("__of"))).withColumn("__run", F.col("__run") + F.col("__offset"))
+    return named.groupBy(key, "__run").agg(F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.sum("n_events").alias("n_events")).drop("__run")
 
 
 def head_moves(events: DataFrame, key: str, order: list[str], head_col: str) -> DataFrame:
     """Adds fired: the head differs from the one before, both being known."""
-    before = F.lag(head_col).over(W.partitionBy(key).orderBy(*order))
-    return events.withColumn("fired", F.coalesce(before.isNotNull() & F.col(head_col).isNotNull() & (before != F.col(head_col)), F.lit(False)))
+    rows = previous(events, key, order, {head_col: "__head"})
+    return rows.withColumn("fired", F.coalesce(F.col("__head").isNotNull() & F.col(head_col).isNotNull() & (F.col("__head") != F.col(head_col)), F.lit(False))).select(*events.columns, "fired")

@@ -154,3 +154,49 @@ def test_parse_files(spark):
     assert set(parsed) == {"a/x.py", "late.py"} and parsed["late.py"].error and parsed["a/x.py"].line_count == 5
     kept = parsing.symbols(parsing.parse(rows)).collect()
     assert [(r.symbol_id, r.line) for r in kept] == [("a/x.py::A", 3)]
+
+
+def hot_events(spark):
+    """Half of the events are of one user, a third of those at one time; users and times may be null."""
+    import random
+
+    r = random.Random(4)
+    rows = []
+    for k in range(600):
+        user = 1 if k % 2 else r.choice([2, 3, None, 4])
+        at = 500.0 if k % 6 == 1 else None if k % 97 == 0 else float(r.randrange(4000))
+        rows.append((k, user, at, r.choice(["a", "b", None])))
+    events = spark.createDataFrame(rows, "event_id long, user_id long, s double, head string")
+    return rows, events.withColumn("ts", F.timestamp_millis((F.col("s") * 1000).cast("long"))).drop("s")
+
+
+@pytest.mark.parametrize("segments", [1, 7, 64])
+def test_scans_of_hot_users(spark, segments):
+    rows, events = hot_events(spark)
+    key = lambda r: (r[2] is not None, r[2] or 0.0, r[0])
+    want, runs = set(), []
+    for user in {r[1] for r in rows}:
+        own = sorted((r for r in rows if r[1] == user), key=key)
+        for before, r in zip([None, *own], own):
+            want.add((r[0], before is None, before and before[3], before and before[0]))
+        run = []
+        for at in sorted(r[2] for r in own if r[2] is not None):
+            if run and at - run[-1] > 20:
+                runs.append((user, run[0], run[-1], len(run)))
+                run = []
+            run.append(at)
+        runs.append((user, run[0], run[-1], len(run)))
+    found = changes.previous(events, "user_id", ["ts", "event_id"], {"head": "h", "event_id": "e"}, segments)
+    assert {(r.event_id, r["__first"], r.h, r.e) for r in found.collect()} == want
+    assert {tuple(r) for r in found.groupBy("__segment").count().where("count > 300").collect()} == ({(0, 600)} if segments == 1 else set())
+    made = changes.sessions(events.where("ts is not null"), "user_id", "ts", 20, segments).collect()
+    assert sorted((str(u), a, b, n) for u, a, b, n in runs) == sorted((str(r.user_id), r.first_ts.timestamp(), r.last_ts.timestamp(), r.n_events) for r in made)
+
+
+def test_places_by_sort(spark, tmp_path):
+    def keep(rows):
+        rows.write.parquet(str(tmp_path / "kept"))
+        return spark.read.parquet(str(tmp_path / "kept"))
+
+    rows = ranking.place_sorted(spark.range(1000).withColumn("v", F.col("id") * 7 % 1000).repartition(5), [F.col("v")], keep).collect()
+    assert len(rows) == 1000 and all(r.place == r.v + 1 for r in rows)
