@@ -19,7 +19,8 @@ import binascii
 import json
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,7 +41,7 @@ ONE_ALPHABET = re.compile(r"(?:[A-Za-z0-9+/]*|[A-Za-z0-9_-]*)\Z")
 PARTS = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{40,}={0,2}")
 LINE_END, LINE = re.compile(r"[\x20\t]*(?:\r?\n|\r|(?:\\r)?\\n)[\x20\t>#]*"), re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 DER_START = re.compile(r"(?=M[A-P][A-Za-z0-9+/_-]{6})")  # 0x30 and a length
-OPENSSH_START = "b3BlbnNzaC1rZXktdj"
+OPENSSH, OPENSSH_START = b"openssh-key-v1\0", "b3BlbnNzaC1rZXktdj"
 LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{48,}")
 
 #: What a text must hold for a pattern to be tried: searches for fixed bytes are far quicker than patterns.
@@ -51,6 +52,12 @@ _ANY_HEX_RUN = bytes(0x68 if chr(c) in "0123456789abcdefABCDEF" else 0x20 for c
 _BASE64_RUN = bytes(0x62 if chr(c).isalnum() and c < 128 or chr(c) in "+/_-" else 0x20 for c in range(256))
 
 LAYERS = 3
+#: Values in the sequence of a key, and bytes of a constructed one (an algorithm, parameters, attributes), at most.
+VALUES, CONSTRUCTED = 16, 4096
+
+Content = list | bytes
+#: Bytes (at, n) of something.
+Read = Callable[[int, int], bytes]
 
 
 def unbase64(text: str) -> bytes | None:
@@ -98,28 +105,76 @@ def der(data: bytes, start: int, end: int, depth: int = 0) -> list[tuple[int, li
     return out
 
 
+def _is_key(values: list[tuple[int, Content]]) -> bool:
+    """Whether these values, in one sequence, are those of a private key."""
+    tags = [tag for tag, _ in values]
+    algorithm = lambda value: value[0] == 0x30 and value[1] and value[1][0][0] == 0x06
+    if tags[:1] == [0x02] and values[0][1] in (b"\0", b"\1"):
+        if tags.count(0x02) == len(tags) and len(tags) in (6, 9):
+            return True  # DSA, RSA
+        if tags[:2] == [0x02, 0x04]:
+            return len(values[1][1]) >= 16  # EC
+        return tags[:3] == [0x02, 0x30, 0x04] and bool(algorithm(values[1]))
+    return tags == [0x30, 0x04] and bool(algorithm(values[0])) and len(values[1][1]) >= 16
+
+
 def is_private_key(data: bytes) -> bool:
-    if data.startswith(b"openssh-key-v1\0"):
-        at, fields = 15, 0
-        while at + 4 <= len(data) and fields < 3:  # cipher, kdf, its options: strings after their lengths
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-            fields += 1
-        return fields == 3 and at + 4 <= len(data)
+    if data.startswith(OPENSSH):
+        return _openssh_fits(lambda at, n: data[at : at + n], len(data))
     if len(data) < 16 or data[0] != 0x30:
         return False
     values = der(data, 0, len(data))
-    if values is None or len(values) != 1:
+    return values is not None and len(values) == 1 and _is_key(values[0][1])
+
+
+def _openssh_fits(read: Read, size: int) -> bool:
+    """Three strings after the magic, each after its length (cipher, kdf, its options), and a number of keys."""
+    at = len(OPENSSH)
+    if read(0, at) != OPENSSH:
         return False
-    parts = values[0][1]
-    tags = [tag for tag, _ in parts]
-    algorithm = lambda part: part[0] == 0x30 and part[1] and part[1][0][0] == 0x06
-    if tags[:1] == [0x02] and parts[0][1] in (b"\0", b"\1"):
-        if tags.count(0x02) == len(tags) and len(tags) in (6, 9):
-            return True  # DSA, RSA
-        if tags[:2] == [0x02, 0x04]:
-            return len(parts[1][1]) >= 16  # EC
-        return tags[:3] == [0x02, 0x30, 0x04] and bool(algorithm(parts[1]))
-    return tags == [0x30, 0x04] and bool(algorithm(parts[0])) and len(parts[1][1]) >= 16
+    for _ in range(3):
+        if at + 4 > size:
+            return False
+        at += 4 + int.from_bytes(read(at, 4), "big")
+    return at + 4 <= size
+
+
+def _der_fits(read: Read, size: int) -> bool:
+    """is_private_key() of DER, from the heads of the values in its sequence and what the short constructed ones hold: the work
+    doesn't grow with the size. No key has long ones or more values than VALUES."""
+    start, end = _head(read(0, 6))
+    values: list[tuple[int, Content]] = []
+    if end != size:
+        return False
+    while start < end:
+        if len(values) == VALUES or start + 2 > end:
+            return False
+        tag = read(start, 1)[0]
+        first, after = (start + x for x in _head(read(start, min(6, end - start))))
+        if not start < first <= after <= end or tag & 0x20 and after - first > CONSTRUCTED:
+            return False
+        if tag & 0x20:
+            inner = der(read(first, after - first), 0, after - first, 2)
+            if inner is None:
+                return False
+            values.append((tag, inner))
+        else:
+            values.append((tag, read(first, min(after - first, 16))))
+        start = after
+    return _is_key(values)
+
+
+def _head(data: bytes) -> tuple[int, int]:
+    """Where a DER value's content begins and ends, from its first bytes; (0, 0) if that is no length."""
+    if len(data) < 2:
+        return 0, 0
+    head, size = 2, data[1]
+    if size & 0x80:
+        n = size & 0x7F
+        if not 1 <= n <= 4 or 2 + n > len(data):
+            return 0, 0
+        head, size = 2 + n, int.from_bytes(data[2 : 2 + n], "big")
+    return head, head + size
 
 
 def is_signed_token(header: str, payload: str, signature: str) -> bool:
@@ -160,30 +215,31 @@ def _block(text: str, first: re.Match) -> list[tuple[int, int]]:
     return lines
 
 
-def _declared(start: str) -> int:
-    """Characters of base64 that a DER value needs by its length, told from the first eight; 0 if that is no length."""
-    data = unbase64(start) or b""
-    if len(data) < 6 or data[0] != 0x30:
-        return 0
-    head, size = 2, data[1]
-    if size & 0x80:
-        n = size & 0x7F
-        if not 1 <= n <= 4:
-            return 0
-        head, size = 2 + n, int.from_bytes(data[2 : 2 + n], "big")
-    return (4 * (head + size) + 2) // 3
+def _reader(joined: str, start: int) -> Read:
+    """Bytes (at, n) of what base64 from a place on decodes to, without decoding what is before or after."""
+    def read(at: int, n: int) -> bytes:
+        first = start + at // 3 * 4
+        return (unbase64(joined[first : first + (at % 3 + n + 2) // 3 * 4]) or b"")[at % 3 : at % 3 + n]
+
+    return read
 
 
 def _keys(joined: str, starts: list[int]) -> Iterator[tuple[int, int]]:
     """Ranges of DER private keys in lines put together: from the start of a line or after a sign, over as many characters
-    as the value declares, to the end of a line or before a sign."""
+    as the value declares, to the end of a line or before a sign. Only what has a key's structure is decoded as a whole."""
     edges, done = {*starts, len(joined)}, 0
+    plus, minus = ([m.start() for m in re.finditer(signs, joined)] for signs in ("[+/]", "[-_]"))
+    has = lambda places, a, b: bisect_left(places, a) < bisect_left(places, b)
     for m in DER_START.finditer(joined):
         a = m.start()
         if a < done or not (a in edges or joined[a - 1] in "+/_-"):
             continue
-        b = a + _declared(joined[a : a + 8])
-        if a + 20 < b <= len(joined) and (b in edges or joined[b] in "+/_-") and ONE_ALPHABET.match(joined[a:b]) and (data := unbase64(joined[a:b])) and is_private_key(data):
+        read = _reader(joined, a)
+        size = _head(read(0, 6))[1]
+        b = a + (4 * size + 2) // 3
+        if not (a + 20 < b <= len(joined) and (b in edges or joined[b] in "+/_-")) or has(plus, a, b) and has(minus, a, b):
+            continue
+        if _der_fits(read, size) and (data := unbase64(joined[a:b])) and is_private_key(data):
             yield a, b
             done = b
 
@@ -210,7 +266,8 @@ def _wrapped(text: str, lines: list[tuple[int, int]], layer: int) -> list[tuple[
     for i, part in enumerate(parts):
         if part.startswith(OPENSSH_START):
             for b in (len(joined), starts[-2]):
-                if (data := unbase64(joined[starts[i] : b])) and is_private_key(data):
+                size = b - starts[i]
+                if size % 4 != 1 and _openssh_fits(_reader(joined, starts[i]), size * 3 // 4) and (data := unbase64(joined[starts[i] : b])) and is_private_key(data):
                     add("private_key", starts[i], b)
                     return found
     whole = len(parts[0]) % 4 == 0  # lines decode one by one
@@ -228,6 +285,12 @@ def _wrapped(text: str, lines: list[tuple[int, int]], layer: int) -> list[tuple[
     return found
 
 
+def _meets(spans: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether a range meets one of some spans, which lie one after the other."""
+    i = bisect_left(spans, (end, 0))
+    return i > 0 and spans[i - 1][1] > start
+
+
 def _base64(text: str, layer: int, skip: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
     """Secrets in base64: in lines together, then in runs by themselves, outside the spans to skip."""
     found: list[tuple[str, int, int]] = []
@@ -235,10 +298,11 @@ def _base64(text: str, layer: int, skip: list[tuple[int, int]]) -> list[tuple[st
     while m := BASE64.search(text, at):
         lines = _block(text, m)
         at = lines[-1][0] if len(lines) > 1 and lines[-1][1] - lines[-1][0] >= 40 else lines[-1][1]
-        if lines := [(x, y) for x, y in lines if not any(a < y and x < b for a, b in skip)]:
+        if lines := [(x, y) for x, y in lines if not _meets(skip, x, y)]:
             found += _wrapped(text, lines, layer)
-    skip = [*skip, *((a, b) for _, a, b in found)]
-    within = lambda a, b: any(x <= a and b <= y for x, y in skip)
+    known = sorted([*skip, *((a, b) for _, a, b in found)])
+    begins, reach = [a for a, _ in known], list(accumulate((b for _, b in known), max))
+    within = lambda a, b: (i := bisect_right(begins, a)) > 0 and reach[i - 1] >= b
     for m in BASE64.finditer(text):
         if within(*m.span()):
             continue

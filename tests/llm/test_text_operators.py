@@ -261,3 +261,53 @@ def test_pii_checksums_and_context(spark):
 def test_pii_plan_has_no_python(spark):
     plan = pii.find_personal_data(frame(spark, ["x"]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def wrapped(data):
+    text = base64.b64encode(data).decode()
+    return "\n".join(text[i : i + 64] for i in range(0, len(text), 64))
+
+
+def sequences(lines, inside):
+    """Base64 lines each of which starts a sequence that declares a length to the end."""
+    return b"".join((b"\x30\x84" + ((lines - i) * 48 - 6).to_bytes(4, "big") + inside(lines - i)).ljust(48, b"\x02") for i in range(lines))
+
+
+@pytest.mark.parametrize("name", ["plain", "pkcs8", "openssh", "pem"])
+def test_hostile_base64_takes_linear_time(name):
+    import time
+
+    made = {
+        "plain": lambda n: wrapped(sequences(n, lambda left: b"")),
+        "pkcs8": lambda n: wrapped(sequences(n, lambda left: b"\x02\x01\x00\x30\x05\x06\x03abc\x04\x84" + (left * 48 - 6 - 16 + 1).to_bytes(4, "big"))),
+        "openssh": lambda n: wrapped(b"openssh-key-v1\0".ljust(48, b"\xff") * n),
+        "pem": lambda n: ("-----BEGIN PRIVATE KEY-----\n" + wrapped(b"\xff" * 600) + "\n-----END PRIVATE KEY-----\n") * (n // 14),
+    }[name]
+    took = {}
+    for lines in (8_000, 64_000):  # half a megabyte, four megabytes
+        text = made(lines)
+        began = time.process_time()
+        assert secrets.scan(text) == []
+        took[lines] = time.process_time() - began
+    assert took[64_000] < 24 * took[8_000] + 1
+
+
+def test_key_heads_are_checked_as_whole_keys_are():
+    """What the heads of values say about DER is what parsing all of it says."""
+    r = random.Random(9)
+
+    def value(tag, content):
+        n = len(content)
+        return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")) + content
+
+    algorithm, number = value(0x30, value(0x06, b"\x2a\x86\x48")), value(0x02, b"\x05" * 40)
+    bodies = [value(0x02, b"\0") + number * 8, value(0x02, b"\0") + number * 5, value(0x02, b"\1") + value(0x04, b"k" * 32) + value(0xA0, b"\x06\x01\x05"), value(0x02, b"\0") + algorithm + value(0x04, b"k" * 300), algorithm + value(0x04, b"k" * 20), algorithm + value(0x04, b"k"), number * 6, value(0x02, b"\0") + number * 7, b"", algorithm]
+    seen = set()
+    for body in bodies:
+        whole = value(0x30, body)
+        for data in [whole, *(bytes(whole[:i] + bytes([r.randrange(256)]) + whole[i + 1 :]) for i in (r.randrange(len(whole)) for _ in range(60)))]:
+            text = base64.b64encode(data).decode().rstrip("=")
+            fits = len(data) >= 16 and data[0] == 0x30 and secrets._der_fits(secrets._reader(text, 0), len(data))
+            assert fits == secrets.is_private_key(data)
+            seen.add(fits)
+    assert seen == {True, False}
