@@ -37,8 +37,11 @@ from .common import ROW, discard, numbered, own_ids, slices, stored, texts
 LENGTH, ANCHOR = 200, 24
 #: Runs of a group that one task ranks: their bytes and ranks take some 50 MB.
 GROUP_LIMIT = 16_384
-#: Bytes of text that a worker ranks at a time, if a text isn't longer.
-CHUNK = 400_000
+#: Bytes of text from which a worker ranks what it holds, and windows of a text that it takes at a time: some 60 bytes of
+#: memory each.
+CHUNK, PIECE = 400_000, 1 << 20
+#: Bits of a place in what is ranked at a time; the others of a hash are compared, always as many.
+PLACE_BITS = 26
 
 _BYTES = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -70,7 +73,7 @@ def _runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray,
         return none, none, none.view(np.uint64)
     names = _ranks(data, ANCHOR)
     width = length - ANCHOR + 1
-    place = np.uint64((1 << max(26, len(data).bit_length())) - 1)
+    place = np.uint64((1 << PLACE_BITS) - 1)
     least, n = (names & ~place) | np.arange(len(names), dtype=np.uint64), 1
     while n < width:  # least of the next n, doubling
         step = min(n, width - n)
@@ -88,30 +91,32 @@ def _runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray,
     return first[keep], last[keep], names[anchor[first[keep]]]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], list[bytes]]]:
-    keys, held, size = [], [], 0
+def _chunks(batches: Iterator[pa.RecordBatch], length: int, piece: int) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray]]:
+    """Keys, bytes and offsets of texts, some at a time. Of long texts they are those of pieces, each of which has `piece`
+    windows of its own: runs are cut there, which changes what moves together, not which windows are equal."""
+    keys, held, offsets, size = [], [], [], 0
     for batch in slices(batches):
-        rows = list(texts(batch.column(1)))
-        start = 0
-        for i, raw in enumerate(rows):
-            held.append(raw or b"")
-            size += len(held[-1])
-            if size >= CHUNK:
-                keys.append(batch.column(0).slice(start, i + 1 - start))
-                yield keys, held
-                keys, held, size, start = [], [], 0, i + 1
-        keys.append(batch.column(0).slice(start))
+        for key, raw in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
+            raw = raw or b""
+            for start in range(0, max(1, len(raw) - length + 1), piece):
+                keys.append(key)
+                held.append(raw[start : start + piece + length - 1])
+                offsets.append(start)
+                size += len(held[-1])
+                if size >= CHUNK:
+                    yield np.array(keys, np.int64), held, np.array(offsets, np.int64)
+                    keys, held, offsets, size = [], [], [], 0
     if held:
-        yield keys, held
+        yield np.array(keys, np.int64), held, np.array(offsets, np.int64)
 
 
-def _find_runs(docs: DataFrame, length: int, full: bool) -> DataFrame:
+def _find_runs(docs: DataFrame, length: int, full: bool, piece: int = PIECE) -> DataFrame:
     """A row a run: anchor and, if full, run (name of its bytes), key of the text and at (first window * 256 + windows - 1)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         digest = xxhash.xxh3_64_intdigest
-        for keys, held in _chunks(batches):
+        for keys, held, offsets in _chunks(batches, length, piece):
             joined = b"".join(held)
             ends = np.cumsum([len(x) for x in held])
             first, last, anchor = _runs(np.frombuffer(joined, np.uint8), ends, length)
@@ -120,8 +125,8 @@ def _find_runs(docs: DataFrame, length: int, full: bool) -> DataFrame:
                 view = memoryview(joined)
                 names = np.array([digest(view[a:b]) for a, b in zip(first.tolist(), (last + length).tolist())], dtype=np.uint64)
                 text = np.searchsorted(ends, first, "right")
-                at = (first - np.concatenate([[0], ends])[text]) * 256 + (last - first)
-                columns += [pa.array(names.view(np.int64)), pa.concat_arrays(keys).take(pa.array(text)), pa.array(at)]
+                at = (first - np.concatenate([[0], ends])[text] + offsets[text]) * 256 + (last - first)
+                columns += [pa.array(names.view(np.int64)), pa.array(keys[text]), pa.array(at)]
             yield pa.RecordBatch.from_arrays(columns, ["anchor", "run", "key", "at"][: len(columns)])
 
     return docs.mapInArrow(run, "anchor bigint" + ", run bigint, key bigint, at bigint" * full)
@@ -246,10 +251,12 @@ def _spans(ranges: DataFrame, length: int) -> DataFrame:
     return grouped.mapInArrow(run, "key bigint, starts array<bigint>, ends array<bigint>")
 
 
-def remove_repeated(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", group_limit: int = GROUP_LIMIT) -> DataFrame:
+def remove_repeated(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", group_limit: int = GROUP_LIMIT, piece: int = PIECE) -> DataFrame:
     """Returns id_col, n_bytes, starts and ends (of removed byte ranges) and kept (the bytes that remain)."""
     if not ANCHOR <= length <= ANCHOR + 255:
         raise ValueError(f"length must be from {ANCHOR} to {ANCHOR + 255}")
+    if not 0 < piece <= 1 << (PLACE_BITS - 1):
+        raise ValueError(f"a piece has up to {1 << (PLACE_BITS - 1)} windows")
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if own_ids(rows, "id"):
         docs = rows.select(F.col("id").cast("bigint").alias("key"), "id", "text")
@@ -257,8 +264,8 @@ def remove_repeated(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
         docs = numbered(df, id_col, text_col).select(F.col(ROW).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     long = docs.select("key", "text").where(F.octet_length("text") >= length)
 
-    shared = stored(_find_runs(long, length, full=False).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
-    runs = stored(_of_shared(_find_runs(long, length, full=True), shared))
+    shared = stored(_find_runs(long, length, full=False, piece=piece).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    runs = stored(_of_shared(_find_runs(long, length, full=True, piece=piece), shared))
     discard(shared)
     kinds = stored(runs.groupBy("anchor", "run").agg(F.count("*").alias("copies"), F.min(F.struct("key", "at")).alias("one")))
     twice = kinds.where("copies > 1")

@@ -175,6 +175,34 @@ def test_substrings_equal_brute_force(spark, length, group_limit, broadcast):
         assert found[k] == want, k
 
 
+@pytest.mark.parametrize("piece", [1, 37, 1000])
+def test_substrings_of_texts_in_pieces(spark, piece):
+    texts = [*repetitive()[-8:], "ab " * 100, None]
+    rows = substrings.remove_repeated(frame(spark, texts), piece=piece).collect()
+    found = {r.doc_id: (r.n_bytes, r.n_bytes - len(r.kept), len(r.starts), hashlib.sha256(r.kept).hexdigest()) for r in rows}
+    assert found == dict(enumerate(without_repeats(texts, 200)))
+
+
+def test_substrings_of_a_long_text_in_bounded_memory():
+    """64 MB in one text: what a worker holds beside the text itself stays small, and all windows are there once."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    long = np.random.default_rng(1).integers(97, 123, 64_000_000, dtype=np.uint8).tobytes().decode()
+    batch = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([long])], ["key", "text"])
+    tracemalloc.start()
+    windows, top = 0, 0
+    for keys, held, offsets in substrings._chunks(iter([batch]), 200, substrings.PIECE):
+        first, last, _ = substrings._runs(np.frombuffer(b"".join(held), np.uint8), np.cumsum([len(x) for x in held]), 200)
+        assert keys.tolist() == [5] and len(offsets) == 1
+        windows += int((last - first + 1).sum())
+        top = max(top, tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert windows == len(long) - 199 and top < 500e6
+
+
 def test_substrings_take_odd_rows(spark):
     text = " ".join(words(5, 120))
     rows = substrings.remove_repeated(frame(spark, [text, text, "x" * 10, None, text + "tail" * 60], ids=[1, 1, None, None, 2])).collect()

@@ -311,3 +311,15 @@ def test_key_heads_are_checked_as_whole_keys_are():
             assert fits == secrets.is_private_key(data)
             seen.add(fits)
     assert seen == {True, False}
+
+
+def test_quality_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    """A third of the rows is one text and another third null: no more than the limit is measured."""
+    n = 3000
+    texts = ["one text " * 20] * n + [None] * n + [f"w{k} " * 60 for k in range(n)]
+    seen = spark.sparkContext.accumulator(0)
+    rules = {"counted": lambda v: seen.add(1) or False, "few": lambda v: v.n_words < 50}
+    order = quality.measure(frame(spark, texts), rules, sample_rows=100)
+    assert 40 < seen.value <= quality.HARD_LIMIT * 100 and {name for name, *_ in order} == {"counted", "few"}
+    share = {name: rejected for name, _, rejected in order}["few"]
+    assert 0.4 < share < 0.9  # copies, of 40 words, and nulls: two thirds of all
