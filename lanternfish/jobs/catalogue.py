@@ -16,7 +16,7 @@ from ..functions import paths as P
 from ..functions import progress
 from ..functions import tokens as T
 from ..functions import vectors as V
-from ..operators import changes, lookup, parsing, ranking
+from ..operators import changes, lookup, parsing, ranking, trigrams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -210,6 +210,26 @@ def grep_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top_in_group(_grep(spark, sf_dir), "doc_id", [F.col("line")], GREP_OF_FILE).drop("rank").orderBy("doc_id", "line").limit(GREP_CAP)
 
 
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return trigrams.candidates(documents.select("doc_id", F.explode(trigrams.grams(F.col("text"))).alias("gram")), "doc_id", trigrams.clauses(GREP))
+
+
+_HELD = " OR ".join("(" + " AND ".join(f"contains(text, '{g}')" for g in (w[:3], w[1:], w[2:] + x)) + ")" for w in ("tion", "ment") for x in " .,")
+
+
+@query(f"SELECT doc_id FROM (SELECT doc_id, lower(text) AS text FROM documents) WHERE {_HELD}")
+def trigram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold the trigrams that the searched pattern needs."""
+    return _candidates(spark, sf_dir)
+
+
+@query(f"WITH {_LINES} SELECT * FROM m")
+def trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All matching lines, from candidates by trigrams alone."""
+    return lookup.grep(table(spark, sf_dir, "documents").join(_candidates(spark, sf_dir), "doc_id", "left_semi"), "text", GREP, "doc_id")
+
+
 @query(
     f"""SELECT doc_id, concat_ws(chr(10), concat_ws(' > ', concat_ws('/', source, doc_id) || ' [' || coalesce(lang, '') || ']', nullif(source, ''), doc_id), 'signature: ' || n_chars,
   nullif({_head("text")}, '')) AS embed_text FROM documents"""

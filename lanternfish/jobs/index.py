@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import progress
 from ..functions import tokens as T
-from ..operators import changes, embedding, lookup, parsing, ranking
+from ..operators import changes, embedding, lookup, parsing, ranking, trigrams
 from ..shipping import ship
 from ..sources.listing import list_paths, list_files, with_content
 from ..sources.store import PARTS, Change, Store, Version
@@ -23,6 +23,7 @@ FILES = "path string, rel_path string, language string, line_count int, mtime do
 SYMBOLS = "path string, language string, symbol_id string, type string, name string, parent string, line int, end_line int, signature string, body_text string"
 VECTORS = "symbol_id string, model string, vector array<double>, updated_at timestamp"
 POSTINGS = "term string, symbol_id string, tf bigint"
+TRIGRAMS = "gram string, path string"
 #: What keyword search reads of a symbol.
 TEXT = ("name", "parent", "signature", "body_text", "path")
 
@@ -97,6 +98,9 @@ class Index:
         """Deltas as they were added; ranking.merged_postings() makes one row a term and symbol of them."""
         return self.store.read("postings", POSTINGS, parts, version)
 
+    def trigrams(self, parts: list[int] | None = None, version: Version | None = None) -> DataFrame:
+        return self.store.read("trigrams", TRIGRAMS, parts, version)
+
     def move(self, state: str) -> None:
         if not progress.may_move(self.state, state):
             raise ValueError(f"a build can't go from {self.state} to {state}")
@@ -197,11 +201,13 @@ class Index:
             before = self.symbols(parts, base)
             left = before.join(gone, "path", "left_anti")
             vectors = self.vectors(parts, base).join(left.select("symbol_id"), "symbol_id", "left_semi")
+            grams = self.trigrams(parts, base).join(gone, "path", "left_anti").unionByName(parsed.select("path", F.explode(trigrams.grams(F.col("text"))).alias("gram")))
             deltas = ranking.posting_deltas(before.join(gone, "path", "left_semi"), symbols, "symbol_id", *TEXT)
             replaced = {
                 **self.store.replacing(self.store.write("files", files, file_key(F.col("rel_path")), ["path"], ["path"]), parts),
                 **self._symbols_written(left.unionByName(symbols), parts),
                 **self.store.replacing(self.store.write("vectors", vectors, _symbol_key(), ["symbol_id"], ["symbol_id"]), parts),
+                **self.store.replacing(self.store.write("trigrams", grams, self._key_of_path(), ["gram", "path"], ["gram"]), parts),
             }
             return Change(replaced=replaced, added=self._postings_written(deltas), meta=meta, guarded=guarded)
 
@@ -299,8 +305,8 @@ class Index:
         self.store.update(work)
 
     def clear(self) -> None:
-        """An index without files, symbols, postings and vectors."""
-        self.store.clear("files", "symbols", "postings", "vectors")
+        """An index without files, symbols, postings, trigrams and vectors."""
+        self.store.clear("files", "symbols", "postings", "vectors", "trigrams")
 
     # ---- queries
 
@@ -336,10 +342,22 @@ class Index:
         now = with_content(list_paths(self.spark, self.root, [path]).select("path"), self.root).select("path", parsing.text_of(F.col("content")).alias("text"))
         return found.join(now, "path").select("symbol_id", "tier", T.source_slice(F.col("text"), F.col("line"), F.col("end_line")).alias("source"))
 
+    def search_candidates(self, pattern: str, glob: str = "*") -> DataFrame:
+        """(path, rel_path) of the files that may match: by their trigrams, and those that have changed since they were indexed."""
+        listed = self.store.working(list_files(self.spark, self.root, self._kept).where(P.matches_glob(F.col("rel_path"), glob)))
+        self.store.done(*self._kept.tables)
+        self._kept.tables.clear()
+        needed, version = trigrams.clauses(pattern), self.store.latest()
+        if not needed:
+            return listed.select("path", "rel_path")
+        change = changes.diff(self.files(version=version), listed, "path", "mtime").where(F.col("change").isin("new", "changed")).select("path")
+        return listed.join(trigrams.candidates(self.trigrams(version=version), "path", needed).union(change), "path", "left_semi").select("path", "rel_path")
+
     def search_code(self, pattern: str, glob: str = "*", limit: int = 50, case_sensitive: bool = True) -> DataFrame:
-        found = self._listed().where(P.matches_glob(F.col("rel_path"), glob))
-        rows = with_content(found.select("path", "rel_path"), self.root).select(F.col("rel_path").alias("file"), parsing.text_of(F.col("content")).alias("text"))
-        found = lookup.grep(rows, "text", pattern if case_sensitive else f"(?i){pattern}", "file")
+        """(file, line, match) of lines that match, as files are now; only candidates are read."""
+        pattern = pattern if case_sensitive else f"(?i){pattern}"
+        rows = with_content(self.search_candidates(pattern, glob), self.root).select(F.col("rel_path").alias("file"), parsing.text_of(F.col("content")).alias("text"))
+        found = lookup.grep(rows, "text", pattern, "file")
         return ranking.top_in_group(found, "file", [F.col("line")], limit).drop("rank").orderBy("file", "line").limit(limit)
 
     def keyword_search(self, text: str, limit: int = ranking.KEYWORD_CANDIDATES) -> DataFrame:

@@ -219,3 +219,60 @@ def test_no_pruned_folder_is_listed(spark, tmp_path):
     assert {r.rel_path: bytes(r.content) for r in listing.with_content(found, str(root)).collect()} == {"a/b/c/f.py": b"x = 1", "a/[odd] {name}*.py": b"y = 2"}
     few = listing.list_paths(spark, str(root), [f"{root}/a/b/c/f.py", f"{root}/gone.py", f"{root}/a/dist/f.py", f"{root}/../x.py"])
     assert [r.asDict() for r in few.collect()] == [r.asDict() for r in found.select(*few.columns).where("rel_path like '%f.py'").collect()]
+
+
+def test_search_reads_candidates_alone(spark, tmp_path):
+    root = tmp_path / "src"
+    tree(root, 20)
+    (root / "odd.py").write_text("x = 'Needle' + \"hay\"\ny = 'NEEDLE'\nz = needless\n")
+    index = Index(spark, str(root), str(tmp_path / "store"), parts=4)
+    index.build()
+    assert [r.rel_path for r in index.search_candidates("Needle|hay[st]ack").collect()] == ["odd.py"]
+    assert [(r.file, r.line) for r in index.search_code("Needle").collect()] == [("odd.py", 1)]
+    assert [(r.file, r.line) for r in index.search_code("needle", case_sensitive=False).collect()] == [("odd.py", 1), ("odd.py", 2), ("odd.py", 3)]
+    assert index.search_candidates("handle_1[0-9]").count() == 11 and index.search_code("handle_1[0-9]").count() == 10
+    assert index.search_candidates(r"\bx|y\b").count() == 21  # too short to tell
+    time.sleep(0.01)
+    (root / "m3.py").write_text("needle = 1\n")
+    (root / "new.py").write_text("a = needle\n")
+    (root / "odd.py").unlink()
+    assert [(r.file, r.line) for r in index.search_code("needle").collect()] == [("m3.py", 1), ("new.py", 1)]  # as files are now
+    index.rebuild("m3.py", "new.py", "odd.py")
+    assert sorted(r.rel_path for r in index.search_candidates("needle").collect()) == ["m3.py", "new.py"]
+
+
+PATTERNS = ["needle", "nee(dle|t)", "(tion|ment)[ .,]", "abc|de", "(abc|def)ghi", "x[ab]yz", "x[a-z]yz", "a{3}bcd", "(abc)+d", "(abc)*d", "(abc)?def", "^abc$", r"\babc\d", "ab.cde", "(?i)ABC", "(?:ab)(?:cd)", r"a\.bc", "[^a]bcd", "abc(?=d)def", "abc(?!x)", "", "a", "(", r"\p{L}abc", "[a-c&&[b]]bcd", "[[ab]]cd", "abcd++e", "ab(?i)cd", "xyz|", "(abc|(de|fg)hi)jkl", "ab\nc", "[abc][abc][abc][abc]de"]
+
+
+@pytest.mark.parametrize("pattern", PATTERNS)
+def test_clauses_hold_for_all_that_matches(pattern):
+    import random
+    import re
+
+    from lanternfish.operators import trigrams
+
+    needed = trigrams.clauses(pattern)
+    try:
+        compiled = re.compile(pattern)
+    except re.error:
+        assert needed == []
+        return
+    r = random.Random(7)
+    pieces = ["needle", "need", "tion", "ment", " ", ".", "abc", "ABC", "de", "def", "ghi", "x", "xa", "yz", "aaa", "bcd", "d", "1", "cde", "hi", "jkl", "fg", "\n", "ab", "cd"]
+    matched = 0
+    for _ in range(3000):
+        text = "".join(r.choice(pieces) for _ in range(r.randrange(1, 6)))
+        if compiled.search(text) and "\n" not in pattern:
+            matched += 1
+            low = text.lower()
+            assert all(any(all(g in low for g in alternative) for alternative in clause) for clause in needed), text
+    assert matched or pattern in ("a{3}bcd", "[[ab]]cd", "ab\nc", "[a-c&&[b]]bcd", "abcd++e", "(abc)+d", r"a\.bc")
+
+
+def test_clauses_are_those_one_would_name():
+    from lanternfish.operators import trigrams
+
+    say = lambda pattern: [sorted("+".join(sorted(a)) for a in clause) for clause in trigrams.clauses(pattern)]
+    assert say("(tion|ment)[ .,]") == [sorted(f"{a}+{b}+{c}" for w in ("tion", "ment") for x in " .," for a, b, c in [sorted([w[:3], w[1:], w[2:] + x])])]
+    assert say("abc.*def") == [["abc"], ["def"]] and say("(abc|xyz.*)d") == [["abc", "xyz"]] and say("abc|d") == []
+    assert say("(abc)+") == [["abc"]] and say("(abc)*") == [] and say(r"\p{L}abc") == [] and say("(?i)ABC") == [["abc"]]
