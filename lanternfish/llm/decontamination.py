@@ -24,15 +24,17 @@ from __future__ import annotations
 import string
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, slices, small_enough, stored, texts
+from .common import SLICE, discard, slices, small_enough, stored, texts
 
 WINDOW, SLOP = 10, 2
 #: Words of test items in a block, about; a block is broadcast: some 40 bytes a word in arrays, and its terms. Windows of a
@@ -196,7 +198,7 @@ def _segment_keys(segment: dict, vocabulary: pa.Array) -> np.ndarray:
     return np.sort((each[each >= 0] << 32) + segment["positions"][each >= 0])
 
 
-def search(index: DataFrame, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW, slop: int = SLOP, id_col: str = "doc_id", found_only: bool = False) -> DataFrame:
+def search(index: DataFrame, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW, slop: int = SLOP, id_col: str = "doc_id", found_only: bool = False, sent: list[Broadcast] | None = None) -> DataFrame:
     """For a block of items, all documents of an index (or those with a match): id_col, n_words, hit_positions (sorted places
     of words in exact matches), items and near_items (ids of those with exact, and with only proximity matches)."""
     if window + slop > GAP:
@@ -205,6 +207,8 @@ def search(index: DataFrame, items: list[tuple[str | None, list[bytes]]], window
     windows = Windows(items, window)
     context = index.sparkSession.sparkContext
     shipped_terms = context.broadcast(pa.array(windows.vocabulary, pa.binary()))
+    sent = [] if sent is None else sent  # gets what was broadcast, to be destroyed when the result is stored
+    sent.append(shipped_terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = shipped_terms.value
@@ -222,6 +226,7 @@ def search(index: DataFrame, items: list[tuple[str | None, list[bytes]]], window
     windows.rank(counts)
     windows.vocabulary = shipped_terms.value
     shipped = context.broadcast(windows)
+    sent.append(shipped)
     schema = f"`{id_col}` {id_type}, n_words bigint, hit_positions array<int>, items array<string>, near_items array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,16 +277,20 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, slo
         return search(index, only, window, slop, id_col)
     # each row gets a key of its own, as ids may repeat
     index = stored(build_index(df.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id")).alias("__key"), F.col(text_col).alias("__text")), None, "__key", "__text"))
-    found = None
-    for k in range(n_blocks):
-        part = search(index, block(k), window, slop, "__key", found_only=True).drop("n_words")
-        found = part if found is None else found.unionByName(part)
+    parts = []
+    for k in range(n_blocks):  # what a block needs on driver and executors goes before the next one comes
+        sent: list[Broadcast] = []
+        parts.append(stored(search(index, block(k), window, slop, "__key", found_only=True, sent=sent).drop("n_words")))
+        for x in sent:
+            x.destroy()
+    found = reduce(DataFrame.unionByName, parts)
     merged = found.groupBy("__key").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_positions")))).alias("hit_positions"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.flatten(F.collect_list("near_items")).alias("near"),
     )
     merged = stored(merged.select(F.col("__key.row").alias("row"), "hit_positions", "items", F.array_sort(F.array_distinct(F.array_except("near", "items"))).alias("near_items")))
+    discard(*parts)
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, segment in _segments(batches):

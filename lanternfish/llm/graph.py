@@ -10,7 +10,8 @@ from .common import discard, stored
 
 def components(links: DataFrame) -> DataFrame:
     """From (a, b): (node, label), label being the smallest node of the component, stored. So is each round; their number grows
-    with the logarithm of the longest chain. Only two sums a round come to the driver."""
+    with the logarithm of the longest chain. Only a count and two sums of 64-bit hashes a round come to the driver: when they
+    are those of the round before, so are the edges."""
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
     while True:
@@ -23,7 +24,7 @@ def components(links: DataFrame) -> DataFrame:
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         edges = stored(edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct())
         discard(before)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first())
+        now = tuple(edges.agg(F.count("*"), *(F.sum(F.xxhash64(F.lit(k), "u", "v").cast("decimal(38,0)")) for k in (1, 2))).first())
         if now == seen or not now[0]:
             break
         seen = now

@@ -40,6 +40,8 @@ BITS = 1024
 #: Buckets are named by so many bits of a hash: two elements of one name only add candidates.
 BUCKET_MASK = (1 << 48) - 1
 TILE_ROWS, SMALL_TILE = 1024, 32
+#: A class with more than one in so many rows has its rows joined by broadcast.
+HOT_SHARE = 1000
 #: Classes whose arrays are compared at once, some 10 MB in all, without a look at wider bitmaps first.
 FEW_ARRAYS = 2_000
 
@@ -287,8 +289,9 @@ def _signed(df: DataFrame, size: int, percent: int, id_col: str, text_col: str,
     rows = (df.withColumnRenamed(row_col, ROW) if row_col else numbered(df, id_col, text_col)).select(F.col(id_col).alias("id"), F.col(ROW).alias("row"), F.col(text_col).alias("text"))
     signed = stored(_signatures(rows, size, percent, _frequent(rows, size)))
     classes = stored(signed.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("id").alias("least_id"), F.count("*").alias("copies")))
-    # copies are told by narrow rows and are the fewer, as a rule; what is left is wide and had better stay where it is
-    copies = stored(signed.where("n > 0").select("row", "key").join(classes.where("copies > 1").select("key", "node"), "key").where("row <> node").select("row"))
+    # copies, those that aren't their class's first, are told by narrow rows and are the fewer, as a rule; what is left is wide
+    # and had better stay where it is
+    copies = stored(signed.where("n > 0").select("row").join(classes.select(F.col("node").alias("row")), "row", "left_anti"))
     first = signed.where("n > 0").join(small_enough(copies), "row", "left_anti")
     nodes = stored(first.select(F.col("row").alias("node"), "n", "bitmap", "prefix"))
     prefix = nodes.select(F.explode("prefix").alias("h"), "node")
@@ -320,9 +323,19 @@ def link_classes(df: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_
 
     named = classes.join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    of_key = named.join(least, "label").select("key", "component_id")
-    out = signed.select("id", "n", "key").join(of_key, "key", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    of_key = stored(named.join(least, "label").select("key", "copies", "component_id"))
+    out = by_key(signed.select("id", "n", "key"), of_key).select("id", "n", "component_id").union(signed.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def by_key(signed: DataFrame, of_key: DataFrame) -> DataFrame:
+    """The rows that have words with what of_key (key, copies, ...), a stored table, has for their keys. Keys of many rows are
+    at most HOT_SHARE and broadcast, so no task gets all rows of one."""
+    total = of_key.agg(F.sum("copies")).first()[0] or 0
+    many = F.broadcast(of_key.where(F.col("copies") * HOT_SHARE > total).drop("copies"))
+    few = of_key.where(F.col("copies") * HOT_SHARE <= total).drop("copies")
+    some = signed.where("n > 0")
+    return some.join(many, "key").unionByName(some.join(many.select("key"), "key", "left_anti").join(few, "key"))
 
 
 def link_pairs(df: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -335,5 +348,6 @@ def link_pairs(df: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_co
     tiles = buckets.join(of, "h").join(nodes, "node").select("h", "of", "node", F.col("node").alias("label"), "n", "bitmap")
     links = _linked(rows, stored(_tile_pairs(tiles, percent)), size, percent)
     discard(buckets)
-    members = signed.join(classes.select("key", F.col("node").alias("class_id")), "key", "left")
+    members = by_key(signed.select("id", "n", "key"), classes.select("key", "copies", F.col("node").alias("class_id")))
+    members = members.unionByName(signed.where("n = 0").select("id", "n", "key", F.lit(None).cast("bigint").alias("class_id")))
     return links, members.select(F.col("id").alias(id_col), "class_id", F.col("n").alias("n_shingles"))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import ROW, discard, numbered, slices, stored, texts
 from .graph import components
-from .jaccard import BITS, Shingler, _bitmap, _linked, _mixed, _pairs_within_bound, _tile_pairs
+from .jaccard import BITS, Shingler, _bitmap, _linked, _mixed, _pairs_within_bound, _tile_pairs, by_key
 
 SHINGLE, PERCENT = 5, 85
 ROWS, BANDS = 4, 32
@@ -40,8 +40,6 @@ ROWS, BANDS = 4, 32
 ELEMENTS = 1 << 14
 #: Nodes of a task's union-find.
 FOREST_NODES = 1 << 19
-#: A class with more than one in so many rows is joined by broadcast; there are at most so many of these.
-HOT_SHARE = 1000
 
 _STEP, _FRACTION, _HALF = 0x9E3779B97F4A7C15, np.uint64(0xFFFFFFFF), np.uint64(32)
 
@@ -156,15 +154,5 @@ def near_duplicates(df: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     named = classes.join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
     of_key = stored(named.join(least, "label").select("key", "copies", "component_id"))
-    return _of_rows(signed.select("id", "n", "key"), of_key, id_col)
-
-
-def _of_rows(signed: DataFrame, of_key: DataFrame, id_col: str) -> DataFrame:
-    """What of_key has for each row. The keys of many rows are few and broadcast, so no task gets all rows of one."""
-    total = of_key.agg(F.sum("copies")).first()[0] or 0
-    many = F.broadcast(of_key.where(F.col("copies") * HOT_SHARE > total).drop("copies"))
-    few = of_key.where(F.col("copies") * HOT_SHARE <= total).drop("copies")
-    some = signed.where("n > 0")
-    rows = some.join(many, "key").unionByName(some.join(many.select("key"), "key", "left_anti").join(few, "key"))
-    rows = rows.select("id", "n", "component_id").union(signed.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
-    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = by_key(signed.select("id", "n", "key"), of_key).select("id", "n", "component_id").union(signed.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

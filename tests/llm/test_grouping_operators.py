@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lanternfish.llm import clustering, minhash, phrases
@@ -252,3 +253,25 @@ def test_planes_are_exact():
     assert px.shape == (40, 28) and py.shape == (9, 3) and clustering.pack(np.zeros((2, 64), np.int64)).shape == (2, 1)
     assert (clustering.dots(px, py) == x @ y.T).all() and (clustering.norms(px) == (x * x).sum(axis=1)).all()
     assert clustering.unpack_sum(px).tolist() == x.sum(axis=0).tolist()
+
+
+def test_rows_of_hot_keys_stay_spread(spark):
+    """Half of the rows have one key: they are joined by broadcast, where they are."""
+    from lanternfish.llm import jaccard
+    from lanternfish.llm.common import stored
+
+    signed = spark.range(4000, numPartitions=8).select("id", F.lit(1).alias("n"), F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id")).alias("key"))
+    of_key = stored(signed.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("first")))
+    rows = jaccard.by_key(signed, of_key)
+    assert {(r.id, r.first) for r in rows.collect()} == {(k, 0 if k % 2 == 0 else k) for k in range(4000)}
+    per_task = [r["count"] for r in rows.where("key = -1").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == 2000 and max(per_task) <= 250
+
+
+def test_jaccard_of_a_hot_group(spark):
+    from lanternfish.llm import jaccard
+
+    base, other = words(3, 200), words(4, 300)
+    texts = [" ".join(base)] * 60 + [" ".join(edited(other, k, 0.004)) for k in range(30)] + [" ".join(words(100 + k, 50)) for k in range(20)] + [None, "", " "] * 5
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_classes(frame(spark, texts)).collect()}
+    assert found == jaccard_components(list(enumerate(texts)))
