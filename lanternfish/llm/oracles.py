@@ -24,20 +24,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT (base_failed OR 10 * n_symbols > n_words OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines) OR NOT (2 * n_words <= word_chars AND word_chars <= 15 * n_words) OR 2 * n_letters < word_chars OR 2 * n_shouted > n_words) AS kept
 FROM v"""
 
-CHAT = r"""
+
+def chat_sql(part_bytes: int = 1 << 22, context_turns: int = 16) -> str:
+    return rf"""
 WITH t AS (SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations WHERE conv_id IS NOT NULL),
-r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place FROM t),
-p AS (SELECT *, place // 256 AS part, min(CASE WHEN role <> 'system' THEN place END) OVER (PARTITION BY conv_id) AS speaks FROM r),
+r AS (SELECT *, row_number() OVER w - 1 AS place, sum(strlen(role) + strlen(text) + 32) OVER w - strlen(role) - strlen(text) - 32 AS bytes_before FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
+n AS (SELECT conv_id, sum(strlen(role) + strlen(text) + 32) AS n_bytes FROM t GROUP BY 1),
+q AS (SELECT *, CASE WHEN n_bytes > {part_bytes} THEN bytes_before // {part_bytes} ELSE 0 END AS cut, min(CASE WHEN role <> 'system' THEN place END) OVER (PARTITION BY conv_id) AS speaks FROM r JOIN n USING (conv_id)),
+p AS (SELECT conv_id, role, text, place, speaks, dense_rank() OVER (PARTITION BY conv_id ORDER BY cut) - 1 AS part, max(place) OVER (PARTITION BY conv_id, cut) AS last FROM q),
 s AS (SELECT DISTINCT conv_id, part, role AS perspective FROM p WHERE role <> 'system'),
 a AS (SELECT conv_id, part, place, role, text, false AS again FROM p UNION ALL
-  SELECT x.conv_id, s.part, place, role, text, true FROM p x JOIN (SELECT DISTINCT conv_id, part FROM s) s ON s.conv_id = x.conv_id WHERE s.part > 0 AND x.part = 0 AND place < speaks),
-v AS (SELECT conv_id, part, perspective, place, again, role = perspective AS target,
+  SELECT x.conv_id, s.part, place, role, text, true FROM p x JOIN (SELECT DISTINCT conv_id, part FROM s) s ON s.conv_id = x.conv_id
+  WHERE s.part > 0 AND (x.part = 0 AND place < speaks OR x.part = s.part - 1 AND place > last - {context_turns})),
+v AS (SELECT conv_id, part, perspective, place, again, role = perspective AND NOT again AS target,
   CASE WHEN role = perspective THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' ELSE '<|user name=' || role || '|>' END || chr(10) AS head, text || '<|end|>' || chr(10) AS body FROM a JOIN s USING (conv_id, part)),
 o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part ORDER BY place ROWS UNBOUNDED PRECEDING) AS upto FROM v)
 SELECT conv_id, perspective, part, count(*) AS n_turns, count(*) FILTER (again) AS n_repeated, count(*) FILTER (target) AS n_targets, sha256(string_agg(head || body, '' ORDER BY place)) AS text_sha256,
   coalesce(string_agg((upto - length(body))::BIGINT || ':' || (upto - 1)::BIGINT, ',' ORDER BY place) FILTER (target), '') AS mask
 FROM o GROUP BY 1, 2, 3"""
 
+
 _LINKED = f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_words(_LOWER.format("text"))} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
@@ -89,7 +95,7 @@ SELECT * FROM r WHERE rank <= 2000"""
 
 ORACLE_SQL = {
     "op4_quality_rules": QUALITY,
-    "op9_chat_rotation": CHAT,
+    "op9_chat_rotation": chat_sql(),
     "op10_jaccard_join": JACCARD,
     "op11_minhash": MINHASH,
     "op12_phrase_mining": PHRASES,

@@ -84,7 +84,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    views = chat.rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return described_views(chat.rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def described_views(views: DataFrame) -> DataFrame:
     mask = F.concat_ws(",", F.transform("mask", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))))
     return views.select("conv_id", "perspective", "part", "n_turns", "n_repeated", "n_targets", hex_sha256(F.col("text")).alias("text_sha256"), mask.alias("mask"))
 

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lanternfish.llm import chat, decontamination, jaccard, sharding, substrings
+from lanternfish.llm import chat, decontamination, jaccard, oracles, queries, sharding, substrings
 from lanternfish.llm.graph import components
 
 from .helpers import frame, jaccard_components, odd_texts, window_hits, without_repeats, words
@@ -271,7 +271,7 @@ def test_sharding_takes_odd_rows(spark):
 def test_chat_masks_what_each_speaker_says(spark):
     turns = [(1, 0, "system", "Be kind."), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob", "héllo 🙂"), (1, 3, "cy", None), (2, 0, None, "alone"), (None, 0, "ann", "lost"), (3, 0, "system", "only rules")]
     turns += [(4, k, ("ann", "bob")[k % 2], f"m{k}") for k in range(150)]
-    rows = chat.rotate(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("part", F.lit(9)), 64).collect()
+    rows = chat.rotate(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("part", F.lit(9)), 64, context_turns=0).collect()
     one = {r.perspective: r for r in rows if r.conv_id == 1}
     assert set(one) == {"ann", "bob", "cy"}
     for name, said in (("ann", "hi < |end|>"), ("bob", "héllo 🙂"), ("cy", "")):
@@ -282,11 +282,11 @@ def test_chat_masks_what_each_speaker_says(spark):
     four = [r for r in rows if r.conv_id == 4]
     assert sorted((r.perspective, r.part, r.n_turns) for r in four) == sorted((p, k, n) for p in ("ann", "bob") for k, n in ((0, 64), (1, 64), (2, 22)))
     assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
-    many = chat.rotate(spark.createDataFrame([(1, 0, "ann", "same")] * 130, "conv_id long, turn long, role string, text string"), 64).collect()
+    many = chat.rotate(spark.createDataFrame([(1, 0, "ann", "same")] * 130, "conv_id long, turn long, role string, text string"), 64, context_turns=0).collect()
     assert sorted(r.n_turns for r in many) == [2, 64, 64]
 
 
-def plain_views(turns, part_turns):
+def plain_views(turns, part_turns, part_bytes=None, context_turns=0):
     """Dialogues turn by turn."""
     dialogues, out = {}, {}
     for conv, turn, role, text in turns:
@@ -294,30 +294,57 @@ def plain_views(turns, part_turns):
             dialogues.setdefault(conv, []).append((turn is not None, turn or 0, (role or "unknown").replace("<|", "< |"), (text or "").replace("<|", "< |")))
     for conv, rows in dialogues.items():
         rows.sort()
+        parts, before = {}, 0
+        sizes = [len(row[2].encode()) + len(row[3].encode()) + 32 for row in rows]
+        for place, (row, size) in enumerate(zip(rows, sizes)):
+            cut = place // part_turns if part_turns else before // part_bytes if part_bytes and sum(sizes) > part_bytes else 0
+            parts.setdefault(cut, []).append((place, row))
+            before += size
+        parts = [parts[cut] for cut in sorted(parts)]
         opening = []
-        for row in rows[:part_turns]:
+        for place, row in parts[0]:
             if row[2] != "system":
                 break
-            opening.append(row)
-        for part, at in enumerate(range(0, len(rows), part_turns or len(rows))):
-            own = rows[at : at + (part_turns or len(rows))]
-            repeated = opening if part else []
-            for speaker in {r[2] for r in own} - {"system"}:
+            opening.append((place, row))
+        for part, own in enumerate(parts):
+            repeated = []
+            if part:
+                last = parts[part - 1]
+                repeated = opening + [x for x in last[max(0, len(last) - context_turns) :] if x not in opening]
+            for speaker in {row[2] for _, row in own} - {"system"}:
                 text, mask = "", []
-                for *_, role, said in repeated + own:
+                for place, (*_, role, said) in repeated + own:
                     text += "<|assistant|>\n" if role == speaker else "<|system|>\n" if role == "system" else f"<|user name={role}|>\n"
-                    if role == speaker:
+                    if role == speaker and place >= own[0][0]:
                         mask.append((len(text), len(text) + len(said) + 7))
                     text += said + "<|end|>\n"
                 out[conv, speaker, part] = (len(repeated + own), len(repeated), text, mask)
     return out
 
 
-@pytest.mark.parametrize("part_turns", [3, 4, 100, None])
-def test_chat_counts_turns_by_place(spark, part_turns):
+def chat_turns():
     r = random.Random(6)
     turns = [(k, None if r.random() < 0.1 else r.randrange(10**9), r.choice(["ann", "bob", "cy", None, "x<|y"]), f"é{r.randrange(99)} <|end|>") for k in range(12) for _ in range(r.randrange(1, 30))]
-    turns += [(k, -k, "system", f"rule {k}") for k in range(1, 8)] + [(3, -9, "system", None), (3, -10, "system", "first")] + [(50, 5, "ann", "same")] * 9 + [(60, 0, "system", "only")] * 5 + [(None, 1, "ann", "lost")]
-    rows = chat.rotate(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3), part_turns).collect()
+    turns += [(5, 10**9 + 1, "ann", "long " * 200), (5, 10**9 + 2, "bob", "after")]
+    return turns + [(k, -k, "system", f"rule {k}") for k in range(1, 8)] + [(3, -9, "system", None), (3, -10, "system", "first")] + [(50, 5, "ann", "same")] * 9 + [(60, 0, "system", "only")] * 5 + [(None, 1, "ann", "lost")]
+
+
+CHAT_SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+@pytest.mark.parametrize("part_turns,part_bytes,context_turns", [(3, None, 0), (4, None, 2), (100, None, 3), (None, None, 5), (None, 1, 2), (None, 150, 0), (None, 150, 3), (None, 400, 20), (None, 1 << 20, 1)])
+def test_chat_counts_turns_by_place(spark, part_turns, part_bytes, context_turns):
+    turns = chat_turns()
+    rows = chat.rotate(spark.createDataFrame(turns, CHAT_SCHEMA).repartition(3), part_turns, part_bytes, context_turns).collect()
     found = {(x.conv_id, x.perspective, x.part): (x.n_turns, x.n_repeated, x.text, [(m.start, m.end) for m in x["mask"]]) for x in rows}
-    assert found == plain_views(turns, part_turns) and len(found) == len(rows)
+    assert found == plain_views(turns, part_turns, part_bytes, context_turns) and len(found) == len(rows)
+
+
+def test_chat_parts_equal_their_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    turns = chat_turns()
+    ours = [tuple(r) for r in queries.described_views(chat.rotate(spark.createDataFrame(turns, CHAT_SCHEMA).repartition(3), None, 150, 3)).collect()]
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    connection.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", turns)
+    assert sorted(ours) == sorted(connection.execute(oracles.chat_sql(150, 3)).fetchall()) and max(r[2] for r in ours) > 2
