@@ -24,6 +24,7 @@ SYMBOLS = "path string, language string, symbol_id string, type string, name str
 VECTORS = "symbol_id string, model string, vector array<double>, updated_at timestamp"
 POSTINGS = "term string, symbol_id string, tf bigint"
 TRIGRAMS = "gram string, path string"
+NAMES = "name string, symbol_id string, n bigint"
 #: What keyword search reads of a symbol.
 TEXT = ("name", "parent", "signature", "body_text", "path")
 
@@ -33,7 +34,7 @@ FEW_FILES = 10_000
 WAVE_BATCHES = 1024
 #: Times that what is pending is gone through.
 EMBED_ROUNDS = 2
-#: Folders of a part of the postings from which they are merged into one.
+#: Folders of a part of the postings or names from which they are merged into one.
 MERGE_FROM = 16
 #: Seconds that a build may hold its lease without renewing it.
 LEASE_SECONDS = 3600.0
@@ -101,6 +102,10 @@ class Index:
     def trigrams(self, parts: list[int] | None = None, version: Version | None = None) -> DataFrame:
         return self.store.read("trigrams", TRIGRAMS, parts, version)
 
+    def names(self, parts: list[int] | None = None, version: Version | None = None) -> DataFrame:
+        """(name, symbol_id, n), deltas as they were added; changes.merged_deltas() adds them up."""
+        return self.store.read("names", NAMES, parts, version)
+
     def move(self, state: str) -> None:
         if not progress.may_move(self.state, state):
             raise ValueError(f"a build can't go from {self.state} to {state}")
@@ -202,14 +207,15 @@ class Index:
             left = before.join(gone, "path", "left_anti")
             vectors = self.vectors(parts, base).join(left.select("symbol_id"), "symbol_id", "left_semi")
             grams = self.trigrams(parts, base).join(gone, "path", "left_anti").unionByName(parsed.select("path", F.explode(trigrams.grams(F.col("text"))).alias("gram")))
-            deltas = ranking.posting_deltas(before.join(gone, "path", "left_semi"), symbols, "symbol_id", *TEXT)
+            old = before.join(gone, "path", "left_semi")
+            added = self._postings_written(ranking.posting_deltas(old, symbols, "symbol_id", *TEXT)) | self._names_written(changes.signed_deltas(old, symbols, "name", "symbol_id"))
             replaced = {
                 **self.store.replacing(self.store.write("files", files, file_key(F.col("rel_path")), ["path"], ["path"]), parts),
                 **self._symbols_written(left.unionByName(symbols), parts),
                 **self.store.replacing(self.store.write("vectors", vectors, _symbol_key(), ["symbol_id"], ["symbol_id"]), parts),
                 **self.store.replacing(self.store.write("trigrams", grams, self._key_of_path(), ["gram", "path"], ["gram"]), parts),
             }
-            return Change(replaced=replaced, added=self._postings_written(deltas), meta=meta, guarded=guarded)
+            return Change(replaced=replaced, added=added, meta=meta, guarded=guarded)
 
         self.store.update(work)
         self.store.done(listing, *keep.tables, *self._kept.tables)
@@ -223,16 +229,22 @@ class Index:
     def _postings_written(self, rows: DataFrame) -> dict:
         return self.store.write("postings", rows, F.col("term"), ["term", "symbol_id"], ["term"])
 
+    def _names_written(self, rows: DataFrame) -> dict:
+        return self.store.write("names", rows, F.col("name"), ["name", "symbol_id"], ["name"])
+
     def compact(self, merge_from: int = MERGE_FROM) -> int:
-        """Merges the postings of parts that many changes have added to. Returns how many parts."""
+        """Merges the postings and names of parts that many changes have added to. Returns how many parts."""
         merged = 0
 
         def work(base: Version) -> Change | None:
             nonlocal merged
-            parts = [int(k) for k, folders in base.tables.get("postings", {}).items() if len(folders) >= merge_from]
-            merged = len(parts)
-            rows = ranking.merged_postings(self.postings(parts, base), "symbol_id") if parts else None
-            return Change(replaced=self.store.replacing(self._postings_written(rows), parts), beside_added=True) if parts else None
+            full = {name: [int(k) for k, folders in base.tables.get(name, {}).items() if len(folders) >= merge_from] for name in ("postings", "names")}
+            merged, replaced = sum(map(len, full.values())), {}
+            if parts := full["postings"]:
+                replaced |= self.store.replacing(self._postings_written(ranking.merged_postings(self.postings(parts, base), "symbol_id")), parts)
+            if parts := full["names"]:
+                replaced |= self.store.replacing(self._names_written(changes.merged_deltas(self.names(parts, base), "name", "symbol_id")), parts)
+            return Change(replaced=replaced, beside_added=True) if merged else None
 
         self.store.update(work)
         return merged
@@ -305,8 +317,8 @@ class Index:
         self.store.update(work)
 
     def clear(self) -> None:
-        """An index without files, symbols, postings, trigrams and vectors."""
-        self.store.clear("files", "symbols", "postings", "vectors", "trigrams")
+        """An index without files, symbols, postings, names, trigrams and vectors."""
+        self.store.clear("files", "symbols", "postings", "names", "vectors", "trigrams")
 
     # ---- queries
 
@@ -326,7 +338,11 @@ class Index:
         return self.store.parts_of(self.spark.createDataFrame([(path,)], "path string"), self._key_of_path())
 
     def symbols_named(self, name: str) -> DataFrame:
-        return lookup.equal_to(self.symbols(), "name", name, order="symbol_id")
+        """Symbols of a name, by id: the part of the names that holds it says which parts of the symbols to open."""
+        version = self.store.latest()
+        parts = self.store.parts_of(self.spark.createDataFrame([(name,)], "name string"), F.col("name"))
+        ids = changes.merged_deltas(lookup.equal_to(self.names(parts, version), "name", name), "name", "symbol_id")
+        return lookup.equal_to(self.symbols(self.store.parts_of(ids, _symbol_key()), version), "name", name, order="symbol_id")
 
     def file_summary(self, path: str) -> DataFrame:
         """One row: the file with its symbols in the order of their lines."""

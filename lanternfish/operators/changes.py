@@ -117,3 +117,15 @@ def head_moves(events: DataFrame, key: str, order: list[str], head_col: str) ->
     """Adds fired: the head differs from the one before, both being known."""
     rows = previous(events, key, order, {head_col: "__head"})
     return rows.withColumn("fired", F.coalesce(F.col("__head").isNotNull() & F.col(head_col).isNotNull() & (F.col("__head") != F.col(head_col)), F.lit(False))).select(*events.columns, "fired")
+
+
+def signed_deltas(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n): how many more rows of the keys there are after than before, where that isn't 0. Rows with a null key count
+    for nothing."""
+    rows = before.select(*keys, F.lit(-1).cast("long").alias("n")).unionByName(after.select(*keys, F.lit(1).cast("long").alias("n")))
+    return rows.dropna().groupBy(*keys).agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def merged_deltas(deltas: DataFrame, *keys: str) -> DataFrame:
+    """Deltas of a history added up: (keys, n) of what is left."""
+    return deltas.groupBy(*keys).agg(F.sum("n").alias("n")).where("n > 0")

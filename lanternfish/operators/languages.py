@@ -69,12 +69,29 @@ def python(text: str) -> Parsed:
     return Parsed(symbols, imports, [])
 
 
+def _block_ends(rows: list[str]) -> list[int]:
+    """Of each row that isn't blank the number of the last row of its block: the rows up to the next that is no deeper."""
+    ends, open_rows, last = [0] * len(rows), [], 0
+    for i, row in enumerate(rows):
+        if not row.strip():
+            continue
+        depth = len(row) - len(row.lstrip())
+        while open_rows and open_rows[-1][0] >= depth:
+            ends[open_rows.pop()[1]] = last
+        open_rows.append((depth, i))
+        last = i + 1
+    for _, i in open_rows:
+        ends[i] = last
+    return ends
+
+
 def _python_lines(text: str) -> Parsed:
     """By indentation, for text that doesn't parse."""
     symbols: list[Symbol] = []
     imports: list[str] = []
     stack: list[tuple[int, str]] = []
     rows = text.split("\n")
+    ends = _block_ends(rows)
     hidden = -1  # indentation of the function at hand: what is deeper isn't seen
     for i, row in enumerate(rows):
         if not row.strip() or row.lstrip().startswith("#"):
@@ -85,9 +102,7 @@ def _python_lines(text: str) -> Parsed:
         hidden = -1
         while stack and depth <= stack[-1][0]:
             stack.pop()
-        end = next((k for k in range(i + 1, len(rows)) if rows[k].strip() and len(rows[k]) - len(rows[k].lstrip()) <= depth), len(rows))
-        while end > i + 1 and not rows[end - 1].strip():
-            end -= 1
+        end = ends[i]
         parent = stack[-1][1] if stack else None
         if m := re.match(r"\s*class\s+(\w+)", row):
             symbols.append(Symbol("class", m[1], ".".join([*(n for _, n in stack), m[1]]), parent, i + 1, end))

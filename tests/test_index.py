@@ -76,6 +76,33 @@ def test_a_change_writes_its_parts_alone(spark, tmp_path):
     for found in (index.symbol("m7.py::handle_7"), index.file("m7.py")):
         assert found.count() == 1 and len(found.inputFiles()) <= 2
     assert index.symbols_named("handle_7").count() == 1 and index.symbol("no.py::no").count() == 0
+    # names know the parts of their symbols: what is opened for one doesn't grow with the table
+    bytes_read = lambda found: sum(os.path.getsize(f.removeprefix("file://")) for f in found.inputFiles())
+    assert len(index.symbols_named("handle_7").inputFiles()) == 1 and bytes_read(index.symbols_named("handle_7")) * 20 < bytes_read(index.symbols())
+    assert index.symbols_named("no such name").inputFiles() == []
+
+
+def test_names_follow_changes(spark, tmp_path):
+    """Symbols by name after files are changed, renamed and deleted, as in all symbols; also once deltas are merged."""
+    root = tmp_path / "src"
+    tree(root, 4)
+    index = Index(spark, str(root), str(tmp_path / "store"), parts=8)
+    index.build()
+    (root / "m0.py").write_text(BODY.format(name="handle_1", k=5) + BODY.format(name="other", k=6))
+    (root / "m2.py").unlink()
+    index.rebuild("m0.py", "m2.py")
+
+    def check():
+        for name in ("handle_0", "handle_1", "handle_2", "handle_3", "other"):
+            assert index.symbols_named(name).collect() == index.symbols().where(F.col("name") == name).orderBy("symbol_id").collect()
+        assert [len(index.symbols_named(n).collect()) for n in ("handle_0", "handle_1", "handle_2", "other")] == [0, 2, 0, 1]
+
+    check()
+    index.compact(merge_from=2)
+    assert max(len(f) for f in index.store.latest().tables["names"].values()) == 1
+    check()
+    index.clear()
+    assert index.symbols_named("other").count() == 0
 
 
 def test_old_versions_go(spark, tmp_path):

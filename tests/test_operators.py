@@ -82,6 +82,29 @@ def test_python():
     assert ("method", "A.m", "A") in found(broken) and broken.imports == ["os", "sys", "..a"]
 
 
+
+def test_deep_text_that_does_not_parse_takes_linear_time():
+    """20,000 nested lines, and ends as found by looking ahead from each line."""
+    import random
+    import time
+
+    deep = "\n".join(" " * (k % 400) + f"class C{k}:" if k % 400 == 0 else " " * (k % 400) + f"x{k} = (" for k in range(20_000))
+    began = time.time()
+    parsed = languages.python(deep)
+    assert len(parsed.symbols) == 50 and time.time() - began < 5
+    r = random.Random(4)
+    rows = [" " * r.randrange(5) + r.choice(["", "# note", "def f(:", "class A:", "x = 1"]) for _ in range(400)]
+    for i, end in enumerate(languages._block_ends(rows)):
+        if rows[i].strip():
+            depth = len(rows[i]) - len(rows[i].lstrip())
+            own = [i]
+            for k in range(i + 1, len(rows)):
+                if rows[k].strip() and len(rows[k]) - len(rows[k].lstrip()) <= depth:
+                    break
+                own += [k] if rows[k].strip() else []
+            assert end == own[-1] + 1
+
+
 def test_html():
     text = '<div id="a"><br id="no"/><script src="x.js">var id="q";</script><link href="s.css"><input name="n" id="i"><textarea id=t></textarea></div>'
     assert found(languages.html(text)) == [("element_id", "a", None), ("script_ref", "x.js", None), ("style_ref", "s.css", None), ("element_id", "i", None), ("form_field", "n", None), ("element_id", "t", None), ("form_field", "t", None)]
