@@ -167,6 +167,19 @@ def keyword_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.orderBy(F.desc("score"), "doc_id").limit(ranking.KEYWORD_CANDIDATES)
 
 
+_LONG_TEXT = 500
+
+
+@query(f"SELECT name, doc_id, count(*) AS n FROM (SELECT CASE WHEN length(text) > {_LONG_TEXT} THEN source ELSE lang END AS name, doc_id FROM documents) WHERE name IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1, 2")
+def names_after_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored names of documents, their languages, and the deltas by which long ones go by their sources, added up."""
+    docs = table(spark, sf_dir, "documents")
+    before = docs.select(F.col("lang").alias("name"), "doc_id")
+    after = docs.select(F.when(F.length("text") > _LONG_TEXT, F.col("source")).otherwise(F.col("lang")).alias("name"), "doc_id")
+    stored, deltas = changes.signed_deltas(before.limit(0), before, "name", "doc_id"), changes.signed_deltas(before, after, "name", "doc_id")
+    return changes.merged_deltas(stored.unionByName(deltas), "name", "doc_id")
+
+
 # ---- files and text
 
 GREP, GREP_CAP, GREP_OF_FILE = r"(tion|ment)[ .,]", 50, 3
