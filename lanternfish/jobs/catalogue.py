@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import progress
 from ..functions import tokens as T
 from ..functions import vectors as V
-from ..operators import changes, lookup, parsing, ranking, trigrams
+from ..operators import changes, lookup, markup, ranking, trigrams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -491,10 +491,58 @@ def progress_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", progress.percent_done(done, n).alias("percent_done"), progress.eta_seconds(done, n, F.col("o_totalprice") / 1000).alias("eta_seconds"))
 
 
-# ---- parsing
+# ---- markup
 
+_ATTRIBUTE = r"""[^\s"''<>/=\x01]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''<>\x01][^\s<>\x01]*))?"""
+_INSIDE = rf"(?:{_ATTRIBUTE}|[^<>\x01])*"
+_START = rf"(?is)^\x01\d+\x01<[a-z][^\s/<>\x01]*{_INSIDE}>"
+#: Comments whole, scripts and styles up to what ends them, tags.
+_PIECE = rf"(?is)\x01\d+\x01<(?:!--.*?-->|(?:script|style)(?:[\s/]{_INSIDE})?>(?:[^\x01]|\x01\d+\x01<(?:[^/]|/[^s]))*|[a-z][^\s/<>\x01]*{_INSIDE}>?)"
+_VALUE = r"regexp_replace(a, '(?s)^[^=]*=\s*', '')"
+_TAGS = rf"""marked AS (
+  SELECT page_id, regexp_replace(html, '\r\n?', chr(10), 'g') AS text,
+    array_to_string(list_transform(string_split(text, chr(10)), lambda r, i: replace(r, '<', chr(1) || i || chr(1) || '<')), chr(10)) AS html FROM pages WHERE html IS NOT NULL),
+listed AS (SELECT page_id, regexp_extract_all(m.html, '{_PIECE}') AS pieces FROM marked m),
+dealt AS (SELECT page_id, unnest(pieces) AS piece, unnest(range(len(pieces))) AS k FROM listed),
+written AS (
+  SELECT page_id, k, regexp_extract(piece, '^\x01(\d+)', 1)::INT AS line, regexp_replace(regexp_extract(piece, '{_START}'), '\x01\d+\x01', '', 'g') AS tag_text
+  FROM dealt WHERE regexp_matches(piece, '{_START}') AND NOT ends_with(regexp_extract(piece, '{_START}'), '/>')),
+tags AS (
+  SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) AS place, lower(regexp_extract(tag_text, '^<([^\s/<>]+)', 1)) AS tag, line,
+    (line + length(tag_text) - length(replace(tag_text, chr(10), '')))::INT AS end_line,
+    list_filter(list_transform(regexp_extract_all(regexp_replace(tag_text, '^<[^\s/<>]+', ''), '(?is){_ATTRIBUTE}'), lambda a: {{
+      'name': lower(regexp_extract(a, '^[^\s=]+')),
+      'value': CASE WHEN NOT contains(a, '=') THEN '' WHEN {_VALUE}[1] IN ('"', '''') THEN {_VALUE}[2:-2] ELSE {_VALUE} END}}), lambda a: a.value <> '') AS attributes
+  FROM written)"""
 
-@query()
+
+def _page_path() -> Column:
+    return F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html"))
+
+
+@query(f"WITH {_TAGS} SELECT page_id, place, tag, line, end_line, array_to_string(list_transform(attributes, lambda a: a.name || '=' || a.value), chr(10)) AS attributes FROM tags")
+def html_start_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(markup.start_tags(F.col("html"))).alias("at", "t"))
+    written = F.array_join(F.transform("t.attributes", lambda a: F.concat(a["name"], F.lit("="), a["value"])), "\n")
+    return rows.select("page_id", (F.col("at") + 1).cast("long").alias("place"), "t.tag", "t.line", "t.end_line", written.alias("attributes"))
+
+
+@query(
+    f"""WITH {_TAGS}, named AS (
+  SELECT *, 'pages/' || page_id || '.html' AS path, list_filter(attributes, lambda a: a.name = 'id')[-1].value AS id, list_filter(attributes, lambda a: a.name = 'src')[-1].value AS src,
+    list_filter(attributes, lambda a: a.name = 'href')[-1].value AS href, coalesce(list_filter(attributes, lambda a: a.name = 'name')[-1].value, id) AS field FROM tags),
+found AS (
+  SELECT *, 1 AS k, 'element_id' AS type, id AS name, '#' AS mark, 'id="' || id || '"' AS signature FROM named WHERE id IS NOT NULL
+  UNION ALL SELECT *, 2, 'script_ref', src, 'script:', 'src="' || src || '"' FROM named WHERE tag = 'script' AND src IS NOT NULL
+  UNION ALL SELECT *, 3, 'style_ref', href, 'link:', 'href="' || href || '"' FROM named WHERE tag = 'link' AND href IS NOT NULL
+  UNION ALL SELECT *, 4, 'form_field', field, 'field:', '<' || tag || ' name=''' || field || '''>' FROM named WHERE tag IN ('input', 'select', 'textarea') AND field IS NOT NULL),
+grouped AS (
+  SELECT page_id, count(*) AS n, to_json(list({{'type': type, 'name': name, 'symbol_id': path || '::' || mark || name, 'line': line, 'end_line': end_line, 'signature': signature}} ORDER BY place, k)) AS symbols
+  FROM found GROUP BY page_id)
+SELECT 'pages/' || page_id || '.html' AS path, 'html' AS language, len(string_split(text, chr(10)))::INT AS line_count, coalesce(n, 0)::INT AS n_symbols, coalesce(symbols::VARCHAR, '[]') AS symbols
+FROM marked LEFT JOIN grouped USING (page_id)"""
+)
 def html_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("content"))
-    return parsing.parse(pages).select("path", "language", "line_count", F.size("symbols").alias("n_symbols"), F.to_json("symbols").alias("symbols"))
+    pages = table(spark, sf_dir, "pages").where("html is not null").select(_page_path().alias("path"), "html")
+    found = pages.select("path", P.language(F.col("path")).alias("language"), F.size(markup.lines(F.col("html"))).alias("line_count"), markup.symbols(F.col("html"), F.col("path")).alias("symbols"))
+    return found.select("path", "language", "line_count", F.size("symbols").alias("n_symbols"), F.to_json("symbols").alias("symbols"))

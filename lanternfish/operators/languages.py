@@ -2,7 +2,7 @@
 
 A symbol is (type, name, qualified, parent, line, end_line, signature). Parsers know declarations only. Limits: Python that
 doesn't parse gives what its lines show; the languages with braces are read by a scanner that masks comments, strings and
-regular expression literals (those after a sign or `return`).
+regular expression literals (those after a sign or `return`). HTML is read by column expressions, see markup.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 import ast
 import re
 from bisect import bisect_left
-from html.parser import HTMLParser
 from typing import NamedTuple
 
 
@@ -118,42 +117,6 @@ def _python_lines(text: str) -> Parsed:
     return Parsed(symbols, imports, [])
 
 
-# ---- HTML
-
-
-class _Tags(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__()
-        self.symbols: list[Symbol] = []
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        """Self-closing tags aren't looked at."""
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        values = {name: value for name, value in attrs if value}
-        line = self.getpos()[0]
-        end = line + (self.get_starttag_text() or "").count("\n")
-
-        def add(kind: str, name: str, qualified: str, signature: str) -> None:
-            self.symbols.append(Symbol(kind, name, qualified, None, line, end, signature))
-
-        if "id" in values:
-            add("element_id", values["id"], f"#{values['id']}", f'id="{values["id"]}"')
-        if tag == "script" and "src" in values:
-            add("script_ref", values["src"], values["src"], f'src="{values["src"]}"')
-        if tag == "link" and "href" in values:
-            add("style_ref", values["href"], values["href"], f'href="{values["href"]}"')
-        if tag in ("input", "select", "textarea") and (name := values.get("name") or values.get("id")):
-            add("form_field", name, name, f"<{tag} name='{name}'>")
-
-
-def html(text: str) -> Parsed:
-    tags = _Tags()
-    tags.feed(text)
-    tags.close()
-    return Parsed(tags.symbols, [], [])
-
-
 # ---- languages with braces
 
 
@@ -413,4 +376,4 @@ def dart(text: str) -> Parsed:
     return Parsed(symbols, imports, [])
 
 
-PARSERS = {"python": python, "html": html, "csharp": csharp, "javascript": javascript, "typescript": typescript, "dart": dart}
+PARSERS = {"python": python, "csharp": csharp, "javascript": javascript, "typescript": typescript, "dart": dart}

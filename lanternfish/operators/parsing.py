@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import tokens as T
-from . import languages
+from . import languages, markup
 
 SYMBOL = "struct<type:string,name:string,symbol_id:string,parent:string,line:int,end_line:int,signature:string>"
-SCHEMA = f"path string, language string, line_count int, imports array<string>, exports array<string>, symbols array<{SYMBOL}>, error string, text string"
+SCHEMA = f"path string, rel_path string, language string, line_count int, imports array<string>, exports array<string>, symbols array<{SYMBOL}>, error string, text string"
 
 #: Characters at the start in which a NUL means that a file is binary.
 SNIFFED = 8000
@@ -37,11 +37,11 @@ def text_of(content: Column) -> Column:
 
 def parse_file(path: str, rel_path: str, language: str, content: object) -> dict:
     text = decode(content)
-    row = {"path": path, "language": language, "line_count": 0, "imports": [], "exports": [], "symbols": [], "error": None, "text": None}
+    row = {"path": path, "rel_path": rel_path, "language": language, "line_count": 0, "imports": [], "exports": [], "symbols": [], "error": None, "text": None}
     if "\0" in text:
         return row | {"error": "binary file"}
     try:
-        found = languages.PARSERS[language](text)
+        found = languages.PARSERS[language](text) if language in languages.PARSERS else languages.Parsed([], [], [])
     except Exception as why:  # a file that can't be parsed is a row with its error, not a failed job
         return row | {"error": f"{type(why).__name__}: {why}"}
     rel = rel_path.replace("\\", "/")
@@ -51,17 +51,19 @@ def parse_file(path: str, rel_path: str, language: str, content: object) -> dict
 
 def parse(files: DataFrame) -> DataFrame:
     """From (path, content[, rel_path]) of any files: those in a known language that aren't binary from the start. Ids of
-    symbols begin with rel_path, or with path. text is what was parsed."""
+    symbols begin with rel_path, or with path. text is what was parsed. Symbols of HTML are found by column expressions."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [parse_file(*row) for row in batch[["path", "rel_path", "language", "content"]].itertuples(index=False)]
-            yield pd.DataFrame(rows, columns=["path", "language", "line_count", "imports", "exports", "symbols", "error", "text"])
+            yield pd.DataFrame(rows, columns=["path", "rel_path", "language", "line_count", "imports", "exports", "symbols", "error", "text"])
 
     rel_path = F.col("rel_path" if "rel_path" in files.columns else "path")
     known = files.select("path", rel_path.alias("rel_path"), P.language(F.col("path")).alias("language"), "content").where("language is not null and content is not null")
     text = F.col("content") if dict(files.dtypes)["content"] == "string" else F.decode(F.substring("content", 1, SNIFFED), "ISO-8859-1")
-    return known.where(F.instr(F.substring(text, 1, SNIFFED), "\0") == 0).mapInPandas(run, SCHEMA)
+    parsed = known.where(F.instr(F.substring(text, 1, SNIFFED), "\0") == 0).mapInPandas(run, SCHEMA)
+    marked_up = (F.col("language") == "html") & F.col("error").isNull()
+    return parsed.withColumn("symbols", F.when(marked_up, markup.symbols(F.col("text"), F.col("rel_path"))).otherwise(F.col("symbols"))).drop("rel_path")
 
 
 def totals(parsed: DataFrame) -> DataFrame:

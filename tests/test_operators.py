@@ -1,7 +1,9 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from lanternfish.operators import changes, languages, lookup, parsing, ranking
+from lanternfish.operators import changes, languages, lookup, markup, parsing, ranking
 
 SYMBOLS = [("auth::login", "/p/auth.py", "login", "login(user, pw)", "Auth", [1.0, 0.0]), ("auth::logout", "/p/auth.py", "logout", None, "Auth", [0.9, 0.1]), ("cache::get_cached", "/p/cache.py", "get_cached", None, "Cache", [0.0, 1.0]), ("db::query", "/p/db.py", "query", None, "DB", [0.6, 0.6])]
 
@@ -105,9 +107,54 @@ def test_deep_text_that_does_not_parse_takes_linear_time():
             assert end == own[-1] + 1
 
 
-def test_html():
+def markup_of(spark, *texts):
+    """Of each text its start tags and symbols."""
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    return rows.select("i", markup.start_tags(F.col("t")).alias("tags"), markup.symbols(F.col("t"), F.lit("a\\b.html")).alias("symbols")).orderBy("i").collect()
+
+
+def test_html(spark):
     text = '<div id="a"><br id="no"/><script src="x.js">var id="q";</script><link href="s.css"><input name="n" id="i"><textarea id=t></textarea></div>'
-    assert found(languages.html(text)) == [("element_id", "a", None), ("script_ref", "x.js", None), ("style_ref", "s.css", None), ("element_id", "i", None), ("form_field", "n", None), ("element_id", "t", None), ("form_field", "t", None)]
+    (row,) = markup_of(spark, text)
+    assert [(s.type, s.name, s.parent) for s in row.symbols] == [("element_id", "a", None), ("script_ref", "x.js", None), ("style_ref", "s.css", None), ("element_id", "i", None), ("form_field", "n", None), ("element_id", "t", None), ("form_field", "t", None)]
+    assert [s.symbol_id for s in row.symbols] == ["a/b.html::" + x for x in ("#a", "script:x.js", "link:s.css", "#i", "field:n", "#t", "field:t")]
+    assert [s.signature for s in row.symbols] == ['id="a"', 'src="x.js"', 'href="s.css"', 'id="i"', "<input name='n'>", 'id="t"', "<textarea name='t'>"]
+
+
+def test_html_tags_and_attributes(spark):
+    tags = lambda row: [(t.tag, t.line, t.end_line, [tuple(a) for a in t.attributes]) for t in row.tags]
+    rows = markup_of(
+        spark,
+        None,
+        "",
+        "a < b > c </p> <!-- <p id=c>\n --><p>",
+        "<p\n id='a'\r\n class=b>\r<P ID=\"<x id='q'>\" id=''>\n<input id=\"it's\" id=k checked>",
+        "<a id=1 <b id=2><SCRIPT>\n<p id=n></Script x><script/><i><STYLE><b></style><b id=last",
+        "<a id='&amp;' title=it's x = \"y\">é<i id=ü href=a=b>\0<u>",
+        "<a id=\"u\nv\">\n<!-- never ends <b>",
+        "<input name=\"it's\"><input name='\"'><input name='a\\'>",
+    )
+    assert [tags(r) for r in rows] == [
+        [],
+        [],
+        [("p", 2, 2, [])],
+        [("p", 1, 3, [("id", "a"), ("class", "b")]), ("p", 4, 4, [("id", "<x id='q'>")]), ("input", 5, 5, [("id", "it's"), ("id", "k")])],
+        [("b", 1, 1, [("id", "2")]), ("script", 1, 1, []), ("i", 2, 2, []), ("style", 2, 2, [])],
+        [("a", 1, 1, [("id", "&amp;"), ("title", "it's"), ("x", "y")]), ("i", 1, 1, [("id", "ü"), ("href", "a=b")]), ("u", 1, 1, [])],
+        [("a", 1, 2, [("id", "u\nv")])],
+        [("input", 1, 1, [("name", "it's")]), ("input", 1, 1, [("name", '"')]), ("input", 1, 1, [("name", "a\\")])],
+    ]
+    assert [(s.name, s.line) for s in rows[3].symbols] == [("a", 1), ("<x id='q'>", 4), ("k", 5), ("k", 5)]
+    assert [s.signature for s in rows[7].symbols] == [f"<input name={x!r}>" for x in ("it's", '"', "a\\")]
+
+
+def test_html_in_linear_time(spark):
+    """Marks that open without end, a quote in a quote, one long name, many tags: 1 MB each."""
+    for text, n in (("<a b=\"<a b='\" " * 70000, 0), ('<a b="' * 150000, 0), ("<!--" * 250000, 0), ("<script>" * 120000, 1), ("<a " + "b" * 10**6, 0), ("<a>\n" * 250000, 250000)):
+        began = time.time()
+        rows = spark.createDataFrame([(text,)], "t string")
+        assert rows.select(F.size(markup.start_tags(F.col("t")))).first()[0] == n
+        assert time.time() - began < 60
 
 
 def test_javascript():
