@@ -83,7 +83,7 @@ def test_entry_without_the_corpus_side(tmp_path):
     home = Path(__file__).resolve().parent.parent
     shutil.copytree(home / "lanternfish", tmp_path / "lanternfish", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(home / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = set(e.queries()); assert set(e.oracle_sql()) < q and 'hybrid_search' in q; print(len([n for n in q if n.startswith('op') or n == 'pipeline']))"
+    code = "import __spark_entry__ as e; q = set(e.queries()); assert set(e.oracle_sql()) <= q and 'hybrid_search' in q; print(len([n for n in q if n.startswith('op') or n == 'pipeline']))"
     run = lambda: subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert run().stdout.strip() == "0"
     (tmp_path / "lanternfish" / "llm").mkdir()
