@@ -16,9 +16,26 @@ KEYWORD_CANDIDATES, TOP_FILES, TOP_SYMBOLS = 200, 10, 5
 
 
 def postings(symbols: DataFrame, id_col: str, *text_cols: str) -> DataFrame:
-    """(term, id_col, tf): occurrences of each token in all given columns together."""
-    bag = F.concat(*(T.tokens(F.col(c)) for c in text_cols))
-    return symbols.select(id_col, F.explode(bag).alias("term")).groupBy("term", id_col).agg(F.count("*").alias("tf"))
+    """(term, id_col, tf): occurrences of each token in all given columns together.
+
+    They are counted in each row, and nothing but ids is shuffled: a small job sees whether any comes twice. Only if one does,
+    the counts of rows are added up by term and id.
+    """
+    rows = _counted(symbols, id_col, *text_cols)
+    if symbols.groupBy(id_col).agg(F.count("*").alias("__n")).where("__n > 1").isEmpty():
+        return rows
+    return rows.groupBy("term", id_col).agg(F.sum("tf").alias("tf"))
+
+
+def _counted(symbols: DataFrame, id_col: str, *text_cols: str) -> DataFrame:
+    """(term, id_col, tf) of each row for itself: its tokens are sorted, and a run of equal ones is a term."""
+    rows = symbols.select(id_col, F.sort_array(F.concat(*(T.tokens(F.col(c)) for c in text_cols))).alias("__bag"))
+    begins = F.transform("__bag", lambda t, i: F.when(~t.eqNullSafe(F.get("__bag", i - 1)), i))
+    rows = rows.select(id_col, "__bag", F.array_compact(begins).alias("__runs"))
+    # outer: else Spark asks first whether there are runs, with the tokens made anew for each token
+    rows = rows.select(id_col, "__bag", "__runs", F.posexplode_outer("__runs").alias("__run", "__at")).where(F.col("__at").isNotNull())
+    end = F.coalesce(F.get("__runs", F.col("__run") + 1), F.size("__bag"))
+    return rows.select(F.get("__bag", F.col("__at")).alias("term"), id_col, (end - F.col("__at")).cast("long").alias("tf"))
 
 
 def posting_deltas(old: DataFrame, new: DataFrame, id_col: str, *text_cols: str) -> DataFrame:

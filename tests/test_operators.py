@@ -1,4 +1,5 @@
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +41,23 @@ def test_keyword_score(symbols):
     assert ranking.keyword_search(symbols, "-login", "symbol_id", "name").count() == 0
 
 
+def test_postings_are_counted_in_rows(spark):
+    """Rows with ids of their own need no shuffle; an id of several rows, null too, has the sum of them."""
+    texts = [(1, "b a b", "A é"), (2, None, ""), (3, "  ", None), (4, "a.a", "x_1 B b")]
+
+    def counts(rows):
+        return Counter({(r.term, r.id): r.tf for r in rows.collect()})
+
+    rows = ranking.postings(spark.createDataFrame(texts, "id int, text string, more string"), "id", "text", "more")
+    assert counts(rows) == {("a", 1): 2, ("b", 1): 2, ("é", 1): 1, (".", 4): 1, ("a", 4): 2, ("x_1", 4): 1, ("b", 4): 2}
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    more = [(4, "b", None), (None, "b", "b"), (None, "b", "a")]
+    rows = ranking.postings(spark.createDataFrame(texts + more, "id int, text string, more string"), "id", "text", "more")
+    assert rows.count() == 9 and counts(rows)[("b", 4)] == 3 and counts(rows)[("b", None)] == 3 and counts(rows)[("a", None)] == 1
+    long = spark.range(3).withColumn("text", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda x: x % 700), " "))
+    assert {(r.n, r.tf) for r in ranking.postings(long, "id", "text").groupBy("id").agg(F.count("*").alias("n"), F.sum("tf").alias("tf")).collect()} == {(700, 60_000)}
+
+
 def test_places_over_all_rows(spark):
     rows = ranking.place(spark.range(1000).withColumn("v", F.col("id") * 7 % 1000), F.floor(F.col("v") / 50), [F.col("v")]).collect()
     assert all(r.place == r.v + 1 for r in rows)
